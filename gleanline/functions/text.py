@@ -1,0 +1,140 @@
+"""Scalar expressions: names, redaction, labels, hashes. Column in, Column out."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from gleanline.config import AGENT_PREFIXES, CROSS_CUTTING
+
+
+def at(as_of: str) -> Column:
+    """A time of reference as a timestamp without zone."""
+    return F.lit(as_of).cast("timestamp_ntz")
+
+
+def normalize_agent(c: Column) -> Column:
+    """Agent name without its prefix; other sources stay."""
+    return F.regexp_replace(c, f"^({'|'.join(map(re.escape, AGENT_PREFIXES))})(?=fd-)", "")
+
+
+#: Forms of keys, and what they are replaced by, in the order of application.
+REDACTIONS = (
+    (r"(?i)(api[_-]?key|apikey)(\s*[:=]\s*)[^\s,;\n]+", "$1$2[REDACTED]"),
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"AKIA[0-9A-Z]{16}", "[REDACTED-AWS]"),
+    (r"ghp_[A-Za-z0-9]{20,}", "[REDACTED-GH]"),
+    (r"github_pat_[A-Za-z0-9_]{20,}", "[REDACTED-GH]"),
+    (r"sk-[A-Za-z0-9_-]{20,}", "[REDACTED-KEY]"),
+    (r"(?i)([a-z][a-z0-9+.-]*://)[^/\s:@\n]+:[^@\s\n]+@", "$1[REDACTED]@"),
+    (r"(?i)(password|passwd|secret)(\s*[:=]\s*)[^\s,;\n]+", "$1$2[REDACTED]"),
+)
+INJECTION = r"(?i)ignore (all )?previous instructions|</?system>|you are now "
+
+
+def redact(c: Column) -> Column:
+    for pattern, to in REDACTIONS:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def sanitize(c: Column, most: int = 500) -> Column:
+    """Without terminal escapes and controls, cut, redacted; null stays null."""
+    c = F.regexp_replace(c, "\x1b\\[[0-9;]*[A-Za-z]", "")
+    c = F.regexp_replace(c, "[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return redact(F.substring(c, 1, most))
+
+
+def rejected(c: Column) -> Column:
+    return F.coalesce(c.rlike(INJECTION), F.lit(False))
+
+
+def is_agent_name(c: Column) -> Column:
+    return F.coalesce(c.rlike("^fd-[a-z][a-z0-9-]*$"), F.lit(False))
+
+
+def is_tool_name(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[A-Za-z][A-Za-z0-9_-]*$"), F.lit(False))
+
+
+def is_skill_name(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-z][a-z0-9-]*(:[a-z][a-z0-9-]*)?$"), F.lit(False))
+
+
+def is_cross_cutting(c: Column) -> Column:
+    return c.isin(*CROSS_CUTTING)
+
+
+def lenient_bool(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "t", "yes"), F.lit(False))
+
+
+def lenient_int(c: Column) -> Column:
+    """Truncated toward zero; what is no number is 0."""
+    x = c.try_cast("double")
+    return F.coalesce(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"), F.lit(0))
+
+
+def token_estimate(c: Column) -> Column:
+    return F.floor(F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "[ \\t\\r\\n]+"), lambda w: w != "")) * 1.3).cast("long")
+
+
+def week_label(ts: Column) -> Column:
+    """Year and week of the year, weeks from Monday, days before the first Monday in week 00."""
+    return F.concat(F.year(ts).cast("string"), F.lit("-W"), F.lpad(F.floor((F.dayofyear(ts) - 1 + 7 - F.weekday(ts)) / 7).cast("string"), 2, "0"))
+
+
+def quarter_label(ts: Column) -> Column:
+    return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))
+
+
+def invocation_hash(ts: Column, session: Column, name: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws("|", ts, session, name)), 1, 16)
+
+
+def doc_hash(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def frontmatter(c: Column) -> Column:
+    return F.regexp_extract(c, r"^(?s)---\n(.*?)\n---\n", 1)
+
+
+def body(c: Column, most: int = 2048) -> Column:
+    return F.substring(F.regexp_replace(c, r"^(?s)---\n.*?\n---\n", ""), 1, most)
+
+
+def workspace_key(path: Column) -> Column:
+    return F.regexp_replace(path, "/", "-")
+
+
+def sigmoid_goodness(value: Column, middle: Column, spread: Column) -> Column:
+    """Near 1 far under the middle, near 0 far over it; a spread of zero counts as one."""
+    x = (value - middle) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+    return F.least(F.greatest(1 - 1 / (1 + F.exp(-x)), F.lit(0.0)), F.lit(1.0))
+
+
+def ema(classified: Column, observed: Column, alpha: float = 0.3) -> Column:
+    return observed * alpha + classified * (1 - alpha)
+
+
+#: Words of a description and the weights (speed, precision, completeness) of its goal, first match.
+GOALS = (
+    ("audit", r"audit|review|verify|validate", (0.2, 0.6, 0.2)),
+    ("search", r"search|find|lookup|explore", (0.5, 0.3, 0.2)),
+    ("orchestration", r"orchestrat|workflow|pipeline|coordinate", (0.2, 0.2, 0.6)),
+)
+DEFAULT_GOAL = ("default", (1 / 3, 1 / 3, 1 / 3))
+
+
+def goal_bucket(c: Column) -> Column:
+    """A struct (bucket, speed, precision, completeness)."""
+    def goal(name, w):
+        return F.struct(F.lit(name).alias("bucket"), *(F.lit(x).alias(n) for n, x in zip(("speed", "precision", "completeness"), w, strict=True)))
+
+    out = goal(*DEFAULT_GOAL)
+    for name, pattern, w in reversed(GOALS):
+        out = F.when(F.coalesce(F.lower(c).rlike(pattern), F.lit(False)), goal(name, w)).otherwise(out)
+    return out

@@ -1,0 +1,177 @@
+"""Views over the driver's tables that stand in for telemetry; the same text runs in Spark and in DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+AS_OF = "2024-01-31 00:00:00"
+LEDGER_AS_OF = "2001-08-01 00:00:00"
+TABLES = ("events", "orders", "customer", "conversations", "documents")
+
+VIEWS = {
+    "ev0": """
+SELECT event_id, ts, user_id, event_type, value,
+       CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+       concat('s', CAST(user_id AS STRING), '-', CAST(day(ts) AS STRING)) AS session_id,
+       CASE user_id % 6 WHEN 0 THEN 'fd-safety' WHEN 1 THEN 'fd-quality' WHEN 2 THEN 'fd-correctness'
+            WHEN 3 THEN 'fd-architecture' WHEN 4 THEN 'fd-performance' ELSE 'fd-game-design' END AS agent
+FROM events""",
+    "evidence": """
+SELECT event_id AS id, ts, session_id,
+  CASE WHEN event_type = 'purchase' AND k < 50 THEN concat('plug:skill', CAST(k % 8 AS STRING))
+       WHEN event_type = 'purchase' THEN CASE k % 3 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' ELSE 'Read' END
+       ELSE concat(CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'hub:' ELSE 'hub:review:' END, agent) END AS source,
+  CASE WHEN event_type IN ('view','click') THEN 'agent_dispatch'
+       WHEN event_type = 'signup' THEN 'verdict_outcome'
+       WHEN event_type = 'error' THEN 'override'
+       WHEN k < 50 THEN 'skill_invocation'
+       ELSE CASE k % 5 WHEN 0 THEN 'tool_error_rate_high' WHEN 1 THEN 'tool_rejection_rate_high'
+            WHEN 2 THEN 'tool_edit_without_read' WHEN 3 THEN 'tool_bash_dominance' ELSE 'tool_low_diversity' END END AS event,
+  CASE WHEN event_type <> 'error' THEN NULL
+       WHEN k < 88 - 15 * (user_id % 6) THEN 'agent_wrong'
+       WHEN k % 3 = 0 THEN 'deprioritized' WHEN k % 3 = 1 THEN 'severity_miscalibrated' ELSE '' END AS override_reason,
+  CASE WHEN event_type = 'signup' THEN concat('{"status":"', CASE WHEN k % 6 <= user_id % 6 THEN 'NEEDS_ATTENTION' ELSE 'CLEAN' END,
+       '","findings_count":', CAST(k % 4 AS STRING), ',"phase":"', CASE k % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'ship' ELSE '' END, '"}')
+       ELSE '{}' END AS context,
+  concat('p', CAST(user_id % 7 AS STRING)) AS project,
+  CASE WHEN event_type = 'purchase' AND k < 50 THEN concat('inv-', CAST(event_id AS STRING)) END AS source_event_id,
+  CASE WHEN event_id % 10 = 0 THEN 1706745600 ELSE 0 END AS quarantine_until,
+  CASE WHEN event_type = 'purchase' AND k < 50 THEN 'skill' WHEN event_type = 'purchase' THEN 'tool' ELSE 'agent' END AS source_kind
+FROM ev0""",
+    "sessions": """
+SELECT session_id, min(ts) AS start_ts,
+  CASE WHEN max(user_id) % 11 = 0 THEN NULL ELSE max(ts) END AS end_ts,
+  concat('p', CAST(max(user_id) % 7 AS STRING)) AS project,
+  CASE max(user_id) % 10 WHEN 0 THEN 'bootstrap' WHEN 1 THEN 'self-building' ELSE 'normal' END AS source,
+  CAST(sum(CAST(floor(value) AS BIGINT) + 100) AS BIGINT) AS tokens
+FROM ev0 GROUP BY session_id""",
+    "skill_signals": """
+SELECT source AS skill_name, session_id, source_event_id AS invocation_id, kind AS signal_kind, ts AS observed_at,
+  CASE kind WHEN 'error' THEN 1.0E0 WHEN 'tokens' THEN CAST((id % 100) AS DOUBLE) / 100.0E0
+       WHEN 'no_redirect' THEN (CAST(substr(source, 11, 1) AS DOUBLE) + 1.0E0) / 8.0E0
+       ELSE CASE WHEN id % 3 = 0 THEN 0.0E0 ELSE 1.0E0 END END AS value
+FROM evidence CROSS JOIN (VALUES ('error'), ('tokens'), ('no_redirect'), ('bead_close')) AS kinds(kind)
+WHERE source_kind = 'skill' AND NOT (kind = 'bead_close' AND id % 4 = 0)""",
+    "work_items": """
+SELECT concat('w-', CAST(event_id AS STRING)) AS id, concat('p', CAST(user_id % 7 AS STRING)) AS project, ts AS started_at,
+  CASE k % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'deferred' WHEN 2 THEN 'in_progress' ELSE 'done' END AS status,
+  CASE WHEN k % 4 IN (0, 3) THEN ts + INTERVAL '1' HOUR * CAST(floor(value) AS INT) END AS closed_at,
+  ts + INTERVAL '1' HOUR AS updated_at
+FROM ev0 WHERE event_type = 'signup'""",
+    "modifications": """
+SELECT o_orderkey AS id, concat('fd-g', CAST(o_custkey % 40 AS STRING)) AS group_id, o_orderdate AS ts,
+  CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'reverted' ELSE 'proposed' END AS status
+FROM orders""",
+    "canary": """
+SELECT c_custkey AS id,
+  CASE c_custkey % 6 WHEN 0 THEN 'fd-safety' WHEN 1 THEN 'fd-quality' WHEN 2 THEN 'fd-correctness'
+       WHEN 3 THEN 'fd-architecture' WHEN 4 THEN 'fd-performance' ELSE 'fd-game-design' END AS group_id,
+  CAST('2024-01-05 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_custkey AS INT) AS applied_at,
+  20 AS window_uses,
+  CASE WHEN c_custkey % 5 = 0 THEN 'reverted' ELSE 'active' END AS status
+FROM customer WHERE c_custkey BETWEEN 1 AND 24""",
+    "transcripts": """
+SELECT concat('c', CAST(conv_id AS STRING)) AS session_id, turn AS line, role AS type,
+  replace(text, ' of ', ' actually ') AS text
+FROM conversations""",
+    "raw_text": """
+SELECT doc_id, replace(text, 'token = ', 'api_key: ') AS text FROM documents""",
+    "ctx": """
+SELECT event_id AS id, ts, session_id, 'hub:x' AS source, CAST('' AS STRING) AS override_reason, project, quarantine_until, 'agent' AS source_kind,
+  CASE event_id % 4 WHEN 0 THEN 'delegation_outcome' WHEN 1 THEN 'plan_execution_outcome' WHEN 2 THEN 'review_phase_outcome' ELSE 'decomposition_outcome' END AS event,
+  CASE event_id % 4
+    WHEN 0 THEN concat('{"category":"c', CAST(k % 5 AS STRING), '","tier":"t', CAST(k % 2 AS STRING), '","verdict":"', CASE WHEN k % 4 = 0 THEN 'fail' WHEN k % 4 = 1 THEN 'CLEAN' ELSE 'pass' END,
+      '","retry_needed":', CASE WHEN k % 6 = 0 THEN 'true' ELSE 'false' END, CASE WHEN k % 7 = 0 THEN '' ELSE concat(',"duration_s":', CAST(k AS STRING)) END, '}')
+    WHEN 1 THEN concat('{"author_model":"a', CAST(k % 2 AS STRING), '","executor_model":"e', CAST(k % 3 AS STRING), '","pass":', CASE WHEN k % 3 = 0 THEN 'false' ELSE 'true' END,
+      ',"escalation_count":', CAST(k % 2 AS STRING), ',"session_source":"', CASE k % 4 WHEN 0 THEN 'bootstrap' WHEN 1 THEN 'self-building' ELSE 'normal' END, '"}')
+    WHEN 2 THEN concat('{"phase":"', CASE k % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'strategy' ELSE 'brainstorm' END, '","complexity":', CAST(k % 4 AS STRING), ',"p0":', CASE WHEN k % 10 = 0 THEN '1' ELSE '0' END, ',"p1":0,"agents":', CAST(k % 5 AS STRING), '}')
+    ELSE '{}' END AS context
+FROM (SELECT *, concat('p', CAST(user_id % 7 AS STRING)) AS project, CASE WHEN event_id % 10 = 0 THEN 1706745600 ELSE 0 END AS quarantine_until FROM ev0)""",
+    "blacklist": """
+SELECT DISTINCT agent AS pattern_key FROM ev0 WHERE agent = 'fd-quality'""",
+    "overrides": """
+SELECT DISTINCT agent, CASE WHEN agent = 'fd-performance' THEN 'exclude' ELSE 'propose' END AS action, CAST(0.5 AS DOUBLE) AS confidence
+FROM ev0 WHERE agent IN ('fd-performance', 'fd-game-design')""",
+    "goals": """
+SELECT DISTINCT source AS skill_name, CASE WHEN substr(source, 11, 1) IN ('1', '2') THEN 0.2E0 ELSE 0.5E0 END AS speed, CASE WHEN substr(source, 11, 1) IN ('1', '2') THEN 0.6E0 ELSE 0.3E0 END AS precision,
+  0.2E0 AS completeness, CASE WHEN substr(source, 11, 1) = '3' THEN 'observed' ELSE 'audit' END AS classified_from FROM evidence WHERE source_kind = 'skill' AND substr(source, 11, 1) <> '7'""",
+    "turns": """
+SELECT concat('c', CAST(conv_id AS STRING)) AS session_id, turn AS line, role AS type, replace(text, ' of ', ' actually ') AS text,
+  CASE WHEN turn = 0 THEN concat('plug:skill', CAST(conv_id % 4 AS STRING)) END AS skill, CASE WHEN role = 'assistant' THEN CAST(length(text) AS BIGINT) END AS input_tokens,
+  CAST(NULL AS BIGINT) AS output_tokens, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 7 END AS cache_creation_tokens FROM conversations""",
+    "called": """
+SELECT concat('call-', session_id) AS invocation_id, session_id, skill AS skill_name, CAST('2024-01-10 00:00:00' AS TIMESTAMP) AS ts, 'p0' AS project FROM turns WHERE skill IS NOT NULL""",
+    "history": """
+SELECT agent, date_trunc('week', ts) AS calibrated_at, round(sum(CASE WHEN k % 6 <= user_id % 6 THEN 1.0E0 ELSE 0.0E0 END) / count(*), 6) AS hit_rate,
+  round(sum(CASE WHEN k % 5 <= user_id % 6 THEN 1.0E0 ELSE 0.0E0 END) / count(*), 6) AS weighted_hit_rate FROM ev0 GROUP BY agent, date_trunc('week', ts)""",
+    "skill_mods": """
+SELECT DISTINCT concat('m-', source) AS modification_id, source AS skill_name, CAST('2024-01-16 00:00:00' AS TIMESTAMP) AS applied_at FROM evidence WHERE source_kind = 'skill'""",
+    "overlays": """
+SELECT project, agent, CAST(sum(k) % 700 AS BIGINT) AS tokens, min(k) % 2 = 0 AS active FROM (SELECT *, concat('p', CAST(user_id % 7 AS STRING)) AS project FROM ev0) GROUP BY project, agent""",
+    "audit_log": """
+SELECT concat('{"ts":"', CAST(ts AS STRING), '","session_id":"', session_id, '","tool":"', CASE WHEN k % 3 = 0 THEN 'Bash' ELSE 'Skill' END, '","name":"plug:skill', CAST(k % 8 AS STRING), '"', CASE WHEN k % 5 = 0 THEN '' ELSE concat(',"exit_code":', CAST(k % 4 AS STRING)) END,
+  CASE WHEN k % 11 = 0 THEN '' ELSE '}' END) AS value FROM ev0 WHERE event_type = 'purchase'""",
+    "tool_log": """
+SELECT concat('{"id":"', session_id, '-', CAST(k AS STRING), '","ts":"', CAST(ts AS STRING), '","tool":"', CASE WHEN k % 3 = 0 THEN 'Bash' ELSE 'Skill' END, '","skill":"plug:skill', CAST(k % 8 AS STRING), '","error":', CASE WHEN k % 4 = 0 THEN '"boom"' ELSE 'null' END, '}') AS value FROM ev0 WHERE event_type = 'purchase'""",
+    "route_log": """
+SELECT concat('{"event":"route","route_id":"r', CAST(event_id AS STRING), '","timestamp":"', CAST(ts AS STRING), '","cwd":"/w/p', CAST(user_id % 7 AS STRING), '","candidates":[{"id":"plug:a","score":0.5},{"id":"plug:b","score":0.25}]}') AS value FROM ev0 WHERE event_type = 'signup'""",
+    "reviews": """
+SELECT event_id AS id, session_id, ts, CASE WHEN k % 3 = 0 THEN 'execution_defect' ELSE 'disagreement' END AS event_type, CASE WHEN k % 2 = 0 THEN 'high' ELSE 'low' END AS chosen_severity,
+  CASE k % 4 WHEN 0 THEN 'agent_wrong' WHEN 1 THEN 'deprioritized' WHEN 2 THEN 'already_fixed' ELSE '' END AS dismissal_reason,
+  concat('{"fd-safety":"', CASE WHEN k % 5 < 2 THEN 'high' ELSE 'low' END, '","fd-quality":"low"}') AS agents_json, CASE WHEN k % 6 = 0 THEN 'fd-safety' END AS target_agent FROM ev0 WHERE event_type = 'error'""",
+    "bus": """
+SELECT event_id AS id, session_id, ts, CASE WHEN k % 9 = 0 THEN '' ELSE 'phase' END AS source, event_type AS type FROM ev0""",
+    "mutations": """
+SELECT event_id AS id, session_id, CASE k % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'docs' ELSE 'plan' END AS task_type, value AS quality_signal, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS is_new_best, ts AS created_at FROM ev0""",
+    "verdicts": """
+SELECT event_id AS id, ts, session_id, agent, CASE WHEN k % 6 <= user_id % 6 THEN 'NEEDS_ATTENTION' ELSE 'CLEAN' END AS status, CAST(k % 4 AS BIGINT) AS findings_count, md5(concat(agent, CAST(k % 3 AS STRING))) AS content_hash FROM ev0 WHERE event_type = 'signup'""",
+    "skill_docs": """
+SELECT concat('plug:doc', CAST(doc_id AS STRING)) AS skill_name, concat(CASE doc_id % 4 WHEN 0 THEN 'Audit the code. ' WHEN 1 THEN 'search files ' WHEN 2 THEN 'run a workflow ' ELSE '' END, text) AS text FROM documents""",
+}
+
+
+class Fixtures:
+    """The views over one folder of tables, each as an attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir, self._made = spark, sf_dir.rstrip("/"), {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._view(name)
+
+    def _view(self, name: str) -> DataFrame:
+        """Made with the views it names, under names of their own that are dropped at once."""
+        if name not in self._made:
+            if name not in VIEWS:
+                self._made[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+            else:
+                body = VIEWS[name]
+                used = [n for n in (*TABLES, *VIEWS) if n != name and f" {n}" in body and _names(body, n)]
+                for n in used:
+                    self._view(n).createOrReplaceTempView(n)
+                self._made[name] = self._spark.sql(body)
+                for n in used:
+                    self._spark.catalog.dropTempView(n)
+        return self._made[name]
+
+
+def _names(body: str, table: str) -> bool:
+    import re
+
+    return re.search(rf"\b(FROM|JOIN)\s+{table}\b", body) is not None
+
+
+def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
+    """SQL for DuckDB with the views, and further ones, as common table expressions."""
+    own = VIEWS | (extra or {})
+    needed: set[str] = set()
+
+    def need(text: str) -> None:
+        for n in own:
+            if n not in needed and _names(text, n):
+                needed.add(n)
+                need(own[n])
+
+    need(sql)
+    ctes = ",\n".join(f"{n} AS ({b})" for n, b in own.items() if n in needed)
+    return f"WITH {ctes}\n{sql}" if ctes else sql
