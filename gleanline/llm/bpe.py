@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gleanline.llm.common import table
 
-#: Pieces remembered in a task.
-REMEMBERED = 400_000
+#: Pieces and words remembered in a task.
+REMEMBERED = 600_000
 #: Fixed by the vocabulary file: its pattern and the end of a word.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
@@ -87,12 +88,17 @@ class Vocabulary:
                     heapq.heappush(queue, (m[0], a, m[1]))
         return [s for s in sym if s >= 0]
 
+    @staticmethod
+    def words(piece: str) -> list[str]:
+        """The normalised words of a piece. Letters are lower-cased one by one: no final sigma."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
+        return WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+
     def encode_piece(self, piece: str) -> list[int]:
         if piece in self.special:
             return [self.special[piece]]
-        # letters are lower-cased one by one: no final sigma
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [i for w in WORDS.findall(text) for i in self.word(w)]
+        return [i for w in self.words(piece) for i in self.word(w)]
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in self.encode_piece(p)]
@@ -117,8 +123,14 @@ class _Memory(dict):
     def __missing__(self, piece):
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.vocabulary.encode_piece(piece)
-        out = self[piece] = (b"".join(i.to_bytes(4, "little") for i in ids), self.vocabulary.decode(ids).encode())
+        words = self.vocabulary.words(piece) if piece not in self.vocabulary.special else [piece]
+        if words == [piece]:
+            ids = self.vocabulary.encode_piece(piece)
+            out = array("I", ids).tobytes(), self.vocabulary.decode(ids).encode()
+        else:  # a word is remembered on its own, for the other pieces that hold it
+            got = [self[w] for w in words]
+            out = b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
+        self[piece] = out
         return out
 
 

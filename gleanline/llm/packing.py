@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ END_ID = 1
 SHARD = 50_000
 #: Partner bins that a draining bin looks at, fullest first; only how long the search goes on depends on it.
 TRIES = 2000
-REMEMBERED = 400_000
+#: Pieces and words remembered in a task.
+REMEMBERED = 800_000
 
 
 def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
@@ -113,25 +115,39 @@ def _library(path: str):
     return tok
 
 
-_known: dict[str, dict[str, bytes]] = {}
+class _Memory(dict):
+    """Piece or word to its ids as little-endian bytes; each distinct word goes through the library's model once."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.vocabulary, self.model = load(path), _library(path).model
+
+    def __missing__(self, piece):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        v = self.vocabulary
+        if piece in v.special:
+            out = array("I", [v.special[piece]]).tobytes()
+        else:
+            words = v.words(piece)
+            if words == [piece]:
+                letters = piece if piece.isascii() and piece.isprintable() else "".join([v.letters[b] for b in piece.encode("utf-8", "replace")])
+                out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            else:
+                out = b"".join([self[w] for w in words])
+        self[piece] = out
+        return out
+
+
+@lru_cache(maxsize=2)
+def _memory(path: str) -> _Memory:
+    return _Memory(path)
 
 
 def library_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts by the tokenizers library, as little-endian bytes; it sees each distinct piece between white space once."""
-    tok, cut = _library(path), load(path).pieces
-    known = _known.setdefault(path, {})
-    out = []
-    for t in texts:
-        pieces = cut(t)
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        out.append(b"".join(map(known.__getitem__, pieces)))
-    return out
+    """Ids of whole texts by the tokenizers library, as little-endian bytes; words never merge across white space."""
+    memory, cut = _memory(path), load(path).pieces
+    return [b"".join(map(memory.__getitem__, cut(t))) for t in texts]
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
