@@ -24,8 +24,8 @@ SEQUENCE = 4096
 END_ID = 1
 #: Pieces of a shard, about; each shard may waste part of one sequence.
 SHARD = 50_000
-#: Partner bins that a draining bin looks at, fullest first; only how long the search goes on depends on it.
-TRIES = 2000
+#: Bins that may fail to give in a row, and partners that each looks at, fullest first: how long the search goes on.
+TRIES = 200
 #: Pieces and words remembered in a task.
 REMEMBERED = 800_000
 
@@ -53,55 +53,61 @@ def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
+def _exchange(own: list[tuple[int, int]], theirs: list[tuple[int, int]], room: int):
+    """What to put from own and take from theirs so that theirs gains most, up to room: a move, one for one, or two for one."""
+    k = bisect_right(own, (room, float("inf"))) - 1
+    if k >= 0:
+        return [own[k]], []
+    put, take, gain = [], [], 0
+
+    def better(given):
+        nonlocal put, take, gain
+        n = sum(x for x, _ in given)
+        j = bisect_left(theirs, (n - room, -1))
+        if j < len(theirs) and gain < n - theirs[j][0] <= room:
+            put, take, gain = given, [theirs[j]], n - theirs[j][0]
+
+    for x in own:
+        better([x])
+    for x in range(len(own) - 1):
+        for y in range(x + 1, min(len(own), x + 33)):
+            if gain < room:
+                better([own[x], own[y]])
+    return put, take
+
+
 def local_search(bins: list[list[int]], lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
-    """Drains the emptiest bin that is not full into the others, again and again, while that raises the squared fill."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    part = sorted((fill[b], b) for b in range(len(bins)) if fill[b] < size)
-    while len(part) > 1:
-        _, low = part.pop(0)
-        # what no set of moves can hold cannot vanish
-        if sum(size - f for f, _ in part) < fill[low]:
-            break
-        own = sorted((lengths[i], i) for i in bins[low])
-        changed = True
-        while own and changed:
-            changed = False
-            for f, b in list(reversed(part))[:TRIES]:
-                room, theirs = size - f, sorted((lengths[i], i) for i in bins[b])
-                put = take = None
-                k = bisect_right(own, (room, float("inf"))) - 1
-                if k >= 0:  # move the largest that has room
-                    put, take = [own[k]], []
-                else:
-                    put, take, gain = None, None, 0
-                    for n, i in own:  # one for one: theirs a little smaller than ours
-                        j = bisect_left(theirs, (n - room, -1))
-                        if j < len(theirs) and 0 < n - theirs[j][0] <= room and n - theirs[j][0] > gain:
-                            put, take, gain = [(n, i)], [theirs[j]], n - theirs[j][0]
-                    if gain < room:
-                        for x in range(len(own) - 1):  # two for one
-                            for y in range(x + 1, min(len(own), x + 33)):
-                                n = own[x][0] + own[y][0]
-                                j = bisect_left(theirs, (n - room, -1))
-                                if j < len(theirs) and 0 < n - theirs[j][0] <= room and n - theirs[j][0] > gain:
-                                    put, take, gain = [own[x], own[y]], [theirs[j]], n - theirs[j][0]
-                # the fuller bin gains, so the sum of squares rises
-                if put and f + sum(n for n, _ in put) - sum(n for n, _ in take) > f and f >= sum(n for n, _ in own) - sum(n for n, _ in put):
-                    gone, back = {i for _, i in put}, {i for _, i in take}
-                    own = [x for x in own if x[1] not in gone]
-                    for x in take:
-                        insort(own, x)
-                    bins[b] = [i for i in bins[b] if i not in back] + [i for _, i in put]
-                    part.pop(bisect_left(part, (f, b)))
-                    now = f + sum(n for n, _ in put) - sum(n for n, _ in take)
-                    if now < size:
-                        insort(part, (now, b))
-                    changed = True
-                    break
-        bins[low] = [i for _, i in own]
-        if own:
-            break  # the emptiest cannot be drained further
-    return [b for b in bins if b]
+    """Moves and exchanges from emptier to fuller bins, as long as one is found: each raises the sum of squared fills.
+
+    The emptiest bin gives first; if it can give nothing, the next emptiest does. It ends when the documents of
+    the bins that are not full could not do with fewer.
+    """
+    members = [sorted((lengths[i], i) for i in b) for b in bins]
+    part = sorted((f, b) for b, m in enumerate(members) if 0 < (f := sum(n for n, _ in m)) < size)
+    room, k = sum(size - f for f, _ in part), 0
+    while k < min(len(part) - 1, TRIES) and room >= size:
+        fill, low = part[k]
+        for at in range(len(part) - 1, max(k, len(part) - 1 - TRIES), -1):
+            f, b = part[at]
+            put, take = _exchange(members[low], members[b], size - f)
+            if put:
+                break
+        else:
+            k += 1
+            continue
+        for x in put:
+            members[low].remove(x)
+            insort(members[b], x)
+        for x in take:
+            members[b].remove(x)
+            insort(members[low], x)
+        gain = sum(n for n, _ in put) - sum(n for n, _ in take)
+        del part[at], part[k]
+        for now, c in ((f + gain, b), (fill - gain, low)):
+            if 0 < now < size:
+                insort(part, (now, c))
+        room, k = sum(size - f for f, _ in part), 0
+    return [[i for _, i in m] for m in members if m]
 
 
 @lru_cache(maxsize=2)

@@ -162,20 +162,20 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, lis
     return out, [r for r, q in enumerate(queries) if not q]
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with a column spans: array<struct<start, ord, kind, end>>, sorted; code points, end exclusive.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, name: str = "spans") -> DataFrame:
+    """docs with a column name: array<struct<start, ord, kind, end>>, sorted; code points, end exclusive.
 
-    Every row comes back, with all its columns (one named spans is replaced, those called cand_* are its own).
+    Every row comes back, with all its columns (one called name is replaced).
     A null text counts as empty and has no spans; matches of a rule do not overlap, those of two rules may.
     Repeated rows and rows without doc_id are scanned like any other.
     """
     few, full = candidates(docs.select("doc_id", "text"), rules)
-    few = few.toDF("cand_id", "cand_rules")
+    few = few.toDF("cand_id__", "cand_rules__")
     text = text_or_empty()
-    joined = docs.drop("spans", "cand_id", "cand_rules").join(few, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
-    found = [_found(r, i, text) if i in full else F.when(F.array_contains("cand_rules", i), _found(r, i, text)) for i, r in enumerate(rules)]
+    joined = docs.drop(name).join(few, F.col("doc_id").eqNullSafe(F.col("cand_id__")), "left")
+    found = [_found(r, i, text) if i in full else F.when(F.array_contains("cand_rules__", i), _found(r, i, text)) for i, r in enumerate(rules)]
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    return joined.withColumn("spans", F.sort_array(F.concat(*(F.coalesce(x, none) for x in found)))).drop("cand_id", "cand_rules")
+    return joined.withColumn(name, F.sort_array(F.concat(*(F.coalesce(x, none) for x in found)))).drop("cand_id__", "cand_rules__")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[SECRET]") -> DataFrame:
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
 
     Texts without spans, nulls among them, stay as they are.
     """
-    found = secret_spans(docs, rules)
+    found = secret_spans(docs, rules, "spans__")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, s):
@@ -191,8 +191,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
         fresh = (s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["out"] == "") | ~F.endswith(acc["out"], F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", zero, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    hit = F.size("spans") > 0
+    clean = F.aggregate("spans__", zero, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    hit = F.size("spans__") > 0
     out = found.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -105,7 +105,7 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if out is None:
-                    out = files.open_output_stream(name)
+                    out = files.open_output_stream(name, compression=None)
                     out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 frame = packer.compress(record(*(None if x is None or x is pd.NA else x for x in row)))
                 out.write(frame)
@@ -161,7 +161,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         files, _ = _files(folder)
         for batch in batches:
             for path in batch["path"]:
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     rows, held = [], 0
                     for raw in frames(stream):
                         fields, payload = parse(raw)
