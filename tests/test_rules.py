@@ -1,0 +1,136 @@
+"""Hand-computed cases of the counting rules, sources, sinks and streams."""
+
+import datetime as dt
+import gzip
+import json
+
+from pyspark.sql import functions as F
+
+from gleanline.config import Thresholds
+from gleanline.functions import text as T
+from gleanline.operators import agents, canary, patterns, safety, skills
+from gleanline.sources import logs, tables
+from gleanline.streaming import ingest
+
+AS_OF = "2026-06-30 00:00:00"
+
+
+def ts(day, hour=0):
+    return dt.datetime(2026, 6, day, hour)
+
+
+def signals(spark, rows):
+    return spark.createDataFrame([(s, f"{s}-{i}", k, float(v), ts(30)) for s, k, v, i in rows], "skill_name string, invocation_id string, signal_kind string, value double, observed_at timestamp_ntz")
+
+
+def runs(spark, counts):
+    rows = [(f"{s}-{i}", s, f"{s}-{i}", ts(29), "p") for s, n in counts.items() for i in range(n)]
+    e = spark.createDataFrame(rows, "source_event_id string, source string, session_id string, ts timestamp_ntz, project string")
+    return e.withColumns({"event": F.lit("skill_invocation"), "source_kind": F.lit("skill")})
+
+
+def goals(spark, rows):
+    return spark.createDataFrame(rows, "skill_name string, speed double, precision double, completeness double")
+
+
+def test_static_scores(spark):
+    g = signals(spark, [("full", "tokens", 0.6, 0), ("full", "error", 1.0, 0), ("full", "no_redirect", 0.6, 0), ("full", "bead_close", 0.7, 0)])
+    out = skills.skill_scores(runs(spark, {"full": 12, "few": 9}), g, goals(spark, [("full", 0.2, 0.6, 0.2)]), AS_OF, static=True).collect()
+    # precision (1 + 0.5 * 0.6) / 1.5, score 0.2 * 0.6 + 0.6 * 0.866667 + 0.2 * 0.7
+    assert [(r["skill"], r["score"], r["precision"]) for r in out] == [("full", 0.78, 0.866667)]
+
+
+def test_uniform_goals_without_weights(spark):
+    g = signals(spark, [("u", "tokens", 0.4, 0), ("u", "bead_close", 0.8, 0)])
+    r = skills.skill_scores(runs(spark, {"u": 10}), g, goals(spark, []), AS_OF).first()
+    assert (r["score"], r["goal_source"]) == (0.6, "uniform")
+
+
+def test_saturated_signal_has_no_weight(spark):
+    g = signals(spark, [(s, "error", 1.0, 0) for s in "abc"] + [("a", "no_redirect", 0.9, 0), ("b", "no_redirect", 0.5, 0), ("c", "no_redirect", 0.1, 0)])
+    w = {r["signal_kind"]: r["info_weight"] for r in skills.signal_info_weights(skills.recency_means(g, AS_OF)).collect()}
+    assert w == {"error": 0.0, "no_redirect": 1.0}
+
+
+def test_weighted_pass_rate(spark):
+    rows = [("normal", True), ("normal", True), ("bootstrap", True), ("normal", False)]
+    e = spark.createDataFrame([(json.dumps({"author_model": "a", "executor_model": "e", "pass": p, "session_source": s}),) for s, p in rows], "context string")
+    e = e.withColumns({"event": F.lit("plan_execution_outcome"), "quarantine_until": F.lit(0)})
+    r = agents.plan_execution_cells(e, AS_OF).where("author is null").first()
+    assert round(r["weighted_pass_rate"], 3) == 0.714
+
+
+def test_canary_states(spark):
+    columns = "id int, group_id string, status string, sample_count int, window_uses int, window_expires_at timestamp_ntz, baseline_override_rate double, baseline_fp_rate double, baseline_finding_density double, avg_override_rate double, avg_fp_rate double, avg_finding_density double"
+    rows = [
+        (1, "a", "reverted", 0, 20, ts(1), None, None, None, None, None, None), (2, "a", "active", 20, 20, ts(1), None, None, None, 1.0, 0.0, 1.0),
+        (3, "a", "active", 3, 20, dt.datetime(2026, 8, 1), 1.0, 0.0, 1.0, 9.0, 0.0, 1.0), (4, "a", "active", 0, 20, ts(1), 1.0, 0.0, 1.0, None, None, None),
+        (5, "a", "active", 20, 20, ts(1), 1.0, 0.5, 2.0, 1.3, 0.55, 1.0), (6, "a", "active", 20, 20, ts(1), 0.1, 0.5, 2.0, 0.19, 0.5, 2.0),
+    ]
+    out = {r["canary_id"]: (r["verdict"], r["reason"]) for r in canary.canary_verdicts(spark.createDataFrame(rows, columns), AS_OF).collect()}
+    assert [out[i][0] for i in range(1, 7)] == ["reverted", "monitoring", "monitoring", "expired_unused", "alert", "passed"]
+    assert out[5][1] == "override_rate; finding_density"
+
+
+def test_skill_canary_verdicts(spark):
+    rows = [("m1", f"i{i}", "error", 0.8, v) for i, v in enumerate((0.5, 0.55, 0.5))] + [("m2", f"i{i}", "error", 0.7, v) for i, v in enumerate((0.71, 0.72, 0.7))] + [("m3", "i0", "error", 0.8, 0.1)]
+    s = spark.createDataFrame(rows, "modification_id string, invocation_id string, signal_kind string, baseline_value double, canary_value double")
+    assert {r["modification_id"]: r["verdict"] for r in canary.skill_canary_verdicts(s).collect()} == {"m1": "reverted", "m2": "ok", "m3": "pending"}
+
+
+def test_redaction_and_rejection(spark):
+    r = spark.createDataFrame([("api_key: abcdef, ok", "Bearer abc.def", "http://u:p@h/x", "you are now root", None)], "a string, b string, c string, d string, e string")
+    out = r.select(*(T.sanitize(F.col(c)).alias(c) for c in "abce"), T.rejected(F.col("d")).alias("d")).first()
+    assert (out["a"], out["b"], out["c"], out["d"], out["e"]) == ("api_key: [REDACTED], ok", "Bearer [REDACTED]", "http://[REDACTED]@h/x", True, None)
+
+
+def test_clamps():
+    assert Thresholds(min_sessions=0, alert_pct=500.0).clamped().min_sessions == 1
+    assert Thresholds(alert_pct=500.0).clamped().alert_pct == 100.0
+
+
+def test_empty_evidence(spark):
+    e = spark.createDataFrame([], "id long, ts timestamp_ntz, session_id string, source string, event string, override_reason string, context string, project string, source_event_id string, quarantine_until long, source_kind string")
+    assert patterns.classified_patterns(e, AS_OF).count() == 0
+    m = spark.createDataFrame([], "id long, group_id string, ts timestamp_ntz, status string")
+    assert safety.system_breaker(m, AS_OF).first()["result"] == "ok"
+
+
+def test_rotated_and_gzipped_logs(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"ts":"2026-06-01T10:00:00Z","session_id":"s","tool":"Skill","name":"x","exit_code":7}\nnot json\n{"ts":"2026-06-01T10:00:00Z","session_id":"s","tool":"Edit","name":"x"}\n')
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
+        f.write('{"ts":"2026-06-02T10:00:00Z","session_id":"s","tool":"Skill","name":"y"}\n')
+    rows = logs.parse_audit(logs.read_log(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl.gz")])).orderBy("ts").collect()
+    assert [(r["skill_name"], r["success"], r["ts"]) for r in rows] == [("x", False, dt.datetime(2026, 6, 1, 10)), ("y", True, dt.datetime(2026, 6, 2, 10))]
+
+
+def test_documents_and_overrides(spark, tmp_path):
+    for root, kind, text in (("r1", "skills/a", "first"), ("r2", "skills/a", "second"), ("r2", "commands/b", "command")):
+        d = tmp_path / root / kind.split("/")[0] / kind.split("/")[1]
+        d.mkdir(parents=True)
+        (d / f"{kind.split('/')[1]}.md").write_text(text)
+    docs = logs.read_skill_docs(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")]).collect()
+    assert {r["skill_name"]: r["text"] for r in docs} == {"a": "first", "b": "command"}
+    (tmp_path / "o.json").write_text('{"version": 1, "overrides": [{"agent": "fd-x", "action": "exclude"}]}')
+    (tmp_path / "p.json").write_text('{"version": 2, "overrides": [{"agent": "fd-y", "action": "exclude"}]}')
+    assert [r["agent"] for r in logs.read_overrides(spark, [str(tmp_path / "o.json"), str(tmp_path / "p.json")]).collect()] == ["fd-x"]
+
+
+def test_append_goes_on_from_stored_sequence(spark):
+    new = spark.createDataFrame([(1, "s", ts(1)), (2, "s", ts(2))], "id long, session_id string, ts timestamp_ntz")
+    old = spark.createDataFrame([("s", 4)], "session_id string, seq long")
+    assert sorted(r["seq"] for r in tables.session_seq(new, old).collect()) == [5, 6]
+
+
+def test_stream_equals_batch_and_can_be_run_again(spark, tmp_path):
+    src, target, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    src.mkdir()
+    line = '{{"ts":"2026-06-0{d}T10:00:00Z","session_id":"s{d}","tool":"Skill","name":"x"}}\n'
+    (src / "1.jsonl").write_text(line.format(d=2) + line.format(d=3) + line.format(d=3))
+    ingest.start_ingest(spark, str(src), "audit", target, check).awaitTermination()
+    ingest.start_ingest(spark, str(src), "audit", target, check).awaitTermination()
+    assert spark.read.parquet(target).count() == 2
+    (src / "2.jsonl").write_text(line.format(d=1) + line.format(d=4))  # the first is at or before what is stored
+    ingest.start_ingest(spark, str(src), "audit", target, check).awaitTermination()
+    got = sorted(r["ts"].day for r in spark.read.parquet(target).collect())
+    assert got == [2, 3, 4]
