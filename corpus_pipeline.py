@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm import langid, packing, secrets, simhash, toxicity
+from gleanline.llm import langid, nearcopies, packing, secrets, toxicity
 from gleanline.llm.common import shared_dir, table
 
 
@@ -23,8 +23,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies; a document without an id stays."""
-    groups = simhash.simhash_components(docs)
+    """The document with the least doc_id of each group of near copies (five words, similarity 0.8); a document without an id stays."""
+    groups = nearcopies.near_copy_components(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -22,6 +22,8 @@ BITS = 64
 SEED = 42
 #: A bucket of more fingerprints is not paired; its members meet over the points one bit away instead.
 PAIRED_AT_MOST = 64
+#: The cost of a shuffled point, in candidates (only if both sides emit points).
+POINT = 2
 #: Hashes expanded to bits at a time.
 BLOCK = 1 << 16
 
@@ -83,13 +85,21 @@ def group_bits(both: np.ndarray, n: float, m: int) -> list[list[int]]:
     np.fill_diagonal(corr, 0)
     seeds = [int(corr.sum(axis=0).argmax())]
     while len(seeds) < m:
-        seeds.append(min((b for b in range(BITS) if b not in seeds), key=lambda b: (corr[b, seeds].max(), b)))
-    groups, left = [[s] for s in seeds], sorted(set(range(BITS)) - set(seeds))
-    room = -(-BITS // m)
+        seeds.append(min((b for b in range(len(both)) if b not in seeds), key=lambda b: (corr[b, seeds].max(), b)))
+    groups, left = [[s] for s in seeds], sorted(set(range(len(both))) - set(seeds))
+    room = -(-len(both) // m)
+    total = np.stack([corr[s] for s in seeds])
+    open_ = np.full((m, len(both)), -np.inf)
+    open_[:, left] = 0
     while left:
-        score, b, g = max((corr[b, groups[g]].mean(), -b, -g) for b in left for g in range(m) if len(groups[g]) < room)
-        groups[-g].append(-b)
-        left.remove(-b)
+        score = total / np.array([[len(g)] for g in groups]) + open_
+        g, b = np.unravel_index(int(score.argmax()), score.shape)
+        groups[g].append(int(b))
+        left.remove(int(b))
+        total[g] += corr[b]
+        open_[:, b] = -np.inf
+        if len(groups[g]) == room:
+            open_[g] = -np.inf
     return [sorted(g) for g in groups]
 
 
@@ -127,13 +137,22 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
     return best[distance + 1]
 
 
-def plan(both: np.ndarray, n: float, distance: int) -> list[tuple[list[int], int]]:
-    """Groups of bits with their thresholds: of 2 to distance + 2 partitions the number with the least estimated probes and candidates."""
+def plan(both: np.ndarray, n: float, distance: int, halves: bool = False) -> list[tuple[list[int], int]]:
+    """Groups of bits with their thresholds: of 2 to distance + 2 partitions the number with the least estimated probes and candidates.
+
+    With halves, both sides of the search emit the points within half the threshold, which is then even; otherwise one
+    side emits all points within it. A point is sent over the network, and so costs as much as POINT candidates.
+    """
     options = []
+
+    def points(width: int, radius: int) -> int:
+        return sum(comb(width, d) for d in range(radius + 1))
+
     for m in range(2, distance + 3):
         groups = group_bits(both, n, m)
         near = [within(both, n, g, distance) for g in groups]
-        costs = [[0.0] + [n * sum(comb(len(g), d) for d in range(t + 1)) + n * n / 2 * share[t] for t in range(distance + 1)] for g, share in zip(groups, near, strict=True)]
+        probes = [[(2 * points(len(g), t // 2) if t % 2 == 0 else np.inf) * POINT if halves else points(len(g), t) for t in range(distance + 1)] for g in groups]
+        costs = [[0.0] + [n * p[t] + n * n / 2 * share[t] for t in range(distance + 1)] for p, share in zip(probes, near, strict=True)]
         cost, thresholds = allocate(costs, distance)
         options.append((cost, m, groups, thresholds))
     _, _, groups, thresholds = min(options)
