@@ -40,9 +40,12 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @F.pandas_udf("digest binary, fp long")
     def described(texts: pd.Series) -> pd.DataFrame:
-        words = [b" ".join((t or "").encode("utf-8", "replace").lower().split()) for t in texts]
-        fps = [simhash.text_fingerprint(t, FINGERPRINT_WORDS) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(w) if w else None for w in words], "fp": fps})
+        digests, fps = [], []
+        for t in texts:  # one text's words at a time: a batch of them at once is what a worker's memory goes to
+            words = b" ".join((t or "").encode("utf-8", "replace").lower().split())
+            digests.append(xxhash.xxh3_128_digest(words) if words else None)
+            fps.append(simhash.text_fingerprint(t, FINGERPRINT_WORDS))
+        return pd.DataFrame({"digest": digests, "fp": fps})
 
     return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.fp")
 
