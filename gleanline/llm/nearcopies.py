@@ -1,12 +1,13 @@
-"""Near copies by words: SimHash candidates from the generalised pigeonhole, kept where the shingles agree.
+"""Near copies by words: candidates from prefixes of ordered shingle sets, kept where the sets agree.
 
-A near copy at a Jaccard similarity of 0.8 differs in about a tenth of its fingerprint, so distances here are larger
-than those of simhash, and chance meetings are common: every candidate pair is compared by its sets of word shingles.
+After Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection" (WWW 2008): if all sets are put in one
+order, two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1 members. So no pair is missed, and
+texts without a common shingle never meet.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pandas as pd
@@ -14,15 +15,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanline.llm import simhash
 from gleanline.llm.common import keep
 from gleanline.llm.components import connected_components
 
-#: Words of a shingle in fingerprints; shorter than the compared ones, so that an edit moves fewer bits.
+#: Words of a shingle, and bits within which a pair is found and may be linked, of the 64-bit fingerprints that gave candidates once: now all.
 FINGERPRINT_WORDS = 3
-#: All pairs within COMPLETE bits are candidates. Farther ones that meet in some partition are too, up to REACH.
-COMPLETE, REACH = 8, 12
-#: A bucket's members meet so many of them first; each member is compared with the nearest so many it has met.
+COMPLETE, REACH = 64, 64
+#: Shingles are ordered by how often about so many texts have them, so that common ones are seldom in a prefix. Any order finds all pairs.
+ORDER_TEXTS = 8000
+#: Shingles in fewer of those texts count as equally rare; of the others so many are told apart at most (16 bytes each).
+COMMON, COMMON_AT_MOST = 3, 200_000
+#: A bucket's members meet so many of them first; each member is compared with the so many that it meets most often.
 LEADERS = 8
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 1_000_000
@@ -35,40 +38,57 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))).view(np.int64)
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the words or null without any, fp)."""
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of the different texts have, in the order of their hashes, and how many have them."""
 
-    @F.pandas_udf("digest binary, fp long")
+    def own(batches):
+        for batch in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, k) for t in batch["text"])])})
+
+    n = texts.count()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, ORDER_TEXTS / max(n, 1)) * (1 << 20)).select("text").distinct()
+    got = some.mapInPandas(own, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_AT_MOST).toPandas().sort_values("h")
+    return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
+
+
+def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 members of a sorted set, the rare ones first."""
+    if not len(own):
+        return own
+    often = np.zeros(len(own), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        often = np.where(hashes[at] == own, counts[at], 0)
+    return own[np.argsort(often, kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+
+
+def _described(docs: DataFrame, k: int, similarity: float, common, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest of the words or null without any, n shingles, the first of them)."""
+
+    @F.pandas_udf("digest binary, n int, first array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
-        digests, fps = [], []
+        digests, n, first = [], [], []
         for t in texts:  # one text's words at a time: a batch of them at once is what a worker's memory goes to
             words = b" ".join((t or "").encode("utf-8", "replace").lower().split())
             digests.append(xxhash.xxh3_128_digest(words) if words else None)
-            fps.append(simhash.text_fingerprint(t, FINGERPRINT_WORDS))
-        return pd.DataFrame({"digest": digests, "fp": fps})
-
-    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.fp")
-
+            own = shingle_set(t or "", k)
+            n.append(len(own))
+            first.append(prefix(own, similarity, *common))
+        return pd.DataFrame({"digest": digests, "n": n, "first": first})
 
-def _keys(part: int, value, flips):
-    return F.transform(flips, lambda x: F.xxhash64(F.lit(part), value.bitwiseXOR(x)))
+    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.n", "d.first")
 
 
-def _points(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, rep, fp, comp), dealt by key: for each partition all values of its bits within half its threshold, which is even.
-
-    Two fingerprints that differ there by the threshold or less share a point. Keys are hashes; what meets by a
-    collision is told apart later. A node has each key once, so no key can have a large share of all rows.
-    """
-    keys = []
-    for i, (bits, t) in enumerate(parts):
-        flips = F.array(*[F.lit(simhash._long(c)) for d in range(t // 2 + 1) for c in combinations(bits, d)])
-        keys.append(_keys(i, F.col("fp").bitwiseAND(F.lit(simhash._long(bits))), flips))
-    return nodes.select(F.explode(F.concat(*keys)).alias("key"), *nodes.columns).repartition("key")
+def _points(nodes: DataFrame) -> DataFrame:
+    """(key, left, and the columns of nodes), dealt by key: each shingle of a prefix and how many of the set come after it."""
+    other = [c for c in nodes.columns if c != "first"]
+    return nodes.select(F.posexplode("first").alias("at", "key"), *other).select("key", (F.col("n") - F.col("at") - 1).alias("left"), *other).repartition("key")
 
 
-def _apart(other):
-    return F.bit_count(F.col("fp").bitwiseXOR(other)).cast("int")
+def _may(n2, left2, similarity: float):
+    """Whether two sets can be alike whose first common member is this one: by their sizes and what comes after it."""
+    sizes = F.least("n", n2) >= similarity * F.greatest("n", n2) - 1e-9
+    return sizes & (1 + F.least("left", left2) >= similarity / (1 + similarity) * (F.col("n") + n2) - 1e-9)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -91,47 +111,43 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Dat
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, complete: int = COMPLETE, reach: int = REACH, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row of docs: component_id is the least doc_id reachable over links.
 
-    Texts link if their words are the same, or if their fingerprints meet and their sets of k-word shingles (fewer
-    words: the whole sequence) have at least that Jaccard similarity. Fingerprints meet if they differ in at most
-    `complete` bits, or in at most `reach` and are within the threshold of some partition. Null texts and texts
-    without a word link nothing; a row without doc_id has no component. Rows that share an id count as one document;
-    repeated rows give repeated results. Other columns of docs are ignored.
+    Texts link if their words are the same, or if their sets of k-word shingles (fewer words: the whole sequence)
+    have at least that Jaccard similarity; all such pairs are found. Null texts and texts without a word link
+    nothing; a row without doc_id has no component. Rows that share an id count as one document; repeated rows give
+    repeated results. Other columns of docs are ignored.
 
     A bucket may hold a large group of copies, and pairing it would be quadratic. So each of its members first meets
-    a few leaders, and is compared with the nearest of all that it met. What is in one component by then needs no
+    a few leaders, and is compared with those that it met most often. What is in one component by then needs no
     further comparison. Then, in each bucket all members outside its largest component meet all those of other
     components, which makes the links complete whatever the leaders were.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null and text is not null")
-    rows = keep(_described(docs, id_col, text_col))
-    nodes = keep(rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+    rows = keep(_described(docs, k, similarity, _common(texts, k), id_col, text_col))
+    nodes = keep(rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")))
     links = rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    counts = simhash.bit_counts(nodes)
-    n = counts[-1]
-    if n >= 2:
-        parts = simhash.plan(counts[:-1].reshape(simhash.BITS, simhash.BITS), n, complete, halves=True)
-        links = links.union(_links(nodes.select("rep", "fp"), parts, texts, k, similarity, reach, leaders))
+    links = links.union(_links(nodes.select("rep", "n", "first"), texts, k, similarity, leaders))
     found = keep(connected_components(links))
     out = rows.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _links(nodes: DataFrame, parts, texts: DataFrame, k: int, similarity: float, reach: int, leaders: int) -> DataFrame:
-    points = _points(nodes, parts)
-    least = [F.min(F.struct(F.xxhash64("rep", F.lit(j)), F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))) for j in range(leaders)]
-    led = points.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda x: F.struct(x.rep2.alias("rep2"), x.fp2.alias("fp2")))).alias("l"), F.count("*").alias("n")).where("n > 1")
-    met = points.join(led.select("key", "l"), "key").select("rep", F.filter(F.transform("l", lambda x: F.struct(_apart(x.fp2).alias("d"), x.rep2.alias("rep2"))), lambda x: (x.d <= reach) & (x.rep2 != F.col("rep"))).alias("l"))
-    met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("x")).groupBy("rep").agg(F.collect_set("x").alias("all"))
-    first = keep(_ordered(met.select("rep", F.explode(F.slice(F.sort_array("all"), 1, leaders)).alias("x")).select("rep", "x.rep2")))
+def _links(nodes: DataFrame, texts: DataFrame, k: int, similarity: float, leaders: int) -> DataFrame:
+    points = _points(nodes)
+    least = [F.min(F.struct(F.xxhash64("rep", F.lit(j)), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"))) for j in range(leaders)]
+    led = points.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda x: F.struct(x.rep2.alias("rep2"), x.n2.alias("n2"), x.left2.alias("left2")))).alias("l"), F.count("*").alias("many")).where("many > 1")
+    met = points.join(led.select("key", "l"), "key").select("rep", F.transform(F.filter("l", lambda x: (x.rep2 != F.col("rep")) & _may(x.n2, x.left2, similarity)), lambda x: x.rep2).alias("l"))
+    met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("rep2")).groupBy("rep", "rep2").count()
+    most = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
+    first = keep(_ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, leaders)).alias("x")).select("rep", "x.rep2")))
     good = keep(_alike(first, texts, k, similarity))
     comp = connected_components(good)
-    now = keep(nodes.join(comp, nodes.rep == comp.node, "left").select("rep", "fp", F.coalesce("component", "rep").alias("comp")))
-    points = _points(now, parts)
-    main = points.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    x, y = points.join(main, "key").where("comp <> main").drop("main"), points.toDF("key", "rep2", "fp2", "comp2")
-    pairs = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & (_apart(F.col("fp2")) <= reach)).select("rep", "rep2")
+    now = keep(nodes.join(comp, nodes.rep == comp.node, "left").select("rep", "n", "first", F.coalesce("component", "rep").alias("comp")))
+    points = _points(now)
+    main = points.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    x, y = points.join(main, "key").where("comp <> main").drop("main"), points.toDF("key", "left2", "rep2", "n2", "comp2")
+    pairs = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & _may(F.col("n2"), F.col("left2"), similarity)).select("rep", "rep2")
     rest = keep(_ordered(pairs).join(first, ["a", "b"], "left_anti"))
     return good.union(_alike(rest, texts, k, similarity))

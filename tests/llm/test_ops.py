@@ -162,6 +162,22 @@ def test_near_copies(spark, docs, none, leaders):
     assert sorted(r["component_id"] for r in nearcopies.near_copy_components(docs).where("doc_id >= 7").collect()) == [7, 8, 8, 10, 11]
 
 
+def test_near_copies_with_one_block_replaced(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(120):  # pairs whose one change is a replaced passage or a cut end, at 0.8 or just above
+        own = list(rng.choice(words, 200))
+        other = own[:160] if i % 2 else own[:90] + list(rng.choice(words, 16)) + own[106:]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    far = [((simhash.text_fingerprint(rows[2 * i][1], 3) ^ simhash.text_fingerprint(rows[2 * i + 1][1], 3)) % 2**64).bit_count() for i in range(120)]
+    sets = [set(nearcopies.shingle_set(t, 5).tolist()) for _, t in rows]
+    alike = [2 * i for i in range(120) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(alike) >= 60 and any(far[i // 2] > 12 for i in alike)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 2 and i - 1 in alike else i for i in range(240)}
+
+
 def test_allocation_is_the_cheapest():
     from itertools import product
 
