@@ -2,7 +2,7 @@
 
 Texts are TF-IDF vectors of character n-grams, scaled to length one. Each language has several centroids
 (spherical k-means of its own training vectors), and a text gets the language of the centroid with the greatest
-cosine. A text farther from that centroid than nearly everything that was learned from is rejected.
+cosine. A text farther from that centroid than nearly all texts of the language that were not learned from is rejected.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ PER_LANGUAGE = 600
 CENTROIDS = 4
 #: Code points handled at a time.
 BLOCK = 1 << 19
-#: A text is rejected if its cosine is under this share of that of the language's 1st percentile.
-REACH = 0.25
+#: A text is rejected if its cosine is under this share of the 1st percentile of the language's own texts, each seen by centroids of the other folds.
+REACH = 0.75
+FOLDS = 3
 
 
 @dataclass
@@ -87,6 +88,16 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _unseen(x: np.ndarray, k: int) -> np.ndarray:
+    """Of each vector the greatest cosine with centroids that were made without its fold; a lone one has none but itself."""
+    if len(x) < 2:
+        return (x @ x.T).max(axis=1)
+    out, fold = np.zeros(len(x)), np.arange(len(x)) % FOLDS
+    for f in np.unique(fold):
+        out[fold == f] = (x[fold == f] @ _cluster(x[fold != f], k).T).max(axis=1)
+    return out
+
+
 def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS) -> Model:
     """Texts and their languages to centroids; with no text the model knows no language."""
     names = sorted(set(langs))
@@ -99,7 +110,7 @@ def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS) -> Model
         c = _cluster(own, centroids)
         rows.append(c)
         owner += [i] * len(c)
-        floor.append(REACH * float(np.percentile((own @ c.T).max(axis=1), 1)))
+        floor.append(REACH * float(np.percentile(_unseen(own, centroids), 1)))
     return Model(names, idf, np.concatenate(rows).astype(np.float32), np.array(owner, int), np.array(floor))
 
 

@@ -200,6 +200,18 @@ def test_language(spark, docs, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_that_was_not_learned_is_rejected():
+    import pandas as pd
+
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").dropna(subset=["text", "lang"])
+    d = d[d.text.map(lambda t: any(map(str.isalpha, t)))]
+    for lang in sorted(set(d.lang)):
+        rest = d[d.lang != lang]
+        model = langid.fit(list(rest.text[::2]), list(rest.lang[::2]))
+        rejected = {k: langid.predict(model, list(t))[2].mean() for k, t in (("out", d[d.lang == lang].text), ("known", rest.text[1::2]))}
+        assert rejected["out"] >= 0.9 and rejected["known"] <= 0.02, (lang, rejected)
+
+
 @pytest.mark.parametrize("per_pivot, block", [(4096, 2048), (20, 8)])
 def test_embeddings(spark, monkeypatch, per_pivot, block):
     monkeypatch.setattr(embeddings, "PER_PIVOT", per_pivot)
