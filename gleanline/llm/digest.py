@@ -19,8 +19,8 @@ from gleanline.llm.common import table, text_or_empty
 WINDOW = 64
 #: Entropy is told apart in so many steps.
 STEPS = 1000
-#: A feature is the rarest of at least so many of the runs of WINDOW windows it lies in.
-POPULAR = 16
+#: A feature is the rarest of at least so many of the runs of WINDOW windows it lies in; runs may stand out of the text at both ends.
+POPULAR = 8
 FILTER_BITS = 2048
 HASHES = 5
 #: Features of a filter before the chain goes on.
@@ -109,21 +109,17 @@ def _digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
     n = len(inside)
     # the least of (rank, place): the leftmost of the rarest; windows outside are last
     key = np.where(inside, ranks[_entropy(x)].astype(np.int64), STEPS + 1) << 32 | np.arange(n)
-    low = np.concatenate((key, np.full(WINDOW, np.iinfo(np.int64).max)))
+    none = np.full(WINDOW, np.iinfo(np.int64).max)
+    low = np.concatenate((none, key, none))
+    runs = n + WINDOW
     reach = 1
     while reach < WINDOW:
-        low[: -reach or None][:n] = np.minimum(low[:n], low[reach : reach + n])
+        low[:runs] = np.minimum(low[:runs], low[reach : reach + runs])
         reach *= 2
-    best = low[:n][inside] & 0xFFFFFFFF
+    best = low[:runs][low[:runs] >> 32 <= STEPS] & 0xFFFFFFFF
     score = np.bincount(best, minlength=n)
     owner = np.searchsorted(starts, np.arange(n), side="right") - 1
     chosen = np.flatnonzero((score >= POPULAR) & inside)
-    have = np.zeros(len(texts) + 1, bool)
-    have[owner[chosen]] = True
-    lone = [t for t, text in enumerate(texts) if text and not have[t]]
-    if lone:  # nothing stands out: the rarest window of all
-        extra = [starts[t] + int(key[starts[t] : starts[t + 1]].argmin()) for t in lone]
-        chosen = np.sort(np.concatenate((chosen, np.array(extra, np.int64))))
     h, own = _hash(x, chosen), owner[chosen]
     order = np.lexsort((np.arange(len(h)), h, own))  # a feature counts once in a text, where it first stands
     fresh = np.ones(len(h), bool)

@@ -90,6 +90,21 @@ def test_digests(spark, docs, none):
     assert digest.fingerprint(docs).count() == len(ROWS)
 
 
+def test_short_texts_share_features_with_their_edited_form():
+    import pandas as pd
+
+    own = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id").text.dropna()
+    texts = [t.encode()[: 130 + i % 70] for i, t in enumerate(own) if len(t) >= 1000][:400]
+    count = digest.entropy_histogram(texts)
+    ranks = np.empty(digest.STEPS + 1, np.int64)
+    ranks[np.lexsort((np.arange(digest.STEPS + 1), count))] = np.arange(digest.STEPS + 1)
+    edited = [t[: len(t) - len(t) // 4] + nxt[: len(t) // 4] for t, nxt in zip(texts, texts[1:] + texts[:1], strict=True)]
+    chains = digest.digests(texts, ranks)
+    near = [digest.likeness(a, b) for a, b in zip(chains, digest.digests(edited, ranks), strict=True)]
+    assert np.mean([x == 0 for x in near]) <= 0.08
+    assert np.mean([digest.likeness(a, b) > 0.1 for a, b in zip(chains, chains[7:] + chains[:7], strict=True)]) <= 0.02
+
+
 def test_entropy_is_that_of_each_window():
     x = np.frombuffer(np.random.default_rng(0).integers(97, 105, 500).astype(np.uint8).tobytes(), np.uint8)
     got = digest._entropy(x)
