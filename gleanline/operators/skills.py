@@ -33,23 +33,34 @@ def signal_error(pending: DataFrame) -> DataFrame:
     return _signal(pending, "error", F.lit(1.0), F.lit(1.0), F.lit('{"default": true}'))
 
 
-def bead_asof(pending: DataFrame, items: DataFrame, tie_s: int = 60, max_age_days: int = 7) -> DataFrame:
-    """The open item of the project that began last before an invocation; none if a second one began within tie_s.
+def bead_asof(pending: DataFrame, items: DataFrame, tie_s: int = 60, max_age_days: int | None = None, cell_days: int = 7) -> DataFrame:
+    """The open item of the project that began last before an invocation, however long ago (or max_age_days); none if a second one began within tie_s.
 
-    The range is cut into cells of max_age_days: an invocation meets the items of its own cell and the one before
-    it, so that a busy project's pairs grow with its rate and not with its history. Older items are no candidates.
+    Time is cut into cells of cell_days, and an item stands in each cell it is open in, up to that of the last
+    invocation. Of those open throughout a cell the two that began last are enough, so that a busy project's pairs
+    grow with its rate and not with its history.
     """
-    width = max_age_days * 86400
+    width = cell_days * 86400
+    def second(c):
+        return F.unix_timestamp(c.cast("timestamp"))
+
     def cell(c):
-        return F.floor(F.unix_timestamp(c.cast("timestamp")) / width)
+        return F.floor(second(c) / width)
 
     inv = pending.withColumn("cell", cell(F.col("ts")))
-    work = items.select(F.col("id").alias("bead_id"), "project", "started_at", "closed_at", "status", "updated_at").withColumn("cell", F.explode(F.array(cell(F.col("started_at")), cell(F.col("started_at")) + 1)))
-    age = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))
-    pairs = inv.join(work, ["project", "cell"]).where((F.col("started_at") <= F.col("ts")) & (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("ts"))) & (age <= width))
+    work = items.select(F.col("id").alias("bead_id"), "project", "started_at", "closed_at", "status", "updated_at").where("closed_at is null or closed_at > started_at")
+    work = work.crossJoin(F.broadcast(inv.agg(F.max("cell").alias("last"))))
+    first, end = cell(F.col("started_at")), F.least(cell(F.col("closed_at")), F.col("last"))
+    work = work.where(first <= end).withColumn("cell", F.explode(F.sequence(first, end)))
+    whole = (first < F.col("cell")) & F.coalesce(cell(F.col("closed_at")) > F.col("cell"), F.lit(True))
+    of = Window.partitionBy("project", "cell", "whole").orderBy(F.desc("started_at"), F.desc("bead_id"))
+    work = work.withColumn("whole", whole).withColumn("nth", F.row_number().over(of)).where("not whole or nth <= 2").drop("whole", "nth", "last")
+    pairs = inv.join(work, ["project", "cell"]).where((F.col("started_at") <= F.col("ts")) & (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("ts"))))
+    if max_age_days is not None:
+        pairs = pairs.where(second(F.col("ts")) - second(F.col("started_at")) <= max_age_days * 86400)
     w = Window.partitionBy("invocation_id").orderBy(F.desc("started_at"), F.desc("bead_id"))
     top = pairs.withColumn("second", F.lead("started_at").over(w)).withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    gap = F.unix_timestamp(F.col("started_at").cast("timestamp")) - F.unix_timestamp(F.col("second").cast("timestamp"))
+    gap = second(F.col("started_at")) - second(F.col("second"))
     return top.where(F.coalesce(gap > tie_s, F.lit(True))).select("invocation_id", "session_id", "skill_name", "project", "ts", "bead_id", "started_at", "status", "closed_at", "updated_at")
 
 

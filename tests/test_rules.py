@@ -116,6 +116,15 @@ def test_documents_and_overrides(spark, tmp_path):
     assert [r["agent"] for r in logs.read_overrides(spark, [str(tmp_path / "o.json"), str(tmp_path / "p.json")]).collect()] == ["fd-x"]
 
 
+def test_open_item_is_found_whatever_its_age(spark):
+    pending = spark.createDataFrame([("i1", ts(29)), ("i2", ts(10, 5))], "invocation_id string, ts timestamp_ntz").withColumns({"session_id": F.lit("s"), "skill_name": F.lit("x"), "project": F.lit("p")})
+    rows = [("old", ts(1), None), ("older", dt.datetime(2026, 1, 1), None), ("oldest", dt.datetime(2025, 1, 1), None), ("short", ts(9), ts(12)), ("gone", ts(20), ts(27)), ("future", ts(30), None)]
+    items = spark.createDataFrame(rows, "id string, started_at timestamp_ntz, closed_at timestamp_ntz").withColumns({"project": F.lit("p"), "status": F.lit("in_progress"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    assert {r["invocation_id"]: r["bead_id"] for r in skills.bead_asof(pending, items).collect()} == {"i1": "old", "i2": "short"}
+    tied = items.unionByName(items.where("id = 'old'").withColumn("id", F.lit("twin")))
+    assert {r["invocation_id"]: r["bead_id"] for r in skills.bead_asof(pending, tied).collect()} == {"i2": "short"}
+
+
 def test_append_goes_on_from_stored_sequence(spark):
     new = spark.createDataFrame([(1, "s", ts(1)), (2, "s", ts(2))], "id long, session_id string, ts timestamp_ntz")
     old = spark.createDataFrame([("s", 4)], "session_id string, seq long")
