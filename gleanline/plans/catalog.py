@@ -271,13 +271,13 @@ CATALOG = {
     "ingest_route_candidates": (lambda f: logs.parse_routes(f.route_log).select("invocation_id", "session_id", "skill_name", "ts", "project"), f"""SELECT concat({_json('route_id')}, '#', i, ':', c) AS invocation_id, {_json('route_id')} AS session_id, c AS skill_name, CAST({_json('timestamp')} AS TIMESTAMP) AS ts, string_split({_json('cwd')}, '/')[-1] AS project FROM route_log CROSS JOIN (VALUES (0, 'plug:a'), (1, 'plug:b')) t(i, c)"""),
     "scan_multi_log": (lambda f: logs.select_source(None, f.tool_log).groupBy("skill_name").count(), f"SELECT {_json('skill')} AS skill_name, count(*) AS count FROM tool_log WHERE {_json('tool')} = 'Skill' GROUP BY 1"),
     "ingest_agent_dispatch": (lambda f: logs.dispatch_events(f.evidence.select("session_id", "ts", F.when(F.col("id") % 3 == 0, "Task").otherwise("Read").alias("tool_name"), F.when(F.col("id") % 2 == 0, F.col("source")).alias("subagent"))), "SELECT session_id, ts, CASE WHEN id % 2 = 0 THEN source ELSE 'unknown' END AS source, 'agent_dispatch' AS event FROM evidence WHERE id % 3 = 0"),
-    "ingest_kernel_events": (lambda f: logs.kernel_events(f.bus, 50), "SELECT id, ts, session_id, concat('kernel-', source) AS source, type AS event FROM (SELECT * FROM bus WHERE id > 50 ORDER BY id LIMIT 100) WHERE source <> '' AND type <> ''"),
+    "ingest_kernel_events": (lambda f: logs.kernel_events(f.bus, 50, 100), "SELECT id, ts, session_id, concat('kernel-', source) AS source, type AS event FROM (SELECT * FROM bus WHERE id > 50 ORDER BY id LIMIT 100) WHERE source <> '' AND type <> ''"),
     "ingest_disagreements": (lambda f: logs.disagreements(f.reviews), """SELECT id, ts, session_id, source, 'disagreement_override' AS event, CASE dismissal_reason WHEN 'agent_wrong' THEN 'agent_wrong' WHEN 'deprioritized' THEN 'deprioritized' WHEN 'already_fixed' THEN 'stale_finding' ELSE 'severity_miscalibrated' END AS override_reason, dismissal_reason AS raw_override_reason
         FROM (SELECT *, 'fd-safety' AS source, json_extract_string(agents_json, '$."fd-safety"') AS sev FROM reviews UNION ALL SELECT *, 'fd-quality', json_extract_string(agents_json, '$."fd-quality"') FROM reviews) WHERE event_type = 'disagreement' AND sev <> chosen_severity"""),
     "ingest_execution_defects": (lambda f: logs.execution_defects(f.reviews), "SELECT id, ts, session_id, coalesce(target_agent, 'fd-quality') AS source, 'execution_defect' AS event, '' AS override_reason, dismissal_reason AS raw_override_reason FROM reviews WHERE event_type = 'execution_defect'"),
     "ingest_review_router": (lambda f: logs.review_evidence(f.reviews, 100).groupBy("event").count(), "SELECT 'execution_defect' AS event, count(*) AS count FROM reviews WHERE id > 100 AND event_type = 'execution_defect' UNION ALL SELECT 'disagreement_override', CAST(sum(CAST(json_extract_string(agents_json, '$.\"fd-safety\"') <> chosen_severity AS INT) + CAST(chosen_severity <> 'low' AS INT)) AS BIGINT) FROM reviews WHERE id > 100 AND event_type = 'disagreement'"),
     "stream_cursor_sources": (lambda f: logs.cursor(f.reviews), "SELECT max(id) AS cursor FROM reviews"),
-    "ingest_winning_mutations": (lambda f: logs.winning_mutations(f.mutations, 10), "SELECT id, created_at AS ts, session_id, concat('lab:', task_type) AS source, 'winning_mutation' AS event, quality_signal, 'pattern' AS source_kind FROM mutations WHERE is_new_best = 1 AND id > 10 ORDER BY id LIMIT 100"),
+    "ingest_winning_mutations": (lambda f: logs.winning_mutations(f.mutations, 10, 100), "SELECT id, created_at AS ts, session_id, concat('lab:', task_type) AS source, 'winning_mutation' AS event, quality_signal, 'pattern' AS source_kind FROM mutations WHERE is_new_best = 1 AND id > 10 ORDER BY id LIMIT 100"),
     "ingest_verdicts": (lambda f: tables.verdict_changes(f.verdicts).where("changed").select("id", "agent"), "SELECT id, agent FROM (SELECT *, lag(content_hash) OVER (PARTITION BY agent ORDER BY ts, id) AS b FROM verdicts) WHERE b IS DISTINCT FROM content_hash"),
     "verdict_changes": (lambda f: tables.verdict_changes(f.verdicts).select("id", "agent", "content_hash", "changed"), "SELECT id, agent, content_hash, content_hash IS DISTINCT FROM lag(content_hash) OVER (PARTITION BY agent ORDER BY ts, id) AS changed FROM verdicts"),
     "ingest_outcome_events": (lambda f: logs.outcome_evidence(f.verdicts.withColumn("source", F.col("agent")), "decomposition_outcome", ["status", "findings_count"]), "SELECT session_id, ts, agent AS source, 'decomposition_outcome' AS event, concat('{\"status\":\"', status, '\",\"findings_count\":', findings_count, '}') AS context FROM verdicts"),

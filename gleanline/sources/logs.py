@@ -54,9 +54,13 @@ def dispatch_events(hooks: DataFrame) -> DataFrame:
     return hooks.where("tool_name = 'Task'").select("session_id", "ts", F.coalesce(F.when(F.col("subagent") != "", F.col("subagent")), F.lit("unknown")).alias("source"), F.lit("agent_dispatch").alias("event"))
 
 
-def kernel_events(bus: DataFrame, after_id: int, limit: int = 100) -> DataFrame:
-    """The next events after the cursor, those without source or type left out."""
-    batch = bus.where(F.col("id") > after_id).orderBy("id").limit(limit)
+def _page(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy("id").limit(limit)
+
+
+def kernel_events(bus: DataFrame, after_id: int, limit: int | None = None) -> DataFrame:
+    """All events after the cursor, or a page of the next ones; those without source or type left out."""
+    batch = _page(bus.where(F.col("id") > after_id), limit)
     return batch.where("source <> '' and type <> ''").select("id", "ts", "session_id", F.concat(F.lit("kernel-"), "source").alias("source"), F.col("type").alias("event"))
 
 
@@ -87,8 +91,8 @@ def cursor(df: DataFrame) -> DataFrame:
     return df.agg(F.max("id").alias("cursor"))
 
 
-def winning_mutations(m: DataFrame, after_id: int, limit: int = 100, prefix: str = "lab:") -> DataFrame:
-    best = m.where((F.col("is_new_best") == 1) & (F.col("id") > after_id)).orderBy("id").limit(limit)
+def winning_mutations(m: DataFrame, after_id: int, limit: int | None = None, prefix: str = "lab:") -> DataFrame:
+    best = _page(m.where((F.col("is_new_best") == 1) & (F.col("id") > after_id)), limit)
     return best.select("id", F.col("created_at").alias("ts"), "session_id", F.concat(F.lit(prefix), "task_type").alias("source"), F.lit("winning_mutation").alias("event"), "quality_signal", F.lit("pattern").alias("source_kind"))
 
 

@@ -51,7 +51,10 @@ def dedup(stream: DataFrame, key: str = "invocation_id", ts: str = "ts", late: s
 
 
 def start_cursor_source(stream: DataFrame, to_evidence, target: str, checkpoint: str) -> StreamingQuery:
-    """A stream of numbered events through to_evidence(df, after_id), beyond what target has."""
+    """A stream of numbered events through to_evidence(df, after_id), beyond what target has.
+
+    The checkpoint passes a whole batch, so to_evidence must take all of it and not a page.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         have = _stored(df.sparkSession, target)

@@ -143,3 +143,14 @@ def test_stream_equals_batch_and_can_be_run_again(spark, tmp_path):
     ingest.start_ingest(spark, str(src), "audit", target, check).awaitTermination()
     got = sorted(r["ts"].day for r in spark.read.parquet(target).collect())
     assert got == [2, 3, 4]
+
+
+def test_cursor_source_takes_the_whole_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = lambda a, b: spark.range(a, b).selectExpr("id", "timestamp_ntz'2026-06-01 00:00:00' as ts", "'s' as session_id", "'phase' as source", "'x' as type", "1 as is_new_best", "'code' as task_type", "1.0D as quality_signal", "timestamp_ntz'2026-06-01 00:00:00' as created_at")
+    for more, want in ((rows(0, 350), 350), (rows(350, 600), 600)):
+        more.coalesce(1).write.mode("append").parquet(src)
+        for name, read in (("k", logs.kernel_events), ("m", logs.winning_mutations)):
+            stream = spark.readStream.schema(more.schema).parquet(src)
+            ingest.start_cursor_source(stream, read, str(tmp_path / name), str(tmp_path / f"check-{name}")).awaitTermination()
+            assert spark.read.parquet(str(tmp_path / name)).select("id").distinct().count() == want
