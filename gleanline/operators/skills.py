@@ -76,16 +76,26 @@ def signal_bead_close(asof: DataFrame, window_days: int = 7) -> DataFrame:
 def no_redirect(pending: DataFrame, transcripts: DataFrame, max_turns: int = 5) -> DataFrame:
     """1 - min(1, markers / turns) over the first user turns after the skill's first call in a session; 1 without turns.
 
-    transcripts: session_id, line, type, skill (of a call, else null), text. An invocation whose session never
-    calls its skill has no value.
+    transcripts: session_id, line, type, skill (of a call, else null) or skills (all of a record), text; if there,
+    ts and the flags isMeta and isSidechain, whose turns do not count. An invocation whose session never calls its
+    skill is anchored on the first record at or after its time; without such a record it has no value.
     """
+    has = set(transcripts.columns)
     marks = sum((F.coalesce(F.col("text").rlike(f"(?i){m}"), F.lit(False)).cast("int") for m in MARKERS), F.lit(0))
-    anchors = transcripts.where("skill is not null").groupBy("session_id", F.col("skill").alias("skill_name")).agg(F.min("line").alias("anchor"))
-    turns = transcripts.where("type = 'user' and trim(text) <> ''").select("session_id", "line", marks.alias("marks"))
-    w = Window.partitionBy("session_id", "skill_name").orderBy("line")
-    follow = anchors.join(turns, "session_id").where("line > anchor").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_turns)
-    sums = follow.groupBy("session_id", "skill_name").agg(F.count("*").alias("turns"), F.sum("marks").alias("marks"))
-    x = pending.join(anchors, ["session_id", "skill_name"]).join(sums, ["session_id", "skill_name"], "left")
+    calls = transcripts.select("session_id", "line", F.explode("skills").alias("skill_name")) if "skills" in has else transcripts.where("skill is not null").select("session_id", "line", F.col("skill").alias("skill_name"))
+    anchors = calls.groupBy("session_id", "skill_name").agg(F.min("line").alias("anchor"))
+    x = pending.join(anchors, ["session_id", "skill_name"], "left")
+    if "ts" in has:
+        later = x.where("anchor is null").select("session_id", "ts").distinct().join(transcripts.select("session_id", "line", F.col("ts").alias("at")), "session_id").where("at >= ts")
+        x = x.join(later.groupBy("session_id", "ts").agg(F.min("line").alias("later")), ["session_id", "ts"], "left").withColumn("anchor", F.coalesce("anchor", "later")).drop("later")
+    x = x.where("anchor is not null")
+    own = transcripts.where("type = 'user' and trim(text) <> ''")
+    for flag in ("isMeta", "isSidechain"):
+        own = own.where(~F.coalesce(F.col(flag), F.lit(False))) if flag in has else own
+    w = Window.partitionBy("session_id", "anchor").orderBy("line")
+    follow = x.select("session_id", "anchor").distinct().join(own.select("session_id", "line", marks.alias("marks")), "session_id").where("line > anchor").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_turns)
+    sums = follow.groupBy("session_id", "anchor").agg(F.count("*").alias("turns"), F.sum("marks").alias("marks"))
+    x = x.join(sums, ["session_id", "anchor"], "left")
     value = F.when(F.col("turns").isNull(), 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("marks") / F.col("turns")))
     return _signal(x, "no_redirect", F.round(value, 6), F.col("marks").cast("double"), F.col("turns").cast("string"))
 

@@ -10,6 +10,7 @@ from gleanline.functions.text import invocation_hash
 AUDIT = "ts string, session_id string, tool string, name string, duration_ms long, exit_code int"
 TOOLTIME = "v int, id string, ts string, event string, tool string, project string, error string, source string, skill string"
 ROUTES = "event string, route_id string, timestamp string, query_hash string, cwd string, candidates array<struct<id:string,score:double,selected_by:string,required_by:array<string>>>"
+BLOCKS = "array<struct<type:string,name:string,text:string,input:struct<skill:string>>>"
 COLUMNS = ("invocation_id", "session_id", "skill_name", "ts", "success", "project", "event", "context")
 
 
@@ -102,9 +103,21 @@ def outcome_evidence(df: DataFrame, event: str, fields: list[str]) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str, schema: str = "line long, type string, timestamp string, isMeta boolean, isSidechain boolean, message struct<content:string,usage:struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long>>") -> DataFrame:
-    """Records with their number, kept by the writer; the file's stem is the session."""
+    """Records with their number, kept by the writer; the file's stem is the session.
+
+    Of the content, text or blocks: skills has the names of all Skill calls of an assistant's record, skill the first;
+    text is that of the text blocks, null for a turn with a tool's result. ts is the time as an instant.
+    """
     lines = spark.read.text(path).withColumn("session_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl", 1))
-    return lines.select("session_id", F.from_json("value", schema).alias("r")).where("r.type is not null").select("session_id", "r.*")
+    json = F.try_parse_json("value")
+    r = lines.select("session_id", F.from_json("value", schema).alias("r"), *(F.schema_of_variant(F.try_variant_get(json, p, "variant")).alias(c) for c, p in (("m__", "$.message"), ("c__", "$.message.content"))), F.try_variant_get(json, "$.message", "string").alias("own__")).where("r.type is not null").select("session_id", "r.*", "m__", "c__", "own__")
+    r = r.withColumn("b__", F.when(F.col("c__").startswith("ARRAY"), F.from_json("message.content", BLOCKS)))
+    calls = F.filter("b__", lambda b: (b.type == "tool_use") & (b.name == "Skill") & b.input.skill.isNotNull())
+    skills = F.when(F.col("type") == "assistant", F.transform(calls, lambda b: b.input.skill))
+    said = F.transform(F.filter("b__", lambda b: (b.type == "text") & b.text.isNotNull()), lambda b: b.text)
+    joined = F.when((F.size(said) > 0) & ~F.exists("b__", lambda b: b.type.eqNullSafe("tool_result")), F.array_join(said, "\n"))
+    text = F.when(F.col("m__") == "STRING", F.col("own__")).when(F.col("c__") == "STRING", F.col("message.content")).otherwise(joined)
+    return r.select("*", skills.alias("skills"), F.try_element_at(skills, F.lit(1)).alias("skill"), text.alias("text"), _time(F.col("timestamp")).alias("ts")).drop("m__", "c__", "own__", "b__")
 
 
 def read_work_items(spark: SparkSession, path: str) -> DataFrame:

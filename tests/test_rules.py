@@ -154,3 +154,20 @@ def test_cursor_source_takes_the_whole_batch(spark, tmp_path):
             stream = spark.readStream.schema(more.schema).parquet(src)
             ingest.start_cursor_source(stream, read, str(tmp_path / name), str(tmp_path / f"check-{name}")).awaitTermination()
             assert spark.read.parquet(str(tmp_path / name)).select("id").distinct().count() == want
+
+
+def test_no_redirect_of_transcripts(spark, tmp_path):
+    def record(line, kind, content, **more):
+        return {"line": line, "type": kind, "timestamp": f"2026-06-01T10:00:{line:02d}Z", "message": {"content": content}, **more}
+
+    call = lambda *names: [{"type": "text", "text": "so"}, *({"type": "tool_use", "name": "Skill", "input": {"skill": n}} for n in names)]
+    turns = [record(0, "user", "no, stop"), record(1, "assistant", call("a", "b")), record(2, "user", "undo", isMeta=True), record(3, "user", "revert", isSidechain=True)]
+    turns += [record(4, "user", [{"type": "tool_result", "content": "wrong"}, {"type": "text", "text": "wrong"}]), record(5, "user", [{"type": "text", "text": "go"}, {"type": "text", "text": "actually"}]), record(6, "user", "[fine]")]
+    (tmp_path / "s1.jsonl").write_text("".join(json.dumps(r) + "\n" for r in turns))
+    (tmp_path / "s2.jsonl").write_text("".join(json.dumps(r) + "\n" for r in [record(0, "user", "stop"), record(1, "assistant", "x"), record(2, "user", "wrong")]))
+    t = logs.read_transcripts(spark, str(tmp_path))
+    at = dt.datetime(2026, 6, 1, 10)
+    rows = [("i1", "s1", "a", at), ("i2", "s1", "b", at), ("i3", "s2", "c", at + dt.timedelta(seconds=1)), ("i4", "s2", "c", at + dt.timedelta(hours=1)), ("i5", "s2", "c", at + dt.timedelta(seconds=2))]
+    pending = spark.createDataFrame(rows, "invocation_id string, session_id string, skill_name string, ts timestamp_ntz")
+    got = {r["invocation_id"]: (r["value"], r["raw_value"], r["metadata"]) for r in skills.no_redirect(pending, t).collect()}
+    assert got == {"i1": (0.5, 1.0, "2"), "i2": (0.5, 1.0, "2"), "i3": (0.0, 1.0, "1"), "i5": (1.0, None, None)}
