@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, one of this machine if all run on it."""
     sc = spark.sparkContext
     set_dir = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        if configured is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         set_dir = sc.getCheckpointDir()
     return configured or set_dir
@@ -29,5 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, longer by as many underscores as it takes to be none of df's columns in either case."""
+    own = {c.lower() for c in df.columns}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
+def bounded_sample(df: DataFrame, share: float, most: int) -> DataFrame:
+    """About that share of the different rows of df, by a hash of all their columns, and most of them at most."""
+    order = F.xxhash64(F.lit("sample"), *(F.col(f"`{c}`") for c in df.columns))
+    return df.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).distinct().orderBy(order).limit(most)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
