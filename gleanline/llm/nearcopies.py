@@ -1,8 +1,10 @@
-"""Near copies by words: candidates from prefixes of ordered shingle sets, kept where the sets agree.
+"""Near copies by words: SimHash groups them first, exact prefixes of ordered shingle sets find what it missed.
 
-After Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection" (WWW 2008): if all sets are put in one
-order, two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1 members. So no pair is missed, and
-texts without a common shingle never meet.
+SimHash over five-word shingles, searched by the generalised pigeonhole (simhash.py), gives candidates at a distance
+at which that search stays cheap. Texts of similarity 0.8 differ in about ten of 64 bits, where it does not; so what
+it leaves is completed by a join that misses nothing. After Xiao et al., "Efficient Similarity Joins for Near
+Duplicate Detection" (WWW 2008): if all sets are put in one order, two sets of Jaccard similarity t share one of
+their first n - ceil(t n) + 1 members. Every candidate is compared by its whole set.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 
 from gleanline.llm.common import keep
 from gleanline.llm.components import connected_components
+from gleanline.llm.simhash import hamming_edges, majority, shingle_hashes
 
-#: Words of a shingle, and bits within which a pair is found and may be linked, of the 64-bit fingerprints that gave candidates once: now all.
-FINGERPRINT_WORDS = 3
-COMPLETE, REACH = 64, 64
+#: Differing bits within which fingerprints are candidates.
+DISTANCE = 2
 #: Shingles are ordered by how often about so many texts have them, so that common ones are seldom in a prefix. Any order finds all pairs.
 ORDER_TEXTS = 8000
 #: Shingles in fewer of those texts count as equally rare; of the others so many are told apart at most (16 bytes each).
@@ -28,14 +30,12 @@ COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the so many that it meets most often.
 LEADERS = 8
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
-def shingle_set(text: str, k: int) -> np.ndarray:
+def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of every k words in a row; of all of them if there are fewer."""
-    words = text.encode("utf-8", "replace").lower().split()
-    own = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))).view(np.int64)
+    return np.unique(shingle_hashes(text, k)).view(np.int64)
 
 
 def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,26 +63,28 @@ def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.nd
 
 
 def _described(docs: DataFrame, k: int, similarity: float, common, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the words or null without any, n shingles, the first of them)."""
+    """(doc_id, digest of the shingle set or null without any, n shingles, fp, the first of them)."""
 
-    @F.pandas_udf("digest binary, n int, first array<long>")
+    @F.pandas_udf("digest binary, n int, fp long, first array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
-        digests, n, first = [], [], []
+        digests, n, fp, first = [], [], [], []
         for t in texts:  # one text's words at a time: a batch of them at once is what a worker's memory goes to
-            words = b" ".join((t or "").encode("utf-8", "replace").lower().split())
-            digests.append(xxhash.xxh3_128_digest(words) if words else None)
-            own = shingle_set(t or "", k)
+            hashes = shingle_hashes(t, k)
+            own = np.unique(hashes).view(np.int64)
+            digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             n.append(len(own))
+            fp.append(majority(hashes))
             first.append(prefix(own, similarity, *common))
-        return pd.DataFrame({"digest": digests, "n": n, "first": first})
+        return pd.DataFrame({"digest": digests, "n": n, "fp": fp, "first": first})
 
-    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.n", "d.first")
+    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.n", "d.fp", "d.first")
 
 
 def _points(nodes: DataFrame) -> DataFrame:
-    """(key, left, and the columns of nodes), dealt by key: each shingle of a prefix and how many of the set come after it."""
-    other = [c for c in nodes.columns if c != "first"]
-    return nodes.select(F.posexplode("first").alias("at", "key"), *other).select("key", (F.col("n") - F.col("at") - 1).alias("left"), *other).repartition("key")
+    """(key, rep, n, left): the shingles of the prefixes that more than one text has, and how many of the set come after them."""
+    points = nodes.select("rep", "n", F.posexplode("first").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at") - 1).alias("left"))
+    shared = points.groupBy("key").count().where("count > 1").select("key")
+    return points.join(shared, "key")
 
 
 def _may(n2, left2, similarity: float):
@@ -92,7 +94,7 @@ def _may(n2, left2, similarity: float):
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).where("a <> b").distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -106,48 +108,77 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Dat
     own = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
     sets = keep(own.select("rep", own_set("text").alias("s")))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
-    both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9)
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct())
 
 
-def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _simhash_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal (each with the least of them) or linked by the pigeonhole search."""
+    fps = keep(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    same = nodes.select("fp", F.col("rep").alias("rep2")).join(fps, "fp").select("rep", "rep2")
+    return _ordered(same.union(hamming_edges(fps, distance).toDF("rep", "rep2")))
+
+
+def _with_component(points: DataFrame, good: DataFrame) -> DataFrame:
+    found = connected_components(good)
+    return points.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _mixed(points: DataFrame) -> DataFrame:
+    """The points of the keys at which different components meet, with the component that most of a key's points are in."""
+    sizes = points.groupBy("key", "comp").agg(F.count("*").alias("many"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("many", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    return keep(points.join(main, "key"))
+
+
+def _leader_pairs(points: DataFrame, similarity: float, leaders: int) -> DataFrame:
+    """Pairs of a text and the leaders it meets most often, so many a text at most.
+
+    A key's leaders are those (one of each class by a hash) in whose order it comes first: texts that have little of
+    their own before it. In a group of copies each with its own changes these are the least changed, and what links
+    to any of the group nearly always links to them.
+    """
+
+    def leader(j):
+        own = F.struct((F.lit(1.0) - F.col("left") / F.col("n")).alias("place"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+        return F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(leaders)) == j, own))
+
+    led = points.groupBy("key").agg(F.array_compact(F.array(*(leader(j) for j in range(leaders)))).alias("l"))
+    met = points.join(led, "key").select("rep", F.transform(F.filter("l", lambda x: (x.comp2 != F.col("comp")) & _may(x.n2, x.left2, similarity)), lambda x: x.rep2).alias("l"))
+    met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("rep2")).groupBy("rep", "rep2").count()
+    most = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
+    return _ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, leaders)).alias("x")).select("rep", "x.rep2"))
+
+
+def _rest_pairs(points: DataFrame, similarity: float) -> DataFrame:
+    """All pairs that may still be alike and are in different components: of a key's points those outside its main component with the others."""
+    x, y = points.where("comp <> main"), points.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    once = (F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
+    return _ordered(x.join(y, "key").where((F.col("comp") != F.col("comp2")) & once & _may(F.col("n2"), F.col("left2"), similarity)).select("rep", "rep2"))
+
+
+def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, leaders: int = LEADERS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row of docs: component_id is the least doc_id reachable over links.
 
-    Texts link if their words are the same, or if their sets of k-word shingles (fewer words: the whole sequence)
-    have at least that Jaccard similarity; all such pairs are found. Null texts and texts without a word link
-    nothing; a row without doc_id has no component. Rows that share an id count as one document; repeated rows give
-    repeated results. Other columns of docs are ignored.
+    Texts link if their sets of k-word shingles (fewer words: the whole sequence) have at least that Jaccard
+    similarity; all such pairs end in one component. Null texts and texts without a word link nothing; a row without
+    doc_id has no component. Rows that share an id count as one document; repeated rows give repeated results. Other
+    columns of docs are ignored.
 
-    A bucket may hold a large group of copies, and pairing it would be quadratic. So each of its members first meets
-    a few leaders, and is compared with those that it met most often. What is in one component by then needs no
-    further comparison. Then, in each bucket all members outside its largest component meet all those of other
-    components, which makes the links complete whatever the leaders were.
+    Equal sets count as one text. A bucket may hold a large group of copies, and pairing it would be quadratic. So
+    candidates come in three turns, and what is in one component is not compared any more: by SimHash; by a bucket's
+    leaders; and, of the keys where different components still meet, all pairs of those that sizes and places allow.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null and text is not null")
     rows = keep(_described(docs, k, similarity, _common(texts, k), id_col, text_col))
-    nodes = keep(rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")))
+    nodes = rows.where("doc_id is not null and digest is not null").groupBy("digest")
+    nodes = keep(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "first"))))
     links = rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.union(_links(nodes.select("rep", "n", "first"), texts, k, similarity, leaders))
-    found = keep(connected_components(links))
+    good = _alike(keep(_simhash_pairs(nodes, distance)), texts, k, similarity)
+    points = keep(_points(nodes))
+    good = good.union(_alike(keep(_leader_pairs(_mixed(_with_component(points, good)), similarity, leaders)), texts, k, similarity))
+    good = good.union(_alike(keep(_rest_pairs(_mixed(_with_component(points, good)), similarity)), texts, k, similarity))
+    found = keep(connected_components(links.union(good)))
     out = rows.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _links(nodes: DataFrame, texts: DataFrame, k: int, similarity: float, leaders: int) -> DataFrame:
-    points = _points(nodes)
-    least = [F.min(F.struct(F.xxhash64("rep", F.lit(j)), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"))) for j in range(leaders)]
-    led = points.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda x: F.struct(x.rep2.alias("rep2"), x.n2.alias("n2"), x.left2.alias("left2")))).alias("l"), F.count("*").alias("many")).where("many > 1")
-    met = points.join(led.select("key", "l"), "key").select("rep", F.transform(F.filter("l", lambda x: (x.rep2 != F.col("rep")) & _may(x.n2, x.left2, similarity)), lambda x: x.rep2).alias("l"))
-    met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("rep2")).groupBy("rep", "rep2").count()
-    most = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
-    first = keep(_ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, leaders)).alias("x")).select("rep", "x.rep2")))
-    good = keep(_alike(first, texts, k, similarity))
-    comp = connected_components(good)
-    now = keep(nodes.join(comp, nodes.rep == comp.node, "left").select("rep", "n", "first", F.coalesce("component", "rep").alias("comp")))
-    points = _points(now)
-    main = points.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    x, y = points.join(main, "key").where("comp <> main").drop("main"), points.toDF("key", "left2", "rep2", "n2", "comp2")
-    pairs = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & _may(F.col("n2"), F.col("left2"), similarity)).select("rep", "rep2")
-    rest = keep(_ordered(pairs).join(first, ["a", "b"], "left_anti"))
-    return good.union(_alike(rest, texts, k, similarity))

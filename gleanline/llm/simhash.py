@@ -28,28 +28,33 @@ POINT = 2
 BLOCK = 1 << 16
 
 
-def text_fingerprint(text: str | None, k: int) -> int:
-    """Majority of the bits of the XXH64 of all k-word shingles, repeats included, as a signed long.
-
-    Fewer than k words give one shingle of them all; no word (or null) gives 0.
-    """
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """XXH64 of every k words in a row, repeats included; of all words if there are fewer; none without a word."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     flat, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= k:
-        hashes = np.array([digest(flat, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - k] + 1))
-        hashes = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n - k + 1)
+        return np.array([digest(flat, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - k] + 1))
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed long; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         ones += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def text_fingerprint(text: str | None, k: int) -> int:
+    """Majority of the bits of the hashes of all k-word shingles; no word (or null) gives 0."""
+    return majority(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, fp) for each row of docs; whole texts, one pass, no shuffle."""
 
