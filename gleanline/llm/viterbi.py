@@ -20,7 +20,9 @@ from gleanline.llm.common import table
 MARK = "▁"
 #: Fixed by the library: how much worse an unknown letter is than the worst piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+INFINITY = float("inf")
+#: Words remembered in a task, and the letters of the longest that is.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
 
 
 def default_path() -> str:
@@ -44,6 +46,7 @@ class Counter(dict):
     def __init__(self, pieces: list[tuple[str, float]]):
         super().__init__()
         self.names = {p for p, _ in pieces}
+        self.longest = max(map(len, self.names), default=0)
         self.automaton = ahocorasick.Automaton()
         for p, score in pieces:
             if p:
@@ -51,50 +54,56 @@ class Counter(dict):
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
 
-    def runs(self, text: str) -> list[tuple[int, int]]:
-        """The best path through text as (start, end) of its pieces, unknown letters that follow one another as one."""
-        best, back = self._paths(text)
-        out, end = [], len(text)
-        while end:
-            start, known = back[end]
-            if not known:
-                while start and not back[start][1]:
-                    start = back[start][0]
-            out.append((start, end))
-            end = start
-        return out[::-1]
-
-    def _paths(self, text: str):
-        n = len(text)
-        starting: list[list] = [[] for _ in range(n)]
-        for last, (size, score) in self.automaton.iter(text):
-            starting[last + 1 - size].append((last + 1, score))
-        best: list = [None] * (n + 1)
-        best[0] = 0.0
-        back: list = [None] * (n + 1)
-        for i in range(n):
-            here, single = best[i], False
-            for end, score in starting[i]:
-                # a tie leaves the path that was found first, from the earlier start
-                if best[end] is None or here + score > best[end]:
-                    best[end], back[end] = here + score, (i, True)
-                single = single or end == i + 1
-            if not single and (best[i + 1] is None or here + self.unknown > best[i + 1]):
-                best[i + 1], back[i + 1] = here + self.unknown, (i, False)
-        return best, back
-
     def count(self, text: str) -> int:
-        """Tokens of a word; a piece that is unknown counts its UTF-8 bytes."""
-        return sum(1 if text[a:b] in self.names else self._bytes(text[a:b]) for a, b in self.runs(text))
-
-    def _bytes(self, piece: str) -> int:
-        raw = piece.encode("utf-8", "replace")
-        return len(raw) if all(f"<0x{b:02X}>" in self.names for b in raw) else 1
+        """Tokens of a word on its best path.
+
+        Carried for each place: the best score, the tokens before the run of unknown letters in which the path ends,
+        where that run begins (-1: it ends in a known piece) and the run's bytes (-1: some byte is no piece). A tie
+        leaves the path whose last piece begins first.
+        """
+        score, tokens, begin, raw = [0.0], [0], [-1], [0]
+        hits = self.automaton.iter(text)
+        hit = next(hits, None)
+        for end in range(1, len(text) + 1):
+            best, at, single = -INFINITY, -1, False
+            while hit is not None and hit[0] == end - 1:
+                size, own = hit[1]
+                single = single or size == 1
+                now, start = score[end - size] + own, end - size
+                if now > best or (now == best and start < at):
+                    best, at = now, start
+                hit = next(hits, None)
+            last = end - 1
+            if not single and (at < 0 or score[last] + self.unknown > best):
+                more = self._bytes(text[last])
+                score.append(score[last] + self.unknown)
+                tokens.append(tokens[last])
+                begin.append(begin[last] if begin[last] >= 0 else last)
+                raw.append(-1 if more < 0 or raw[last] < 0 else raw[last] + more)
+            else:
+                score.append(best)
+                tokens.append(self._total(text, at, tokens[at], begin[at], raw[at]) + 1)
+                begin.append(-1)
+                raw.append(0)
+        return self._total(text, len(text), tokens[-1], begin[-1], raw[-1])
+
+    def _total(self, text: str, end: int, tokens: int, begin: int, raw: int) -> int:
+        """Tokens up to a place: those before its run, and for the run one a byte, or one if it is a piece or lacks a byte."""
+        if begin < 0:
+            return tokens
+        whole = end - begin <= self.longest and text[begin:end] in self.names
+        return tokens + (1 if whole or raw < 0 else raw)
+
+    def _bytes(self, letter: str) -> int:
+        raw = letter.encode("utf-8", "replace")
+        return len(raw) if all(f"<0x{b:02X}>" in self.names for b in raw) else -1
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.count(word)
+        n = self.count(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
 
