@@ -19,15 +19,17 @@ from gleanline.llm.components import connected_components
 LIKENESS = 0.9
 #: About so many vectors a pivot, and so many pivots at most; they are chosen from a sample of this many times as many.
 PER_PIVOT = 4096
-MOST_PIVOTS = 512
+MOST_PIVOTS = 2048
 #: Vectors of a cell that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 4096
 #: Slack for rounding where bounds are compared; what passes is still verified in double precision.
 SLACK = 1e-6
 
 
 def _unit(rows) -> np.ndarray:
+    """Rows in double precision, scaled to length one; first by their largest component, whose square may be out of range."""
     x = np.array(list(rows), np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,7 +79,8 @@ def cells(vectors: DataFrame, centers: np.ndarray | None, likeness: float) -> Da
             for c in np.flatnonzero(near.any(axis=0)):
                 yield own[near[:, c]].assign(cell=int(c), home=False)[["cell", "home", "rep", "n", "embedding"]]
 
-    return vectors.select("rep", "n", "embedding").mapInPandas(run, "cell long, home boolean, rep long, n long, embedding array<double>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("rep", "n", "embedding").mapInPandas(run, f"cell long, home boolean, rep long, n long, embedding {kind}")
 
 
 def _spread(linked: np.ndarray, reps: np.ndarray) -> np.ndarray:
@@ -159,7 +162,8 @@ def embedding_links(embeddings: DataFrame, likeness: float = LIKENESS) -> DataFr
     and are kept, each its own component. Equal vectors count as one with a multiplicity during the join, and link
     to one another. Vectors of different lengths never link. Repeated rows with one vec_id count as rows.
     """
-    rows = keep(embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = keep(embeddings.select("vec_id", F.col("embedding").cast(kind).alias("embedding")))
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fit = e.isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
