@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import table, text_or_empty
+from gleanline.llm.common import free_name, table, text_or_empty
 
 _sre = re._parser  # the standard library's own parse of a regex
 
@@ -117,6 +117,31 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted(out, key=sorted) if out != {frozenset()} else []
 
 
+def _let(x: Column, of) -> Column:
+    """of(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def _before(xs: Column, op, chunk: int = 64) -> Column:
+    """Of each number of an array what op makes, from 0, of those before it.
+
+    In chunks, since an array that grows by one is copied each time: first a chunk's own total, then what is before
+    the chunk, then what is before each of its numbers.
+    """
+
+    def running(own, first):
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+        return F.aggregate(own, F.struct(first.alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+    def whole(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), op))
+        both = F.arrays_zip(chunks.alias("own"), running(totals, F.lit(0)).alias("first"))
+        return F.flatten(F.transform(both, lambda z: running(z["own"], z["first"])))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int")), lambda c: F.slice(xs, c * chunk + 1, F.lit(chunk)))
+    return F.when(F.size(xs) > 0, _let(cut, whole)).otherwise(F.array().cast("array<int>"))
+
+
 def _found(rule: Rule, order: int, text: Column) -> Column:
     """All spans of a rule in text, as structs (start, order, kind, end) in code points.
 
@@ -126,25 +151,30 @@ def _found(rule: Rule, order: int, text: Column) -> Column:
     whole, between = F.regexp_extract_all(text, F.lit(wanted), F.lit(1)), F.split(text, wanted, -1)
     secret = F.regexp_extract_all(text, F.lit(wanted), F.lit(rule.group + 1))
     step = F.arrays_zip(F.transform(whole, F.char_length).alias("own"), F.transform(between, F.char_length).alias("gap"), F.transform(secret, F.char_length).alias("size"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>").alias("spans"))
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + x["own"]).alias("end"))
-        return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("at"), F.when(x["size"] >= max(rule.least, 1), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(z):
+        def of(before):
+            def one(x, i):
+                start = F.get(before, i) + x["gap"]
+                return F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + x["own"]).alias("end"), x["size"].alias("size"))
+
+            kept = F.filter(F.transform(z, one), lambda x: x["size"] >= max(rule.least, 1))
+            return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+        return _let(_before(F.transform(z, lambda x: x["gap"] + F.coalesce(x["own"], F.lit(0))), lambda a, x: a + x), of)
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(step, zero, add, lambda acc: acc["spans"]))
+    return F.when(text.rlike(rule.pattern), _let(step, spans))
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(tri, doc_id): in which documents a trigram (by its number) occurs, letters in either case."""
-    low = docs.select("doc_id", F.lower(text_or_empty()).alias("low"))
+    """(tri, doc_id, h): in which documents a trigram (by its number) occurs, letters in either case; h is a hash of the text."""
+    low = docs.select("doc_id", F.xxhash64("text").alias("h"), F.lower(text_or_empty()).alias("low"))
     has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    return low.select("doc_id", F.explode(has).alias("tri"))
+    return low.select("doc_id", "h", F.explode(has).alias("tri"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[int]]:
-    """(doc_id, rules array of numbers) from the intersected postings, and the numbers of the rules that must scan everything."""
+    """(doc_id, h, rules array of numbers) from the intersected postings, and the numbers of the rules that must scan everything."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*(c for q in queries for c in q)))
     at = {t: i for i, t in enumerate(trigrams)}
@@ -156,9 +186,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, lis
     # which conjunctions name a trigram: a map of as many entries as the rules have trigrams
     wanted = F.create_map(*(x for t in sorted({t for _, t in asked}) for x in (F.lit(t), F.array(*(F.lit(i) for i, u in asked if u == t)))))
     sizes, owners = F.array(*(F.lit(size[i]) for i in sorted(size))), F.array(*map(F.lit, rule_of))
-    met = postings(docs, trigrams).distinct().select("doc_id", F.explode(wanted[F.col("tri")]).alias("conj"))
-    met = met.groupBy("doc_id", "conj").count().where(F.col("count") == F.get(sizes, F.col("conj")))
-    out = met.groupBy("doc_id").agg(F.collect_set(F.get(owners, F.col("conj"))).alias("rules"))
+    met = postings(docs, trigrams).distinct().select("doc_id", "h", F.explode(wanted[F.col("tri")]).alias("conj"))
+    met = met.groupBy("doc_id", "h", "conj").count().where(F.col("count") == F.get(sizes, F.col("conj")))
+    out = met.groupBy("doc_id", "h").agg(F.collect_set(F.get(owners, F.col("conj"))).alias("rules"))
     return out, [r for r, q in enumerate(queries) if not q]
 
 
@@ -167,33 +197,51 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, name: s
 
     Every row comes back, with all its columns (one called name is replaced).
     A null text counts as empty and has no spans; matches of a rule do not overlap, those of two rules may.
-    Repeated rows and rows without doc_id are scanned like any other.
+    Repeated rows and rows without doc_id are scanned like any other: candidates are met by doc_id and a hash of the
+    text, so that rows which share an id, or have none, spread. Time grows with a text's length and its matches.
     """
     few, full = candidates(docs.select("doc_id", "text"), rules)
-    few = few.toDF("cand_id__", "cand_rules__")
+    own_id, own_h, own_rules = (free_name(docs, c) for c in ("cand_id", "cand_h", "cand_rules"))
+    few = few.toDF(own_id, own_h, own_rules)
     text = text_or_empty()
-    joined = docs.drop(name).join(few, F.col("doc_id").eqNullSafe(F.col("cand_id__")), "left")
-    found = [_found(r, i, text) if i in full else F.when(F.array_contains("cand_rules__", i), _found(r, i, text)) for i, r in enumerate(rules)]
+    joined = docs.drop(name).join(few, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_h)), "left")
+    found = [_found(r, i, text) if i in full else F.when(F.array_contains(own_rules, i), _found(r, i, text)) for i, r in enumerate(rules)]
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    return joined.withColumn(name, F.sort_array(F.concat(*(F.coalesce(x, none) for x in found)))).drop("cand_id__", "cand_rules__")
+    return joined.withColumn(name, F.sort_array(F.concat(*(F.coalesce(x, none) for x in found)))).drop(own_id, own_h, own_rules)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span of text replaced by mark (overlapping spans by one), and n_chars to match where there is such a column.
+def _redacted(text: Column, spans: Column, mark: str, page: int = 4096) -> Column:
+    """text without the spans, each run of spans that touch replaced by mark.
 
-    Texts without spans, nulls among them, stay as they are.
+    The text is cut into pages first, because a substring is sought from the start of its string.
     """
-    found = secret_spans(docs, rules, "spans__")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def cut(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = (s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["out"] == "") | ~F.endswith(acc["out"], F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def pieces(pages):
+        def cut(a, b):
+            some = F.array_join(F.slice(pages, F.floor(a / page).cast("int") + 1, (F.floor(b / page) - F.floor(a / page)).cast("int") + 1), "")
+            return F.substring(some, a % page + 1, b - a)
+
+        def of(ends):
+            # a span begins a new run if it starts beyond all ends before it; the run ends where the next one has its ends before
+            fresh = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.get(ends, i).alias("before"), i.alias("i"))), lambda s: (s["i"] == 0) | (s["start"] > s["before"]))
+            gaps = F.transform(fresh, lambda s: cut(F.when(s["i"] == 0, 0).otherwise(s["before"]), s["start"]))
+            last = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.concat(F.array_join(gaps, mark), F.lit(mark), cut(last, F.char_length(text)))
+
+        return _let(_before(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)), of)
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{page}}}"), F.lit(0)), pieces)
 
-    clean = F.aggregate("spans__", zero, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    hit = F.size("spans__") > 0
-    out = found.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[SECRET]") -> DataFrame:
+    """docs with each span of text replaced by mark (spans that overlap or touch by one), and n_chars to match where there is such a column.
+
+    Texts without spans, nulls among them, stay as they are.
+    """
+    name = free_name(docs, "spans")
+    found = secret_spans(docs, rules, name)
+    hit = F.size(name) > 0
+    out = found.withColumn("text", F.when(hit, _redacted(F.col("text"), F.col(name), mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -204,6 +252,7 @@ def _joined(spans) -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, repeated ones too; null text counts as empty: no spans, the hash of nothing."""
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def count(kind):
