@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gleanline.llm.common import table
 
-#: Pieces and words remembered in a task.
-REMEMBERED = 600_000
+#: Pieces and words remembered in a task, and the letters of the longest that is.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 #: Fixed by the vocabulary file: its pattern and the end of a word.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
@@ -121,8 +121,6 @@ class _Memory(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece):
-        if len(self) >= REMEMBERED:
-            self.clear()
         words = self.vocabulary.words(piece) if piece not in self.vocabulary.special else [piece]
         if words == [piece]:
             ids = self.vocabulary.encode_piece(piece)
@@ -130,7 +128,10 @@ class _Memory(dict):
         else:  # a word is remembered on its own, for the other pieces that hold it
             got = [self[w] for w in words]
             out = b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
-        self[piece] = out
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.llm.bpe import default_path, load
-from gleanline.llm.common import keep, table
+from gleanline.llm.common import free_name, keep, table
 
 SEQUENCE = 4096
 END_ID = 1
@@ -26,8 +26,8 @@ END_ID = 1
 SHARD = 50_000
 #: Bins that may fail to give in a row, and partners that each looks at, fullest first: how long the search goes on.
 TRIES = 200
-#: Pieces and words remembered in a task.
-REMEMBERED = 800_000
+#: Pieces and words remembered in a task, and the letters of the longest that is.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
 
 def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
@@ -129,8 +129,6 @@ class _Memory(dict):
         self.vocabulary, self.model = load(path), _library(path).model
 
     def __missing__(self, piece):
-        if len(self) >= REMEMBERED:
-            self.clear()
         v = self.vocabulary
         if piece in v.special:
             out = array("I", [v.special[piece]]).tobytes()
@@ -141,7 +139,10 @@ class _Memory(dict):
                 out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             else:
                 out = b"".join([self[w] for w in words])
-        self[piece] = out
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -176,11 +177,12 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
 def pack(parts: DataFrame, size: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
     """parts (with a column length, at most size) with sequence_id and offset: each sequence is gapless from 0 and at most size long.
 
-    Shards are dealt by a hash of the whole row and its copy's number does not matter: equal rows may share a
-    shard but never need to. An empty table stays empty.
+    Shards are dealt by a hash of the row's place in the kept table, so that equal rows spread over all shards. An
+    empty table stays empty. Other columns stay as they are.
     """
     parts = keep(parts.drop("sequence_id", "offset"))
     shards = max(1, -(-parts.count() // shard))
+    shard_col = free_name(parts, "shard__")
     plain, kinds = parts.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +190,7 @@ def pack(parts: DataFrame, size: int = SEQUENCE, shard: int = SHARD) -> DataFram
         lengths = group["length"].tolist()
         seq, off = [0] * len(lengths), [0] * len(lengths)
         bins = local_search(best_fit(lengths, size), lengths, size)
-        first = int(group["shard__"].iloc[0]) << 32
+        first = int(group[shard_col].iloc[0]) << 32
         for b, members in enumerate(bins):
             at = 0
             for i in members:
@@ -196,9 +198,10 @@ def pack(parts: DataFrame, size: int = SEQUENCE, shard: int = SHARD) -> DataFram
                 at += lengths[i]
         return group[plain].assign(sequence_id=seq, offset=off)
 
-    dealt = parts.withColumn("shard__", F.pmod(F.xxhash64(*plain), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard__").applyInPandas(run, f"{kinds}, sequence_id long, `offset` long")
+    dealt = parts.withColumn(shard_col, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+    return dealt.groupBy(shard_col).applyInPandas(run, f"{kinds}, sequence_id long, `offset` long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of documents; null text is empty and has its end id alone; a null doc_id stays null, repeated rows are packed each."""
     return pack(pieces(table(spark, sf_dir, "documents")))
