@@ -30,6 +30,8 @@ CUTOFF = 0.3
 #: Bytes handled at a time.
 BLOCK = 1 << 19
 GAP = 2 * WINDOW
+#: About so many rows of a range of documents that one task compares, and ranges at most; their bounds come from so many rows a range.
+RANGE, MOST_RANGES, PER_BOUND = 4096, 4096, 32
 
 _C = np.arange(WINDOW + 1)
 #: c log2 c in fixed point, so that equal windows have equal entropy wherever they stand.
@@ -184,39 +186,46 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", digest("text"))
 
 
-def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, text, carried): ranges of doc_id; carried rows are the first of the next range (of the first after the last).
+def in_order(docs: DataFrame, ranges: int) -> DataFrame:
+    """(bucket, key, h, doc_id, text, carried): ranges of doc_id and, among equal ids, of a hash of the text.
 
-    The range bounds and the first row of each range are all that comes to the driver: a few values a bucket.
-    Each text is shuffled once. Rows without doc_id come first; equal ids are in the order of their texts.
+    Carried rows are the first of the next range (of the first after the last). The range bounds, from a sample, and
+    the first row of each range are all that comes to the driver: a few numbers a range. Each text is shuffled once.
+    Rows without doc_id come first. An id that many rows share, or none, is cut into ranges like any other; only
+    rows that are the same in id and text stay together.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("key"))
-    bounds = sorted(set(ids.stat.approxQuantile("key", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
+    keys = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("key"), F.xxhash64(text_or_empty()).alias("h"), "doc_id", text_or_empty().alias("text"))
+    n = docs.count()
+    drawn = []
+    if ranges > 1:
+        share = min(1.0, ranges * PER_BOUND / max(n, 1))
+        drawn = sorted((r["key"], r["h"]) for r in keys.select("key", "h").where(F.pmod(F.xxhash64("key", "h"), F.lit(1 << 20)) < share * (1 << 20)).distinct().limit(2 * ranges * PER_BOUND).collect())
+    bounds = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if len(drawn) >= ranges else []
     at = F.lit(0)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     if bounds:
-        # how many bounds are below: floor of the log is not needed, the bounds are one sorted constant
-        bound = F.array(*(F.lit(int(b)) for b in bounds))
-        at = F.size(F.filter(bound, lambda b: b < key))
-    cut = docs.select(at.alias("bucket"), key.alias("key"), "doc_id", text_or_empty().alias("text"))
-    firsts = sorted((b, k) for b, k in cut.select("bucket", "key").groupBy("bucket").agg(F.min("key")).collect())
+        bound = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(h).alias("h")) for k, h in bounds))
+        at = F.size(F.filter(bound, lambda b: (b["k"] < F.col("key")) | ((b["k"] == F.col("key")) & (b["h"] < F.col("h")))))
+    cut = keys.select(at.alias("bucket"), "key", "h", "doc_id", "text")
+    firsts = sorted((b, f["key"], f["h"]) for b, f in cut.groupBy("bucket").agg(F.min(F.struct("key", "h"))).collect())
     if not firsts:
-        return cut.select("bucket", "key", "doc_id", "text", F.lit(False).alias("carried"))
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    back = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("key")]
-    to = F.when(back.isNotNull(), F.array(F.struct("bucket", F.lit(False).alias("carried")), F.struct(back.alias("bucket"), F.lit(True).alias("carried"))))
-    to = F.explode(F.coalesce(to, F.array(F.struct("bucket", F.lit(False).alias("carried")))))
-    return cut.select(to.alias("to"), "key", "doc_id", "text").select("to.bucket", "key", "doc_id", "text", "to.carried")
+        return cut.withColumn("carried", F.lit(False))
+    before = {(k, h): firsts[i - 1][0] for i, (_, k, h) in enumerate(firsts)}
+    back = F.create_map(*(x for (k, h), b in before.items() for x in (F.struct(F.lit(k).alias("key"), F.lit(h).alias("h")), F.lit(b))))[F.struct("key", "h")]
+    own = F.struct("bucket", F.lit(False).alias("carried"))
+    to = F.explode(F.when(back.isNotNull(), F.array(own, F.struct(back.alias("bucket"), F.lit(True).alias("carried")))).otherwise(F.array(own)))
+    return cut.select(to.alias("to"), "key", "h", "doc_id", "text").select("to.bucket", "key", "h", "doc_id", "text", "to.carried")
 
 
-def compare_neighbours(docs: DataFrame, buckets: int) -> DataFrame:
+def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited form and of the next document's, compared.
 
     The edited text ends with the first floor(n/4) code points (or all) of the next document instead of its own
     last ones; the next document is that of the next greater doc_id, after the last the first. A null text counts
-    as empty; a single row is its own next. Repeated rows follow one another.
+    as empty; a single row is its own next. Repeated rows follow one another; rows that share an id come in the order
+    of a hash of their texts. Other columns are left out.
     """
     ranks = corpus_ranks(docs)
+    ranges = ranges or min(MOST_RANGES, max(1, -(-docs.count() // RANGE)))
 
     def run(batches):
         done, held = [], None
@@ -258,11 +267,12 @@ def compare_neighbours(docs: DataFrame, buckets: int) -> DataFrame:
         if done:
             yield flush(done)
 
-    rows = in_order(docs, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "carried", "key", "text")
+    # ranges of bucket numbers: a hash would put several buckets into one task and leave others empty
+    rows = in_order(docs, ranges).repartitionByRange(ranges, "bucket").sortWithinPartitions("bucket", "carried", "key", "h", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.select("bucket", "doc_id", "text", "carried").mapInPandas(run, schema)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compare_neighbours(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """A row for each row of documents; the next of a row with the same doc_id is the one whose text's hash follows."""
+    return compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
