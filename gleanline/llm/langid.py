@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import table
+from gleanline.llm.common import bounded_sample, free_name, table
 
 #: n-grams are hashed to so many places.
 PLACES = 1 << 13
-#: About so many training texts of a language, chosen by a hash of doc_id.
+#: About so many training texts of a language, chosen by a hash of the row.
 PER_LANGUAGE = 600
+#: Texts learned from at most: what the driver holds, however many languages there are.
+MOST_TEXTS = 6000
 CENTROIDS = 4
 #: Code points handled at a time.
 BLOCK = 1 << 19
@@ -133,15 +135,18 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on a bounded sample of the labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    A language keeps each row with a probability (by a hash of doc_id) that leaves about per_language of them, or all
-    if it has fewer: that is what the driver holds. Rows without text or language teach nothing.
+    A language keeps each row with a probability (by a hash of the row) that leaves about per_language of them, or all
+    if it has fewer, and fewer where there are so many languages that these were over MOST_TEXTS. Repeated rows teach
+    once, rows without text or language nothing.
     """
     taught = docs.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "text", "lang")
-    share = [(lang, min(1.0, per_language / n)) for lang, n in taught.groupBy("lang").count().collect()]
-    if not share:
+    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_TEXTS).collect()
+    if not counts:
         return fit([], [])
+    per_language = min(per_language, max(1, MOST_TEXTS // len(counts)))
+    share = [(lang, min(1.0, per_language / n)) for lang, n in counts]
     rate = F.create_map(*(F.lit(x) for pair in share for x in pair))[F.col("lang")]
-    rows = taught.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < rate * (1 << 20)).select("doc_id", "text", "lang").collect()
+    rows = bounded_sample(taught.select("doc_id", "text", "lang"), rate, 2 * per_language * len(counts)).collect()
     rows = sorted(r for r in rows if any(map(str.isalpha, r["text"])))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -158,10 +163,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": rejected})
 
     plain = docs.drop("lang_pred", "score", "rejected")
-    return plain.withColumn("tell__", tell("text")).select(*plain.columns, "tell__.lang_pred", "tell__.score", "tell__.rejected")
+    own = free_name(plain, "tell")
+    return plain.withColumn(own, tell("text")).select(*plain.columns, *(f"{own}.{c}" for c in ("lang_pred", "score", "rejected")))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; of a null doc_id held_out is false, as no remainder is 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return identify(docs, learn(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import table
+from gleanline.llm.common import bounded_sample, free_name, table
 
 #: The chain, in order: a name and the SQL of its 0/1 label over the columns of labels.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
-#: About so many labelled rows are learned from, chosen by a hash of doc_id.
+#: About so many labelled rows are learned from, chosen by a hash, and twice as many at most.
 SAMPLE = 8000
 #: A word is a feature if so many of the sample's texts have it, and their share differs between the two kinds of a
 #: category by so many standard errors.
@@ -118,32 +118,37 @@ def _score(w: np.ndarray, rows, cols, extra, n_words) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: np.ndarray, names: list[str], folds: np.ndarray) -> Model:
-    """labels: a 0/1 column for each name; folds: the number of the fold of each row."""
+    """labels: a 0/1 column for each name, NaN where unknown; folds: the number of the fold of each row."""
+    known = ~np.isnan(labels)
+    # of each word: texts with label 1, texts with a label, of each category; all texts
+    marks = np.column_stack((np.where(known, labels, 0), known, np.ones(len(labels))))
     count: dict[str, np.ndarray] = {}
-    for t, y in zip(texts, labels, strict=True):
-        own = np.append(y, 1).astype(float)
+    for t, own in zip(texts, marks, strict=True):
         for w in set(map(word, (t or "").split())):
             count[w] = count[w] + own if w in count else own
     count.pop("", None)
     words = sorted(w for w, n in count.items() if n[-1] >= LEAST_TEXTS)
-    with_word = np.array([count[w] for w in words]).reshape(len(words), len(names) + 1)
-    ones, n, have = labels.sum(axis=0), len(texts), with_word[:, -1:]
+    k, having = len(names), np.array([count[w] for w in words]).reshape(len(words), marks.shape[1])
+    ones, n = marks[:, :k].sum(axis=0), marks[:, k : 2 * k].sum(axis=0)
+    with_one, have = having[:, :k], having[:, k : 2 * k]
     spread = np.sqrt(np.maximum(have / n * (1 - have / n), 1e-12) * (1 / ones + 1 / (n - ones)))
-    apart = np.abs(with_word[:, :-1] / ones - (have - with_word[:, :-1]) / (n - ones)) / spread
+    apart = np.abs(with_one / ones - (have - with_one) / (n - ones)) / spread
     vocabulary = {w: i for i, w in enumerate(w for w, z in zip(words, apart.max(axis=1, initial=0), strict=True) if z >= LEAST_Z)}
     rows, cols = features(texts, _Memory(vocabulary))
-    extra, weights, k = np.zeros((len(texts), 0)), [], len(vocabulary)
-    for c in range(len(names)):
-        y = labels[:, c].astype(float)
-        weights.append(_logistic(rows, cols, extra, y, k))
-        if c + 1 < len(names):
+    extra, weights, size = np.zeros((len(texts), 0)), [], len(vocabulary)
+
+    def some(which):
+        return np.cumsum(which)[rows[which[rows]]] - 1, cols[which[rows]]
+
+    for c in range(k):
+        mine = known[:, c]
+        weights.append(_logistic(*some(mine), extra[mine], labels[mine, c], size))
+        if c + 1 < k:
             unseen = np.zeros(len(texts))
             for f in np.unique(folds):
-                train, test = folds != f, folds == f
-                new, back = np.cumsum(train) - 1, np.cumsum(test) - 1
-                a, b = train[rows], test[rows]
-                w = _logistic(new[rows[a]], cols[a], extra[train], y[train], k)
-                unseen[test] = _score(w, back[rows[b]], cols[b], extra[test], k)
+                train, test = (folds != f) & mine, folds == f
+                w = _logistic(*some(train), extra[train], labels[train, c], size) if len(np.unique(labels[train, c])) == 2 else weights[c]
+                unseen[test] = _score(w, *some(test), extra[test], size)
             extra = np.column_stack((extra, unseen))
     return Model(vocabulary, list(names), weights)
 
@@ -158,31 +163,38 @@ def predict(model: Model, texts: list[str | None], memory=None) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> Model | None:
-    """Fits on about sample of the labelled rows (all if there are fewer), chosen by a hash of doc_id: what the driver holds.
+    """Fits on about sample of the labelled rows (all if there are fewer), chosen by a hash of the row: what the driver holds.
 
-    Rows with a null label or text teach nothing. None if a category lacks examples of either kind.
+    Several labels of an id count as the greatest; repeated rows teach once. A null label teaches nothing about its
+    category, a null text nothing at all. A category with examples of one kind only leaves the chain. None if that is
+    so of the last.
     """
-    marked = labels.select("doc_id", *(F.expr(f"cast({sql} as int)").alias(f"y{i}") for i, (_, sql) in enumerate(chain))).dropna().dropDuplicates(["doc_id"])
-    n = marked.count()
-    few = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
-    got = sorted(docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").collect())
-    y = np.array([[r[f"y{i}"] for i in range(len(chain))] for r in got]).reshape(len(got), len(chain))
-    if not len(y) or (y.min(axis=0) == y.max(axis=0)).any():
+    ys = [f"y{i}" for i in range(len(chain))]
+    marked = labels.select("doc_id", *(F.expr(f"cast({sql} as int)").alias(y) for y, (_, sql) in zip(ys, chain, strict=True))).where(F.col("doc_id").isNotNull() & F.coalesce(*ys).isNotNull())
+    marked = marked.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
+    few = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < min(1.0, sample / max(marked.count(), 1)) * (1 << 20))
+    texts = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id")
+    got = sorted(bounded_sample(texts, 1.0, 2 * sample).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    y = np.array([[np.nan if r[c] is None else r[c] for c in ys] for r in got], float).reshape(len(got), len(chain))
+    both = [len(np.unique(c[~np.isnan(c)])) == 2 for c in y.T]
+    if not both[-1]:
         return None
-    return fit([r["text"] for r in got], y, [name for name, _ in chain], np.arange(len(got)) % FOLDS)
+    own = np.flatnonzero(both)
+    return fit([r["text"] for r in got], y[:, own], [chain[i][0] for i in own], np.arange(len(got)) % FOLDS)
 
 
 def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with a probability p_<name> for each category of the chain and toxic boolean: the last one's is at least threshold.
 
-    Without a model all probabilities are null and nothing is toxic. Null and empty texts are scored as texts
+    Without a model, and of a category that left the chain, probabilities are null; without one nothing is toxic. Null and empty texts are scored as texts
     without words. Whole texts; columns of these names are replaced; repeated rows get the same.
     """
-    names = model.names if model else [name for name, _ in CHAIN]
-    own = [f"p_{n}" for n in names]
-    plain = docs.drop(*own, "toxic")
+    names = list(dict.fromkeys([*(name for name, _ in CHAIN), *(model.names if model else ())]))
+    own = [f"p_{n}" for n in (model.names if model else ())]
+    plain = docs.drop(*(f"p_{n}" for n in names), "toxic")
+    none = [F.lit(None).cast("double").alias(f"p_{n}") for n in names if f"p_{n}" not in own]
     if model is None:
-        return plain.select("*", *(F.lit(None).cast("double").alias(c) for c in own), F.lit(False).alias("toxic"))
+        return plain.select("*", *none, F.lit(False).alias("toxic"))
     memory: list = []
 
     @F.pandas_udf(", ".join(f"{c} double" for c in own))
@@ -191,11 +203,13 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
             memory.append(_Memory(model.vocabulary))
         return pd.DataFrame(predict(model, list(texts), memory[0]), columns=own)
 
-    out = plain.withColumn("tell__", tell("text")).select(*plain.columns, *(f"tell__.{c}" for c in own))
+    one = free_name(plain, "tell")
+    out = plain.withColumn(one, tell("text")).select(*plain.columns, *none, *(f"{one}.{c}" for c in own))
     return out.withColumn("toxic", F.col(own[-1]) >= threshold)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, repeated ones and those without doc_id too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return classify(docs, model).drop("text")
