@@ -11,6 +11,7 @@ import hashlib
 import re
 import struct
 import uuid
+from datetime import datetime, timezone
 
 import pandas as pd
 import zstandard
@@ -18,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import keep, shared_dir, table
+from gleanline.llm.common import bounded_sample, keep, shared_dir, table
 
 #: Fixed by the format: the magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
-#: The dictionary is trained on about so many payloads, chosen by a hash of page_id among those up to so many bytes.
+#: The dictionary is trained on about so many payloads, chosen by a hash among those up to so many bytes.
 SAMPLE = 1000
 SAMPLE_BYTES = 1 << 16
 LEVEL = 3
@@ -56,10 +57,8 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 def train(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from a bounded sample of the archived payloads; empty if they are too few to train on."""
-    n = pages.count()
-    rows = pages.select("page_id", "html").where(F.pmod(F.xxhash64(F.col("page_id"), F.lit("sample")), F.lit(1 << 20)) < min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
-    samples = sorted((r["page_id"] or 0, (r["html"] or "").encode("utf-8", "replace")) for r in rows.where(F.octet_length("html") <= SAMPLE_BYTES).collect())
-    samples = [s for _, s in samples if s]
+    own = pages.select("html").where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    samples = sorted(r["html"].encode("utf-8", "replace") for r in bounded_sample(own, min(1.0, SAMPLE / max(own.count(), 1)), 2 * SAMPLE).collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 7 else b""
     except zstandard.ZstdError:  # the library's word for too little to learn from
@@ -70,15 +69,16 @@ def _header(fields: list[tuple[str, object]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def _name(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _name(page_id, nth=None) -> str:
+    """A record's id: the page, and a number of its own unless it is what revisits refer to by the page alone."""
+    return f"<urn:page:{'' if page_id is None else page_id}{'' if nth is None else f':{nth}'}>"
 
 
-def record(page_id, url, html, digest: str, size: int, refers_to) -> bytes:
-    """A response record, or a revisit without payload that names the record it repeats."""
+def record(page_id, url, html, digest: str, size: int, refers_to, nth=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response record, or a revisit without payload that names the record it repeats; nth tells records of one page apart."""
     payload = (html or "").encode("utf-8", "replace")
     target = _BREAK.sub(b"%20", (url or "about:blank").encode()).decode()
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _name(page_id)), ("WARC-Target-URI", target), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _name(page_id, nth)), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload
     if refers_to is not None:
@@ -90,10 +90,15 @@ def record(page_id, url, html, digest: str, size: int, refers_to) -> bytes:
 def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Writes the rows of with_revisits() to archives, one for each task, and returns (path, records, bytes).
 
+    Record ids are the pages' where a page has one row; the rows of a page that repeats, or has no id, get a further
+    number of their own, so that ids are unique. The date is that of the call.
+
     A task attempt writes a file of its own and names it only when it is whole; files of failed attempts are in no
     result. The result is kept, so that it names what was written even if an executor is lost later.
     """
 
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches):
         files, path = _files(folder)
         files.create_dir(path, recursive=True)
@@ -107,7 +112,8 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
                 if out is None:
                     out = files.open_output_stream(name, compression=None)
                     out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
-                frame = packer.compress(record(*(None if x is None or x is pd.NA else x for x in row)))
+                page_id, *rest, lone = (None if x is None or x is pd.NA else x for x in row)
+                frame = packer.compress(record(page_id, *rest, None if lone else uuid.uuid4().hex, date))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
         if out is not None:
@@ -115,7 +121,10 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
             yield pd.DataFrame({"path": [name], "records": [n], "bytes": [size]})
 
     # ids as text: they stay whole numbers beside nulls
-    rows = pages.select(F.col("page_id").cast("string"), "url", "html", "payload_digest", "payload_bytes", F.col("refers_to").cast("string").alias("refers_to"))
+    again = keep(pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again")))
+    rows = pages.join(again, "page_id", "left") if not again.isEmpty() else pages.withColumn("again", F.lit(None).cast("boolean"))
+    lone = F.col("page_id").isNotNull() & F.col("again").isNull()
+    rows = rows.select(F.col("page_id").cast("string"), "url", "html", "payload_digest", "payload_bytes", F.col("refers_to").cast("string").alias("refers_to"), lone.alias("lone"))
     return keep(rows.mapInPandas(run, "path string, records long, bytes long"))
 
 
@@ -154,7 +163,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     """
 
     def page(name: str | None) -> int | None:
-        own = name[len("<urn:page:") : -1] if name else ""
+        own = name[len("<urn:page:") : -1].partition(":")[0] if name else ""
         return int(own) if own else None
 
     def run(batches):
@@ -192,6 +201,7 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of pages, repeated ones and those without page_id too."""
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     made = archive(table(spark, sf_dir, "pages"), folder)
     return read(made, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
