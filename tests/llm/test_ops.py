@@ -20,7 +20,7 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     d = spark.createDataFrame(ROWS, SCHEMA)
-    return d.withColumns({c: F.lit("own") for c in ("spans", "rep", "key", "node", "bucket", "fp", "cand_id", "score", "toxic", "piece", "component_id")})
+    return d.withColumns({c: F.lit("own") for c in ("spans", "rep", "key", "node", "bucket", "fp", "cand_id", "cand_h", "cand_rules", "tell", "tell__", "shard__", "own_id", "spans__", "score", "toxic", "p_toxic", "piece", "component_id")})
 
 
 @pytest.fixture(scope="module")
@@ -160,23 +160,32 @@ def test_near_copies(spark, docs, none, leaders):
     got = nearcopies.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string"), leaders=leaders).collect()
     assert len(got) == len(rows)
     sets = {i: {tuple(t[j : j + 5]) for j in range(max(1, len(t) - 4))} for i, t in texts.items()}
-    fps = {i: simhash.text_fingerprint(" ".join(t), nearcopies.FINGERPRINT_WORDS) for i, t in texts.items()}
-
-    def pairs(most):
-        alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-        return [(3, 400)] + [(a, b) for a, b in alike if ((fps[a] ^ fps[b]) % 2**64).bit_count() <= most]
-
-    ids = {i for i, _ in rows if i is not None}
-    least, most = roots(pairs(nearcopies.COMPLETE), ids), roots(pairs(nearcopies.REACH), ids)
-    own = {r["doc_id"]: r["component_id"] for r in got}
-    assert own.pop(None) is None and set(own) == ids
-    for a in ids:  # complete up to COMPLETE bits; nothing that is not alike
-        assert own[a] == own[least[a]] and most[own[a]] == most[a]
-    assert len(set(own.values())) < len(ids) - 40
+    alike = [(3, 400)] + [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(alike, {i for i, _ in rows if i is not None})
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, want.get(i)) for i, _ in rows}
+    assert len(set(want.values())) < len(want) - 40
     assert nearcopies.near_copy_components(none).count() == 0
     assert sorted(r["component_id"] for r in nearcopies.near_copy_components(docs).where("doc_id >= 7").collect()) == [7, 8, 8, 10, 11]
 
 
+def test_near_copies_of_each_band_are_found(spark):
+    """Groups of two at similarities around 0.8: all pairs at 0.8 or more, and no other."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(150):
+        own = list(rng.choice(words, 120))
+        other = list(own)
+        for at in rng.choice(120, int(rng.integers(1, 8)), False):
+            other[at] = str(rng.choice(words))
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    sets = [set(nearcopies.shingle_set(t, 5).tolist()) for _, t in rows]
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(150)]
+    assert sum(0.8 <= j < 0.85 for j in alike) > 10 and sum(0.7 <= j < 0.8 for j in alike) > 10
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 2 and alike[i // 2] >= 0.8 else i for i in range(300)}
+
+
 def test_near_copies_with_one_block_replaced(spark):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(3000)]
@@ -185,7 +194,7 @@ def test_near_copies_with_one_block_replaced(spark):
         own = list(rng.choice(words, 200))
         other = own[:160] if i % 2 else own[:90] + list(rng.choice(words, 16)) + own[106:]
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
-    far = [((simhash.text_fingerprint(rows[2 * i][1], 3) ^ simhash.text_fingerprint(rows[2 * i + 1][1], 3)) % 2**64).bit_count() for i in range(120)]
+    far = [((simhash.text_fingerprint(rows[2 * i][1], 5) ^ simhash.text_fingerprint(rows[2 * i + 1][1], 3)) % 2**64).bit_count() for i in range(120)]
     sets = [set(nearcopies.shingle_set(t, 5).tolist()) for _, t in rows]
     alike = [2 * i for i in range(120) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
     assert len(alike) >= 60 and any(far[i // 2] > 12 for i in alike)
@@ -316,6 +325,48 @@ def test_token_counts(spark, docs, none):
     assert c.count("ab") == 1 and c.count("zz") == 1
 
 
+def counted_by_path(counter, text):
+    """Tokens of a word by its whole best path: back pointers, unknown letters that follow one another as one piece."""
+    n, best, back = len(text), [0.0], [None]
+    for end in range(1, n + 1):
+        ways = [(best[i] + score, -i, True) for i in range(end) if (score := counter.own.get(text[i:end])) is not None]
+        if text[end - 1] not in counter.own:
+            ways.append((best[end - 1] + counter.unknown, 1 - end, False))
+        score, at, known = max(ways)
+        best.append(score)
+        back.append((-at, known))
+    total, end = 0, n
+    while end:
+        start, known = back[end]
+        while not known and start and not back[start][1]:
+            start = back[start][0]
+        piece = text[start:end]
+        raw = [f"<0x{b:02X}>" in counter.own for b in piece.encode("utf-8", "replace")]
+        total += 1 if piece in counter.own or not all(raw) else len(raw)
+        end = start
+    return total
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_counts_without_paths_are_those_of_the_paths(seed):
+    from tokenizers import Tokenizer, models
+
+    rng = np.random.default_rng(seed)
+    letters = "abcdé😀"[: 4 + seed % 3]
+    own = {"".join(rng.choice(list(letters[:-1]), int(rng.integers(1, 5)))) for _ in range(12)}
+    pieces = [("<unk>", 0.0)] + [(p, float(rng.integers(-4, 1))) for p in sorted(own)]
+    if seed % 2:  # some bytes are pieces, or all of them
+        pieces += [(f"<0x{b:02X}>", -20.0) for b in range(256) if seed > 2 or b < 128]
+    c = viterbi.Counter(pieces)
+    c.own = dict(pieces)
+    lib = Tokenizer(models.Unigram(pieces, 0, True)) if seed % 2 == 0 or seed > 2 else None
+    for _ in range(400):
+        text = "".join(rng.choice(list(letters + "z"), int(rng.integers(0, 14))))
+        assert c.count(text) == counted_by_path(c, text), text
+        if lib is not None and text:
+            assert c.count(text) == len(lib.encode(text).ids), text
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(200)]
