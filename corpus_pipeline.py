@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.llm import langid, nearcopies, packing, secrets, toxicity
-from gleanline.llm.common import shared_dir, table
+from gleanline.llm.common import free_name, keep, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +18,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near enough to a centroid of some language; those without any letter go."""
-    return langid.identify(docs, langid.learn(docs)).where(~F.col("rejected")).select(*docs.columns)
+    """Documents near enough to a centroid of some language; those without any letter go. If no row says its language, all stay."""
+    model = langid.learn(docs)
+    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns) if model.languages else docs
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (five words, similarity 0.8); a document without an id stays."""
-    groups = nearcopies.near_copy_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
+
+    Rows that share a doc_id are one document: of those the one that comes first by all columns stays. A row without
+    doc_id has a number made of its text, beyond those that ids have (2**62), and is grouped by it like any other.
+    """
+    own = free_name(docs, "own_id")
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn(own, F.coalesce(F.col("doc_id"), made))
+    groups = nearcopies.near_copy_components(rows, id_col=own)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = rows.join(gone, own, "left_anti")
+    again = keep(rows.groupBy(own).count().where("count > 1").select(own))
+    once = kept.join(again, own, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return once
+    first = kept.join(again, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(first.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
