@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gleanline.llm.common import table
 
 #: Pieces and words remembered in a task, and the letters of the longest that is.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 #: Fixed by the vocabulary file: its pattern and the end of a word.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,38 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def files(uri: str):
+    """The file system of a folder and the folder's path in it: local, hdfs, s3 and what else pyarrow reads."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder, and that table's path: for what is large, or needed for a while only."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(path: str) -> None:
+    """Removes a table of store() that nothing will read again."""
+    system, own = files(path)
+    system.delete_dir(own)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it Python workers get so many rows at a time at most; it holds for what is computed within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanline.llm.common import keep
+from gleanline.llm.common import discard, keep, small_batches, store
 from gleanline.llm.components import connected_components
 from gleanline.llm.simhash import hamming_edges, majority, shingle_hashes
 
@@ -29,6 +29,8 @@ ORDER_TEXTS = 8000
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the so many that it meets most often.
 LEADERS = 8
+#: In a turn before, with so few, most of a group of copies is linked with fewer comparisons.
+FIRST_LEADERS = 2
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 200_000
 
@@ -51,40 +53,49 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
 
 
-def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 members of a sorted set, the rare ones first."""
+def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n - ceil(similarity n) + 1 members of a sorted set, the rare ones first; how many of them, the last, are common."""
     if not len(own):
-        return own
+        return own, 0
     often = np.zeros(len(own), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
         often = np.where(hashes[at] == own, counts[at], 0)
-    return own[np.argsort(often, kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+    order = np.argsort(often, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+    return own[order], int((often[order] > 0).sum())
 
 
 def _described(docs: DataFrame, k: int, similarity: float, common, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the shingle set or null without any, n shingles, fp, the first of them)."""
+    """(doc_id, digest of the shingle set or null without any, n shingles, fp, the first of them, how many of these are common)."""
 
-    @F.pandas_udf("digest binary, n int, fp long, first array<long>")
+    @F.pandas_udf("digest binary, n int, fp long, first array<long>, m int")
     def described(texts: pd.Series) -> pd.DataFrame:
-        digests, n, fp, first = [], [], [], []
+        digests, n, fp, first, m = [], [], [], [], []
         for t in texts:  # one text's words at a time: a batch of them at once is what a worker's memory goes to
             hashes = shingle_hashes(t, k)
             own = np.unique(hashes).view(np.int64)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             n.append(len(own))
             fp.append(majority(hashes))
-            first.append(prefix(own, similarity, *common))
-        return pd.DataFrame({"digest": digests, "n": n, "fp": fp, "first": first})
+            some, often = prefix(own, similarity, *common)
+            first.append(some)
+            m.append(often)
+        return pd.DataFrame({"digest": digests, "n": n, "fp": fp, "first": first, "m": m})
 
-    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.digest", "d.n", "d.fp", "d.first")
+    return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.*")
 
 
 def _points(nodes: DataFrame) -> DataFrame:
-    """(key, rep, n, left): the shingles of the prefixes that more than one text has, and how many of the set come after them."""
-    points = nodes.select("rep", "n", F.posexplode("first").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at") - 1).alias("left"))
-    shared = points.groupBy("key").count().where("count > 1").select("key")
-    return points.join(shared, "key")
+    """(key, rep, n, left): the shingles of the prefixes, and how many of the set come after them.
+
+    Most shingles are in one text only, and are found by a shuffle of their own. Those that the sample has are common
+    and need none; they are what may be in a large share of all texts.
+    """
+    points = nodes.select("rep", "n", (F.size("first") - F.col("m")).alias("rare"), F.posexplode("first").alias("at", "key"))
+    points = points.select("key", "rep", "n", (F.col("n") - F.col("at") - 1).alias("left"), (F.col("at") < F.col("rare")).alias("rare"))
+    rare = points.where("rare").drop("rare").repartition("key")
+    shared = rare.groupBy("key").count().where("count > 1").select("key")
+    return rare.join(shared, "key").unionByName(points.where("not rare").drop("rare"))
 
 
 def _may(n2, left2, similarity: float):
@@ -106,11 +117,14 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Dat
 
     ids = keep(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
     own = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
-    sets = keep(own.select("rep", own_set("text").alias("s")))
+    with small_batches(texts.sparkSession):
+        sets, path = store(own.select("rep", own_set("text").alias("s")))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
     both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9)
     common = F.size(F.array_intersect("x", "y"))
-    return keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct())
+    good = keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct())
+    discard(path)
+    return good
 
 
 def _simhash_pairs(nodes: DataFrame, distance: int) -> DataFrame:
@@ -125,15 +139,15 @@ def _with_component(points: DataFrame, good: DataFrame) -> DataFrame:
     return points.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _mixed(points: DataFrame) -> DataFrame:
-    """The points of the keys at which different components meet, with the component that most of a key's points are in."""
+def _mixed(points: DataFrame) -> tuple[DataFrame, str]:
+    """The points of the keys at which different components meet, with the component that most of a key's points are in; stored."""
     sizes = points.groupBy("key", "comp").agg(F.count("*").alias("many"))
     main = sizes.groupBy("key").agg(F.max(F.struct("many", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    return keep(points.join(main, "key"))
+    return store(points.join(main, "key"))
 
 
-def _leader_pairs(points: DataFrame, similarity: float, leaders: int) -> DataFrame:
-    """Pairs of a text and the leaders it meets most often, so many a text at most.
+def _leader_pairs(points: DataFrame, similarity: float, leaders: int, most: int) -> DataFrame:
+    """Pairs of a text and the leaders of other components that it meets most often, most a text.
 
     A key's leaders are those (one of each class by a hash) in whose order it comes first: texts that have little of
     their own before it. In a group of copies each with its own changes these are the least changed, and what links
@@ -147,8 +161,8 @@ def _leader_pairs(points: DataFrame, similarity: float, leaders: int) -> DataFra
     led = points.groupBy("key").agg(F.array_compact(F.array(*(leader(j) for j in range(leaders)))).alias("l"))
     met = points.join(led, "key").select("rep", F.transform(F.filter("l", lambda x: (x.comp2 != F.col("comp")) & _may(x.n2, x.left2, similarity)), lambda x: x.rep2).alias("l"))
     met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("rep2")).groupBy("rep", "rep2").count()
-    most = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
-    return _ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, leaders)).alias("x")).select("rep", "x.rep2"))
+    own = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
+    return _ordered(own.select("rep", F.explode(F.slice(F.sort_array("all"), 1, most)).alias("x")).select("rep", "x.rep2"))
 
 
 def _rest_pairs(points: DataFrame, similarity: float) -> DataFrame:
@@ -171,14 +185,23 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     leaders; and, of the keys where different components still meet, all pairs of those that sizes and places allow.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null and text is not null")
-    rows = keep(_described(docs, k, similarity, _common(texts, k), id_col, text_col))
+    with small_batches(docs.sparkSession):
+        rows, rows_at = store(_described(docs, k, similarity, _common(texts, k), id_col, text_col))
     nodes = rows.where("doc_id is not null and digest is not null").groupBy("digest")
-    nodes = keep(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "first"))))
-    links = rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    nodes, nodes_at = store(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "m"))))
+    links = keep(rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    discard(rows_at)
     good = _alike(keep(_simhash_pairs(nodes, distance)), texts, k, similarity)
-    points = keep(_points(nodes))
-    good = good.union(_alike(keep(_leader_pairs(_mixed(_with_component(points, good)), similarity, leaders)), texts, k, similarity))
-    good = good.union(_alike(keep(_rest_pairs(_mixed(_with_component(points, good)), similarity)), texts, k, similarity))
+    points, points_at = store(_points(nodes))
+    discard(nodes_at)
+    for most in sorted({min(FIRST_LEADERS, leaders), leaders}):
+        mixed, path = _mixed(_with_component(points, good))
+        good = good.union(_alike(keep(_leader_pairs(mixed, similarity, leaders, most)), texts, k, similarity))
+        discard(path)
+    mixed, path = _mixed(_with_component(points, good))
+    good = good.union(_alike(keep(_rest_pairs(mixed, similarity)), texts, k, similarity))
+    discard(path)
+    discard(points_at)
     found = keep(connected_components(links.union(good)))
-    out = rows.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = docs.select(F.col(id_col).alias("doc_id")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -27,7 +27,7 @@ SHARD = 50_000
 #: Bins that may fail to give in a row, and partners that each looks at, fullest first: how long the search goes on.
 TRIES = 200
 #: Pieces and words remembered in a task, and the letters of the longest that is.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
 
 def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.llm.common import bounded_sample, keep, shared_dir, table
+from gleanline.llm.common import files as files_of
 
 #: Fixed by the format: the magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -33,13 +34,6 @@ LEAST_REVISIT = 1000
 _BREAK = re.compile(rb"[\x00-\x20\x7f]+")
 
 
-def _files(uri: str):
-    """The file system of a folder and the folder's path in it: local, hdfs, s3 and what else pyarrow reads."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, payload_digest and refers_to.
 
@@ -100,7 +94,7 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
-        files, path = _files(folder)
+        files, path = files_of(folder)
         files.create_dir(path, recursive=True)
         context = TaskContext.get()
         name = f"{path}/part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.zst"
@@ -167,7 +161,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         return int(own) if own else None
 
     def run(batches):
-        files, _ = _files(folder)
+        files, _ = files_of(folder)
         for batch in batches:
             for path in batch["path"]:
                 with files.open_input_stream(path, compression=None) as stream:
