@@ -27,10 +27,8 @@ DISTANCE = 2
 ORDER_TEXTS = 8000
 #: Shingles in fewer of those texts count as equally rare; of the others so many are told apart at most (16 bytes each).
 COMMON, COMMON_AT_MOST = 3, 200_000
-#: A bucket's members meet so many of them first; each member is compared with the so many that it meets most often.
-LEADERS = 8
-#: In a turn before, with so few, most of a group of copies is linked with fewer comparisons.
-FIRST_LEADERS = 2
+#: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
+LEADERS, MET_MOST = 8, 4
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 200_000
 
@@ -181,8 +179,9 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     columns of docs are ignored.
 
     Equal sets count as one text. A bucket may hold a large group of copies, and pairing it would be quadratic. So
-    candidates come in three turns, and what is in one component is not compared any more: by SimHash; by a bucket's
-    leaders; and, of the keys where different components still meet, all pairs of those that sizes and places allow.
+    candidates come in two turns, and what is in one component by then is not compared any more: first those of
+    SimHash and of the buckets' leaders; then, of the keys where different components still meet, all pairs that
+    sizes and places allow.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null and text is not null")
     with small_batches(docs.sparkSession):
@@ -191,16 +190,13 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     nodes, nodes_at = store(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "m"))))
     links = keep(rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     discard(rows_at)
-    good = _alike(keep(_simhash_pairs(nodes, distance)), texts, k, similarity)
     points, points_at = store(_points(nodes))
+    first = _leader_pairs(points.withColumn("comp", F.col("rep")), similarity, leaders, min(MET_MOST, leaders))
+    good = _alike(keep(_simhash_pairs(nodes, distance).union(first).distinct()), texts, k, similarity)
     discard(nodes_at)
-    for most in sorted({min(FIRST_LEADERS, leaders), leaders}):
-        mixed, path = _mixed(_with_component(points, good))
-        good = good.union(_alike(keep(_leader_pairs(mixed, similarity, leaders, most)), texts, k, similarity))
-        discard(path)
-    mixed, path = _mixed(_with_component(points, good))
+    mixed, mixed_at = _mixed(_with_component(points, good))
     good = good.union(_alike(keep(_rest_pairs(mixed, similarity)), texts, k, similarity))
-    discard(path)
+    discard(mixed_at)
     discard(points_at)
     found = keep(connected_components(links.union(good)))
     out = docs.select(F.col(id_col).alias("doc_id")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -170,6 +170,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
                     own = ids[at : at + 4 * size]
                     rows.append((None if pd.isna(doc_id) else int(doc_id), p, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        _memory(where).clear()  # the worker lives on, beside those of later stages
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
