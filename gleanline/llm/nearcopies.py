@@ -28,7 +28,7 @@ ORDER_TEXTS = 8000
 #: Shingles in fewer of those texts count as equally rare; of the others so many are told apart at most (16 bytes each).
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
-LEADERS, MET_MOST = 8, 4
+LEADERS, MET_MOST = 4, 3
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 200_000
 
@@ -144,30 +144,39 @@ def _mixed(points: DataFrame) -> tuple[DataFrame, str]:
     return store(points.join(main, "key"))
 
 
-def _leader_pairs(points: DataFrame, similarity: float, leaders: int, most: int) -> DataFrame:
-    """Pairs of a text and the leaders of other components that it meets most often, most a text.
+def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(rep, rep2) of rows (rep, rep2, both, rest), one for each common member in the prefixes of two sets, that may be alike.
+
+    both is the sum of their sizes, rest how many members at most come after this one in both. So they have no more in
+    common than the rows that they have and the least rest.
+    """
+    met = pairs.groupBy("rep", "rep2").agg(F.count("*").alias("met"), F.min("rest").alias("rest"), F.min("both").alias("both"))
+    return met.where(F.col("met") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - 1e-9).select("rep", "rep2", "met")
+
+
+def _leader_pairs(points: DataFrame, similarity: float, leaders: int) -> DataFrame:
+    """Pairs of a text and the leaders it meets most often, MET_MOST a text at most.
 
     A key's leaders are those (one of each class by a hash) in whose order it comes first: texts that have little of
     their own before it. In a group of copies each with its own changes these are the least changed, and what links
     to any of the group nearly always links to them.
     """
-
-    def leader(j):
-        own = F.struct((F.lit(1.0) - F.col("left") / F.col("n")).alias("place"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
-        return F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(leaders)) == j, own))
-
-    led = points.groupBy("key").agg(F.array_compact(F.array(*(leader(j) for j in range(leaders)))).alias("l"))
-    met = points.join(led, "key").select("rep", F.transform(F.filter("l", lambda x: (x.comp2 != F.col("comp")) & _may(x.n2, x.left2, similarity)), lambda x: x.rep2).alias("l"))
-    met = met.where(F.size("l") > 0).select("rep", F.explode("l").alias("rep2")).groupBy("rep", "rep2").count()
-    own = met.groupBy("rep").agg(F.collect_list(F.struct((-F.col("count")).alias("d"), "rep2")).alias("all"))
-    return _ordered(own.select("rep", F.explode(F.slice(F.sort_array("all"), 1, most)).alias("x")).select("rep", "x.rep2"))
+    own = F.struct((F.lit(1.0) - F.col("left") / F.col("n")).cast("float").alias("place"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("rep").alias("rep2"))
+    led = points.groupBy("key").agg(*(F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(leaders)) == j, own)).alias(f"l{j}") for j in range(leaders)))
+    led = led.select("key", F.array_compact(F.array(*(f"l{j}" for j in range(leaders)))).alias("l"))
+    met = points.join(led, "key").select("rep", "n", "left", F.filter("l", lambda x: (x.rep2 != F.col("rep")) & _may(x.n2, x.left2, similarity)).alias("l"))
+    met = met.where(F.size("l") > 0).select("rep", F.explode(F.transform("l", lambda x: F.struct(x.rep2.alias("rep2"), (F.col("n") + x.n2).alias("both"), F.least("left", x.left2).alias("rest")))).alias("x")).select("rep", "x.*")
+    most = _enough(met, similarity).groupBy("rep").agg(F.collect_list(F.struct((-F.col("met")).alias("d"), "rep2")).alias("all"))
+    return _ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, MET_MOST)).alias("x")).select("rep", "x.rep2"))
 
 
 def _rest_pairs(points: DataFrame, similarity: float) -> DataFrame:
     """All pairs that may still be alike and are in different components: of a key's points those outside its main component with the others."""
     x, y = points.where("comp <> main"), points.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
     once = (F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
-    return _ordered(x.join(y, "key").where((F.col("comp") != F.col("comp2")) & once & _may(F.col("n2"), F.col("left2"), similarity)).select("rep", "rep2"))
+    pairs = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & once & _may(F.col("n2"), F.col("left2"), similarity))
+    low, high = F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")
+    return _ordered(_enough(pairs.select(low, high, (F.col("n") + F.col("n2")).alias("both"), F.least("left", "left2").alias("rest")), similarity))
 
 
 def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, leaders: int = LEADERS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +200,7 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     links = keep(rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     discard(rows_at)
     points, points_at = store(_points(nodes))
-    first = _leader_pairs(points.withColumn("comp", F.col("rep")), similarity, leaders, min(MET_MOST, leaders))
+    first = _leader_pairs(points, similarity, leaders)
     good = _alike(keep(_simhash_pairs(nodes, distance).union(first).distinct()), texts, k, similarity)
     discard(nodes_at)
     mixed, mixed_at = _mixed(_with_component(points, good))
