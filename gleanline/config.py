@@ -39,5 +39,5 @@ AGENT_PREFIXES = ("hub:review:", "hub:")
 WRONG_REASONS = ("agent_wrong", "severity_miscalibrated")
 OVERRIDE_EVENTS = ("override", "disagreement_override")
 CROSS_CUTTING = ("fd-architecture", "fd-quality", "fd-safety", "fd-correctness")
-SAFETY_FLOOR = ("fd-safety", "fd-correctness")
+SAFETY_FLOOR = ("fd-architecture", "fd-correctness", "fd-safety", "fd-quality")
 SOURCE_WEIGHTS = {"bootstrap": 0.5, "self-building": 0.7, "normal": 1.0}

@@ -20,18 +20,20 @@ def normalize_agent(c: Column) -> Column:
     return F.regexp_replace(c, f"^({'|'.join(map(re.escape, AGENT_PREFIXES))})(?=fd-)", "")
 
 
-#: Forms of keys, and what they are replaced by, in the order of application.
+#: Forms of secrets, and what they are replaced by, in the order of application. None spans lines.
 REDACTIONS = (
-    (r"(?i)(api[_-]?key|apikey)(\s*[:=]\s*)[^\s,;\n]+", "$1$2[REDACTED]"),
-    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (r"AKIA[0-9A-Z]{16}", "[REDACTED-AWS]"),
-    (r"ghp_[A-Za-z0-9]{20,}", "[REDACTED-GH]"),
-    (r"github_pat_[A-Za-z0-9_]{20,}", "[REDACTED-GH]"),
-    (r"sk-[A-Za-z0-9_-]{20,}", "[REDACTED-KEY]"),
-    (r"(?i)([a-z][a-z0-9+.-]*://)[^/\s:@\n]+:[^@\s\n]+@", "$1[REDACTED]@"),
-    (r"(?i)(password|passwd|secret)(\s*[:=]\s*)[^\s,;\n]+", "$1$2[REDACTED]"),
+    (r"""(?i)(api[_-]?key|apikey|api[_-]?secret)[ \t\r\f\x0b]*[:=][ \t\r\f\x0b]*['"][^'"\n]{8,}['"]""", "$1=[REDACTED:api_key]"),
+    (r"""(?i)(bearer|token|auth)[ \t\r\f\x0b]+[A-Za-z0-9_\\.\-]{20,}""", "$1 [REDACTED:token]"),
+    (r"""AKIA[0-9A-Z]{16}""", "[REDACTED:aws_key]"),
+    (r"""gh[ps]_[A-Za-z0-9]{36,}""", "[REDACTED:github_token]"),
+    (r"""github_pat_[A-Za-z0-9_]{22,}""", "[REDACTED:github_token]"),
+    (r"""sk-ant-[A-Za-z0-9\\\-]{20,}""", "[REDACTED:anthropic_key]"),
+    (r"""sk-[A-Za-z0-9]{20,}""", "[REDACTED:openai_key]"),
+    (r"""[a-zA-Z]+://[^:\n]+:[^@\n]+@[^/ \t\r\n\f\x0b]+""", "[REDACTED:connection_string]"),
+    (r"""(?i)(password|passwd|pwd|secret)[ \t\r\f\x0b]*[:=][ \t\r\f\x0b]*['"][^'"\n]{4,}['"]""", "$1=[REDACTED:password]"),
 )
-INJECTION = r"(?i)ignore (all )?previous instructions|</?system>|you are now "
+#: What a text must not say, letters in either case.
+INJECTION = ("<system>", "<instructions>", "ignore previous", "you are now", "disregard", "system:")
 
 
 def redact(c: Column) -> Column:
@@ -42,13 +44,18 @@ def redact(c: Column) -> Column:
 
 def sanitize(c: Column, most: int = 500) -> Column:
     """Without terminal escapes and controls, cut, redacted; null stays null."""
-    c = F.regexp_replace(c, "\x1b\\[[0-9;]*[A-Za-z]", "")
-    c = F.regexp_replace(c, "[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    c = F.regexp_replace(c, r"\x1b\[[0-9;]*[a-zA-Z]", "")
+    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     return redact(F.substring(c, 1, most))
 
 
 def rejected(c: Column) -> Column:
-    return F.coalesce(c.rlike(INJECTION), F.lit(False))
+    """Whether a sanitised text tries to instruct."""
+    low = F.lower(c)
+    hit = F.lit(False)
+    for word in INJECTION:
+        hit = hit | F.contains(low, F.lit(word))
+    return F.coalesce(hit, F.lit(False))
 
 
 def is_agent_name(c: Column) -> Column:
@@ -110,6 +117,11 @@ def workspace_key(path: Column) -> Column:
     return F.regexp_replace(path, "/", "-")
 
 
+def to_iso(ts: Column) -> Column:
+    """An instant in UTC as text, to the second."""
+    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def sigmoid_goodness(value: Column, middle: Column, spread: Column) -> Column:
     """Near 1 far under the middle, near 0 far over it; a spread of zero counts as one."""
     x = (value - middle) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
@@ -122,11 +134,11 @@ def ema(classified: Column, observed: Column, alpha: float = 0.3) -> Column:
 
 #: Words of a description and the weights (speed, precision, completeness) of its goal, first match.
 GOALS = (
-    ("audit", r"audit|review|verify|validate", (0.2, 0.6, 0.2)),
-    ("search", r"search|find|lookup|explore", (0.5, 0.3, 0.2)),
-    ("orchestration", r"orchestrat|workflow|pipeline|coordinate", (0.2, 0.2, 0.6)),
+    ("audit", ("audit", "review", "verify", "coverage", "gate", "lint", "check"), (0.1, 0.3, 0.6)),
+    ("search", ("search", "retriev", "lookup", "recall", "find", "query", "index"), (0.7, 0.2, 0.1)),
+    ("orchestration", ("sequenc", "orchestrat", "phase", "lifecycle", "workflow", "pipeline", "dispatch", "brainstorm", "ship"), (0.15, 0.45, 0.4)),
 )
-DEFAULT_GOAL = ("default", (1 / 3, 1 / 3, 1 / 3))
+DEFAULT_GOAL = ("default", (0.2, 0.6, 0.2))
 
 
 def goal_bucket(c: Column) -> Column:
@@ -135,6 +147,6 @@ def goal_bucket(c: Column) -> Column:
         return F.struct(F.lit(name).alias("bucket"), *(F.lit(x).alias(n) for n, x in zip(("speed", "precision", "completeness"), w, strict=True)))
 
     out = goal(*DEFAULT_GOAL)
-    for name, pattern, w in reversed(GOALS):
-        out = F.when(F.coalesce(F.lower(c).rlike(pattern), F.lit(False)), goal(name, w)).otherwise(out)
+    for name, words, w in reversed(GOALS):
+        out = F.when(F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False)), goal(name, w)).otherwise(out)
     return out

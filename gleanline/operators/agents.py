@@ -9,6 +9,13 @@ from gleanline.config import SAFETY_FLOOR, SOURCE_WEIGHTS
 from gleanline.functions.text import lenient_bool, lenient_int, normalize_agent
 from gleanline.operators.filters import quarantine_filter
 
+#: Sessions other than bootstrap that a recommendation needs to be passed on.
+NON_BOOTSTRAP = 20
+#: Why a model is recommended.
+REASONS = (
+    "weighted_hit_rate in dead zone (0.3-0.6), no change", "low hit rate but safety floor prevents demotion",
+    "high weighted hit rate, appropriate tier", "low weighted hit rate, recommend demotion",
+)
 SCORED = ("agent_dispatch", "verdict_outcome", "override", "disagreement_override")
 
 
@@ -34,21 +41,23 @@ def _scored(rows: DataFrame, keys: list[str], non_bootstrap: DataFrame) -> DataF
         F.count_if(hit).alias("hits"), F.sum(F.when(verdict, w)).alias("w"), F.sum(F.when(hit, w).otherwise(0.0)).alias("wh"),
     )
     g = g.where("evidence_sessions >= 3 and verdicts > 0 and findings > 0").crossJoin(F.broadcast(non_bootstrap))
+    eligible = F.col("n_normal") >= NON_BOOTSTRAP
     whr = F.col("wh") / F.col("w")
     confidence = F.when(F.col("evidence_sessions") >= 5, 0.85).when(F.col("evidence_sessions") >= 3, 0.7).otherwise(0.5)
     low = whr < 0.3
     floor = F.col("agent").isin(*SAFETY_FLOOR)
     model = F.when(whr >= 0.6, "sonnet").when(low & ~floor, "haiku").otherwise("sonnet")
-    reason = F.when(whr >= 0.6, "high_hit_rate").when(low & floor, "safety_floor").when(low, "low_hit_rate").otherwise("no_change")
+    few = F.concat(F.lit("insufficient non-bootstrap sessions ("), F.col("n_normal").cast("string"), F.lit(f"/{NON_BOOTSTRAP})"))
+    reason = F.when(~low & (whr < 0.6), REASONS[0]).when(~eligible, few).when(low & floor, REASONS[1]).when(whr >= 0.6, REASONS[2]).otherwise(REASONS[3])
     return g.select(
         *keys, "evidence_sessions", F.round(F.col("hits") / F.col("verdicts"), 6).alias("hit_rate"), F.round(whr, 6).alias("weighted_hit_rate"), confidence.alias("confidence"),
-        model.alias("recommended_model"), (F.col("n_normal") >= 20).alias("propagation_eligible"), reason.alias("reason"),
+        model.alias("recommended_model"), eligible.alias("propagation_eligible"), reason.alias("reason"),
     )
 
 
 def _rows(e: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = join_session_source(e.where(F.col("event").isin(*SCORED)).where("coalesce(source_kind, 'agent') = 'agent'"), s).withColumn("agent", normalize_agent(F.col("source")))
-    return rows, rows.where("session_source <> 'bootstrap'").agg(F.countDistinct("session_id").alias("n_normal"))
+    return rows, s.where("coalesce(source, 'normal') <> 'bootstrap'").agg(F.count("*").alias("n_normal"))
 
 
 def agent_scores(e: DataFrame, s: DataFrame) -> DataFrame:
@@ -124,7 +133,7 @@ def review_phase_calibration(e: DataFrame, as_of: str, min_n: int = 3) -> DataFr
         return F.get_json_object("context", f"$.{name}").try_cast("double")
 
     r = quarantine_filter(e, as_of).where("event = 'review_phase_outcome'").select(F.get_json_object("context", "$.phase").alias("phase"), F.coalesce(number("complexity").cast("long"), F.lit(3)).alias("complexity"), number("p0").alias("p0"), number("p1").alias("p1"), number("agents").alias("agents"))
-    g = r.where("phase is not null").groupBy("phase", "complexity").agg(F.count("*").alias("total_reviews"), F.count_if(F.coalesce("p0", F.lit(0)) + F.coalesce("p1", F.lit(0)) > 0).alias("bad"), F.avg("agents").alias("avg_agents")).where(F.col("total_reviews") >= min_n)
+    g = r.where("phase is not null").groupBy("phase", "complexity").agg(F.count("*").alias("total_reviews"), F.count_if(F.coalesce("p0", F.lit(0)) + F.coalesce("p1", F.lit(0)) > 0).alias("bad"), F.avg(F.coalesce("agents", F.lit(0.0))).alias("avg_agents")).where(F.col("total_reviews") >= min_n)
     rate = F.col("bad") / F.col("total_reviews")
     return g.select("phase", "complexity", "total_reviews", F.round(rate, 6).alias("p0p1_rate"), F.round("avg_agents", 6).alias("avg_agents"), F.when(rate < 0.05, "skip").when(rate < 0.15, "lighten").otherwise("full").alias("action"))
 

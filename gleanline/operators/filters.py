@@ -50,7 +50,6 @@ def dark_sessions(s: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return s.where(F.col("end_ts").isNull() & (F.col("start_ts") < at(as_of) - F.expr(f"interval '{hours}' hour"))).select("session_id", "start_ts")
 
 
-def session_source(s: DataFrame, marker: str = "marker", title: str = "title", changed: str = "changed_files") -> DataFrame:
-    """bootstrap if marked, self-building if title or a changed path is about the tool itself, else normal."""
-    own = r"(?i)calibrat|canary|overlay|telemetry"
+def session_source(s: DataFrame, own: str, marker: str = "marker", title: str = "title", changed: str = "changed_files") -> DataFrame:
+    """bootstrap if marked, self-building if title or a changed path is about the tool itself (the regex own names it), else normal."""
     return s.withColumn("source", F.when(F.coalesce(F.col(marker), F.lit(False)), "bootstrap").when(F.coalesce(F.col(title).rlike(own), F.lit(False)) | F.coalesce(F.exists(changed, lambda p: p.rlike(own)), F.lit(False)), "self-building").otherwise("normal"))

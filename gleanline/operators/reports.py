@@ -59,12 +59,15 @@ def status_counts(e: DataFrame, s: DataFrame, c: DataFrame, m: DataFrame) -> Dat
 
 
 def health_channels(e: DataFrame, s: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Three channels: OK with news in the window, WARN with older ones, else INACTIVE."""
+    """Three channels. Events: OK with news in the window, WARN with older ones, else INACTIVE. Sessions: OK with one in the window that has ended, WARN if all in it are open, INACTIVE without any in it."""
     def channel(df, name, cond, ts):
         return df.agg(F.lit(name).alias("channel"), F.count_if(cond & in_window(days, as_of, ts)).alias("last_7d"), F.count_if(cond).alias("total"), F.max(F.when(cond, F.col(ts))).alias("last_event"))
 
-    out = channel(e, "dispatch", F.col("event") == "agent_dispatch", "ts").unionByName(channel(e, "override", F.col("event") == "override", "ts")).unionByName(channel(s, "session", F.lit(True), "start_ts"))
-    return out.withColumn("status", F.when(F.col("last_7d") > 0, "OK").when(F.col("total") > 0, "WARN").otherwise("INACTIVE"))
+    events = channel(e, "dispatch", F.col("event") == "agent_dispatch", "ts").unionByName(channel(e, "override", F.col("event") == "override", "ts"))
+    events = events.withColumn("status", F.when(F.col("last_7d") > 0, "OK").when(F.col("total") > 0, "WARN").otherwise("INACTIVE"))
+    ended = s.agg(F.count_if(in_window(days, as_of, "start_ts") & F.col("end_ts").isNotNull()).alias("ended"))
+    own = channel(s, "session", F.lit(True), "start_ts").crossJoin(F.broadcast(ended))
+    return events.unionByName(own.withColumn("status", F.when(F.col("ended") > 0, "OK").when(F.col("last_7d") > 0, "WARN").otherwise("INACTIVE")).drop("ended"))
 
 
 def signal_coverage(g: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -76,13 +79,17 @@ def effectiveness(e: DataFrame, as_of: str, days: int = 30, back: int = 0, norma
     """Dispatches and corrections of each fd- source in a window; only agents that were dispatched."""
     agent = normalize_agent(F.col("source")) if normalize else F.col("source")
     g = e.where(in_window(days, as_of, back=back)).withColumn("agent", agent).where("agent like 'fd-%'").groupBy("agent").agg(
-        F.count_if(F.col("event") == "agent_dispatch").alias("dispatches"), F.count_if(F.col("event").isin("override", "disagreement_override")).alias("corrections"), F.countDistinct("session_id").alias("sessions"),
+        F.count_if(F.col("event") == "agent_dispatch").alias("dispatches"), F.count_if(F.col("event") == "override").alias("corrections"), F.countDistinct("session_id").alias("sessions"),
     )
     return g.where("dispatches > 0").withColumn("override_rate", F.round(100 * F.col("corrections") / F.greatest("dispatches", F.lit(1)), 6))
 
 
-def effectiveness_totals(e: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    g = effectiveness(e, as_of, days).agg(F.coalesce(F.sum("dispatches"), F.lit(0)).alias("dispatches"), F.coalesce(F.sum("corrections"), F.lit(0)).alias("corrections"))
+def effectiveness_totals(e: DataFrame, overrides: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Sums over all fd- rows of the window, dispatched agents or not, and the excludes in force."""
+    g = e.where(in_window(days, as_of)).where("source like 'fd-%'").agg(
+        F.count_if(F.col("event") == "agent_dispatch").alias("dispatches"), F.count_if(F.col("event") == "override").alias("corrections"), F.countDistinct("session_id").alias("sessions"),
+    )
+    g = g.crossJoin(F.broadcast(overrides.agg(F.count_if(F.col("action") == "exclude").alias("active_overrides"))))  # one row each
     return g.withColumn("override_rate", F.when(F.col("dispatches") > 0, F.floor(1000 * F.col("corrections") / F.col("dispatches")) / 10).otherwise(0.0))
 
 
@@ -112,13 +119,18 @@ def effectiveness_summary(e: DataFrame, as_of: str, days: int) -> DataFrame:
     return a.withColumn("label", F.when(F.col("change_pct").isNull(), "stable").when(F.col("change_pct") < 0, "improving").when(F.col("change_pct") > 5, "declining").otherwise("stable"))
 
 
+def _dispatched(e: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Dispatches and corrections of each fd- source in each project that dispatched it."""
+    g = e.where(in_window(days, as_of)).where("source like 'fd-%'").groupBy(F.col("source").alias("agent"), "project")
+    return g.agg(F.count_if(F.col("event") == "agent_dispatch").alias("d"), F.count_if(F.col("event") == "override").alias("c")).where("d > 0")
+
+
 def cross_project(e: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    g = e.where(in_window(days, as_of)).withColumn("agent", normalize_agent(F.col("source"))).where("agent like 'fd-%'")
-    g = g.groupBy("agent").agg(
-        F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"), F.countDistinct("project").alias("project_count"),
-        F.count_if(F.col("event") == "agent_dispatch").alias("total_dispatches"), F.count_if(F.col("event") == "override").alias("total_corrections"),
+    """Sums over the projects that dispatched an agent; the rate is cut after one place."""
+    g = _dispatched(e, as_of, days).groupBy("agent").agg(
+        F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"), F.countDistinct("project").alias("project_count"), F.sum("d").alias("total_dispatches"), F.sum("c").alias("total_corrections"),
     )
-    return g.withColumn("override_rate", F.when(F.col("total_dispatches") > 0, F.floor(1000 * F.col("total_corrections") / F.col("total_dispatches")) / 10).otherwise(0.0))
+    return g.withColumn("override_rate", F.floor(1000 * F.col("total_corrections") / F.col("total_dispatches")) / 10)
 
 
 def fleet_union(stores: list[DataFrame], as_of: str, days: int = 30) -> DataFrame:
@@ -131,8 +143,8 @@ def fleet_union(stores: list[DataFrame], as_of: str, days: int = 30) -> DataFram
 
 
 def global_exclusion(e: DataFrame, as_of: str, days: int = 30, rate: float = 50, share: float = 0.5) -> DataFrame:
-    """Agents in more than half of the projects whose rate is over 50."""
-    n = e.where(in_window(days, as_of)).agg(F.countDistinct("project").alias("n"))
+    """Agents in more than half of the projects that dispatched any, whose rate is over 50."""
+    n = _dispatched(e, as_of, days).agg(F.countDistinct("project").alias("n"))
     x = cross_project(e, as_of, days).crossJoin(F.broadcast(n)).withColumn("project_share", F.round(F.col("project_count") / F.col("n"), 6))
     return x.where((F.col("project_share") > share) & (F.col("override_rate") > rate)).select("agent", "project_share", "override_rate")
 

@@ -12,7 +12,7 @@ from gleanline.operators.filters import in_window
 GOAL_WEIGHTS = (("tokens", "speed", 1.0), ("error", "precision", 1.0), ("no_redirect", "precision", 0.5), ("bead_close", "completeness", 1.0))
 GOALS = ("speed", "precision", "completeness")
 #: What a user says to turn a skill around.
-MARKERS = (r"\bno\b[,. ]", r"\bactually\b", r"\binstead\b", r"\bstop\b", r"\bwrong\b", r"\bundo\b", r"\brevert\b")
+MARKERS = (r"/clear\b", r"\bwait\b", r"\bstop\b", r"\bactually\b", r"\binstead\b", r"\bredo\b", r"that's wrong", r"\bdon't\b", r"\bundo\b", r"\bno,")
 
 
 def invocations(e: DataFrame) -> DataFrame:
@@ -67,8 +67,10 @@ def bead_asof(pending: DataFrame, items: DataFrame, tie_s: int = 60, max_age_day
 def signal_bead_close(asof: DataFrame, window_days: int = 7) -> DataFrame:
     """1 for items closed in time, 0 for items put off or rejected, none while it is open."""
     limit = F.col("ts") + F.expr(f"interval '{window_days}' day")
-    good = F.col("status").isin("closed", "resolved", "done", "completed") & (F.col("closed_at").isNull() | (F.col("closed_at") <= limit))
-    bad = F.col("status").isin("deferred", "rejected", "wontfix", "cancelled") & (F.coalesce("closed_at", "updated_at") <= limit)
+    status = F.lower("status")
+    good = status.isin("closed", "resolved", "done", "completed") & (F.col("closed_at").isNull() | (F.col("closed_at") <= limit))
+    ended = F.coalesce("closed_at", "updated_at")
+    bad = status.isin("deferred", "rejected", "wontfix", "cancelled", "canceled") & (ended.isNull() | (ended <= limit))
     value = F.when(good, 1.0).when(bad, 0.0)
     return _signal(asof.withColumn("v", value).where("v is not null"), "bead_close", F.col("v"), F.col("v"), F.col("bead_id"))
 
@@ -89,7 +91,7 @@ def no_redirect(pending: DataFrame, transcripts: DataFrame, max_turns: int = 5)
         later = x.where("anchor is null").select("session_id", "ts").distinct().join(transcripts.select("session_id", "line", F.col("ts").alias("at")), "session_id").where("at >= ts")
         x = x.join(later.groupBy("session_id", "ts").agg(F.min("line").alias("later")), ["session_id", "ts"], "left").withColumn("anchor", F.coalesce("anchor", "later")).drop("later")
     x = x.where("anchor is not null")
-    own = transcripts.where("type = 'user' and trim(text) <> ''")
+    own = transcripts.where("type = 'user' and text is not null")
     for flag in ("isMeta", "isSidechain"):
         own = own.where(~F.coalesce(F.col(flag), F.lit(False))) if flag in has else own
     w = Window.partitionBy("session_id", "anchor").orderBy("line")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanline.config import Thresholds
 from gleanline.functions import text as T
 from gleanline.operators import agents, audit, canary, filters, patterns, reports, safety, skills
 from gleanline.plans.fixtures import AS_OF, LEDGER_AS_OF, Fixtures, with_views
@@ -33,20 +34,21 @@ PARTS = {
     "pend": "SELECT * FROM inv WHERE invocation_id NOT IN (SELECT invocation_id FROM skill_signals WHERE signal_kind = 'bead_close')",
     "asof_all": """SELECT i.*, w.id AS bead_id, w.started_at, w.status, w.closed_at, w.updated_at, row_number() OVER (PARTITION BY i.invocation_id ORDER BY w.started_at DESC, w.id DESC) AS r,
       lead(w.started_at) OVER (PARTITION BY i.invocation_id ORDER BY w.started_at DESC, w.id DESC) AS second
-      FROM pend i JOIN work_items w ON w.project = i.project AND w.started_at <= i.ts AND (w.closed_at IS NULL OR w.closed_at > i.ts) AND epoch(i.ts) // 1 - epoch(w.started_at) // 1 <= 604800""",
+      FROM pend i JOIN work_items w ON w.project = i.project AND w.started_at <= i.ts AND (w.closed_at IS NULL OR w.closed_at > i.ts)""",
     "asofj": "SELECT invocation_id, session_id, skill_name, project, ts, bead_id, started_at, status, closed_at, updated_at FROM asof_all WHERE r = 1 AND (second IS NULL OR floor(epoch(started_at)) - floor(epoch(second)) > 60)",
     "eff": "SELECT source AS agent, count(*) FILTER (event = 'agent_dispatch') AS d, count(*) FILTER (event = 'override') AS c, count(DISTINCT session_id) AS s FROM evidence WHERE source LIKE 'fd-%' AND " + E30 + " GROUP BY 1 HAVING count(*) FILTER (event = 'agent_dispatch') > 0",
     "effn": "SELECT source AS agent, round(100.0 * count(*) FILTER (event = 'override') / count(*) FILTER (event = 'agent_dispatch'), 6) AS rate FROM evidence WHERE source LIKE 'fd-%' AND " + A14 + " GROUP BY 1 HAVING count(*) FILTER (event = 'agent_dispatch') > 0",
     "effp": "SELECT source AS agent, round(100.0 * count(*) FILTER (event = 'override') / count(*) FILTER (event = 'agent_dispatch'), 6) AS rate FROM evidence WHERE source LIKE 'fd-%' AND " + P14 + " GROUP BY 1 HAVING count(*) FILTER (event = 'agent_dispatch') > 0",
-    "cross_p": """SELECT agent, string_agg(DISTINCT project, ',' ORDER BY project) AS projects, count(DISTINCT project) AS project_count, count(*) FILTER (event = 'agent_dispatch') AS total_dispatches, count(*) FILTER (event = 'override') AS total_corrections,
-      CASE WHEN count(*) FILTER (event = 'agent_dispatch') > 0 THEN floor(1000.0 * count(*) FILTER (event = 'override') / count(*) FILTER (event = 'agent_dispatch')) / 10 ELSE 0.0 END AS override_rate FROM nev WHERE agent LIKE 'fd-%' AND """ + E30 + " GROUP BY 1",
+    "disp": "SELECT source AS agent, project, count(*) FILTER (event = 'agent_dispatch') AS d, count(*) FILTER (event = 'override') AS c FROM evidence WHERE source LIKE 'fd-%' AND " + E30 + " GROUP BY 1, 2 HAVING count(*) FILTER (event = 'agent_dispatch') > 0",
+    "cross_p": "SELECT agent, string_agg(DISTINCT project, ',' ORDER BY project) AS projects, count(DISTINCT project) AS project_count, CAST(sum(d) AS BIGINT) AS total_dispatches, CAST(sum(c) AS BIGINT) AS total_corrections, floor(1000.0 * sum(c) / sum(d)) / 10 AS override_rate FROM disp GROUP BY 1",
     "scored": """SELECT n.agent, n.session_id, n.event, json_extract_string(n.context, '$.phase') AS phase, json_extract_string(n.context, '$.status') = 'NEEDS_ATTENTION' AS hit, coalesce(TRY_CAST(json_extract_string(n.context, '$.findings_count') AS BIGINT), 0) AS f,
       coalesce(s.source, 'bootstrap') AS ss, CASE coalesce(s.source, 'bootstrap') WHEN 'bootstrap' THEN 0.5 WHEN 'self-building' THEN 0.7 ELSE 1.0 END::DOUBLE AS w
       FROM nev n LEFT JOIN sessions s ON s.session_id = n.session_id WHERE n.source_kind = 'agent' AND n.event IN ('agent_dispatch', 'verdict_outcome', 'override', 'disagreement_override')""",
-    "normal_n": "SELECT count(DISTINCT session_id) AS n FROM scored WHERE ss <> 'bootstrap'",
+    "normal_n": "SELECT count(*) AS n FROM sessions WHERE coalesce(source, 'normal') <> 'bootstrap'",
     "cal": """SELECT agent, ph AS phase, es AS evidence_sessions, round(h * 1.0 / v, 6) AS hit_rate, round(x, 6) AS weighted_hit_rate, CASE WHEN es >= 5 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence,
-      CASE WHEN x >= 0.6 THEN 'sonnet' WHEN x < 0.3 AND agent NOT IN ('fd-safety', 'fd-correctness') THEN 'haiku' ELSE 'sonnet' END AS recommended_model, (SELECT n FROM normal_n) >= 20 AS propagation_eligible,
-      CASE WHEN x >= 0.6 THEN 'high_hit_rate' WHEN x < 0.3 AND agent IN ('fd-safety', 'fd-correctness') THEN 'safety_floor' WHEN x < 0.3 THEN 'low_hit_rate' ELSE 'no_change' END AS reason
+      CASE WHEN x < 0.3 AND agent NOT IN ('fd-architecture', 'fd-correctness', 'fd-safety', 'fd-quality') THEN 'haiku' ELSE 'sonnet' END AS recommended_model, (SELECT n FROM normal_n) >= 20 AS propagation_eligible,
+      CASE WHEN x >= 0.3 AND x < 0.6 THEN 'weighted_hit_rate in dead zone (0.3-0.6), no change' WHEN (SELECT n FROM normal_n) < 20 THEN concat('insufficient non-bootstrap sessions (', (SELECT n FROM normal_n), '/20)')
+           WHEN x < 0.3 AND agent IN ('fd-architecture', 'fd-correctness', 'fd-safety', 'fd-quality') THEN 'low hit rate but safety floor prevents demotion' WHEN x >= 0.6 THEN 'high weighted hit rate, appropriate tier' ELSE 'low weighted hit rate, recommend demotion' END AS reason
       FROM (SELECT agent, ph, count(DISTINCT session_id) AS es, count(*) FILTER (event = 'verdict_outcome') AS v, sum(f) FILTER (event = 'verdict_outcome') AS f, count(*) FILTER (event = 'verdict_outcome' AND hit) AS h,
         coalesce(sum(w) FILTER (event = 'verdict_outcome' AND hit), 0) / sum(w) FILTER (event = 'verdict_outcome') AS x
         FROM (SELECT *, NULL AS ph FROM scored UNION ALL SELECT *, phase AS ph FROM scored WHERE phase <> '') GROUP BY agent, ph) WHERE es >= 3 AND v > 0 AND f > 0""",
@@ -81,9 +83,38 @@ PARTS = {
     "coh0": """SELECT DISTINCT r.skill_name, r.session_id, o.session_id AS other, o.tokens AS other_tokens FROM (SELECT DISTINCT skill_name, session_id FROM inv) r JOIN sessions s ON s.session_id = r.session_id
       JOIN sessions o ON o.project = s.project AND abs(floor(epoch(s.start_ts)) - floor(epoch(o.start_ts))) <= 604800""",
     "coh": "SELECT c.* FROM coh0 c LEFT JOIN (SELECT DISTINCT skill_name, session_id AS other FROM inv) x USING (skill_name, other) WHERE x.skill_name IS NULL",
+    "disag": """SELECT id, ts, coalesce(session_id, 'unknown') AS session_id, source, 'disagreement_override' AS event, CASE coalesce(dismissal_reason, '') WHEN 'agent_wrong' THEN 'agent_wrong' WHEN 'deprioritized' THEN 'deprioritized' WHEN 'already_fixed' THEN 'stale_finding' WHEN 'not_applicable' THEN 'not_applicable'
+        WHEN '' THEN CASE WHEN resolution = 'accepted' AND impact = 'severity_overridden' THEN 'severity_miscalibrated' ELSE '' END ELSE '' END AS override_reason, dismissal_reason AS raw_override_reason
+      FROM (SELECT *, 'fd-safety' AS source, json_extract_string(agents_json, '$."fd-safety"') AS sev FROM reviews UNION ALL SELECT *, 'fd-quality', json_extract_string(agents_json, '$."fd-quality"') FROM reviews) WHERE event_type = 'disagreement' AND finding_id <> '' AND resolution <> '' AND chosen_severity <> '' AND sev <> chosen_severity""",
+    "goal_of": """SELECT *, CASE bucket WHEN 'audit' THEN 0.1 WHEN 'search' THEN 0.7 WHEN 'orchestration' THEN 0.15 ELSE 0.2 END::DOUBLE AS speed, CASE bucket WHEN 'audit' THEN 0.3 WHEN 'search' THEN 0.2 WHEN 'orchestration' THEN 0.45 ELSE 0.6 END::DOUBLE AS precision,
+      CASE bucket WHEN 'audit' THEN 0.6 WHEN 'search' THEN 0.1 WHEN 'orchestration' THEN 0.4 ELSE 0.2 END::DOUBLE AS completeness
+      FROM (SELECT skill_name, text, CASE WHEN regexp_matches(lower(text), 'audit|review|verify|coverage|gate|lint|check') THEN 'audit' WHEN regexp_matches(lower(text), 'search|retriev|lookup|recall|find|query|index') THEN 'search'
+        WHEN regexp_matches(lower(text), 'sequenc|orchestrat|phase|lifecycle|workflow|pipeline|dispatch|brainstorm|ship') THEN 'orchestration' ELSE 'default' END AS bucket FROM skill_docs)""",
     "lt": "SELECT *, TIMESTAMP '2001-08-01 00:00:00' AS now FROM modifications",
 }
 
+#: A text in DuckDB without escapes and controls, cut.
+SANE = r"substr(regexp_replace(regexp_replace(text, '\x1b\[[0-9;]*[a-zA-Z]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), 1, 500)"
+
+
+def _redacted(of: str) -> str:
+    """The nine forms of secrets in DuckDB."""
+    space = r"[ \t\r\f\x0b]"
+    for pattern, to, how in (
+        (rf"""(api[_-]?key|apikey|api[_-]?secret){space}*[:=]{space}*[''"][^''"\n]{{8,}}[''"]""", r"\1=[REDACTED:api_key]", "gi"),
+        (rf"(bearer|token|auth){space}+[A-Za-z0-9_\\.\-]{{20,}}", r"\1 [REDACTED:token]", "gi"),
+        ("AKIA[0-9A-Z]{16}", "[REDACTED:aws_key]", "g"),
+        ("gh[ps]_[A-Za-z0-9]{36,}", "[REDACTED:github_token]", "g"),
+        ("github_pat_[A-Za-z0-9_]{22,}", "[REDACTED:github_token]", "g"),
+        (r"sk-ant-[A-Za-z0-9\\\-]{20,}", "[REDACTED:anthropic_key]", "g"),
+        ("sk-[A-Za-z0-9]{20,}", "[REDACTED:openai_key]", "g"),
+        (r"[a-zA-Z]+://[^:\n]+:[^@\n]+@[^/ \t\r\n\f\x0b]+", "[REDACTED:connection_string]", "g"),
+        (rf"""(password|passwd|pwd|secret){space}*[:=]{space}*[''"][^''"\n]{{4,}}[''"]""", r"\1=[REDACTED:password]", "gi"),
+    ):
+        of = f"regexp_replace({of}, '{pattern}', '{to}', '{how}')"
+    return of
+
+
 SIG = "skill_name, session_id, invocation_id"
 GRP = "agent, event_count, session_count, project_count"
 
@@ -127,7 +158,9 @@ LOG_COLUMNS = ("invocation_id", "session_id", "skill_name", "ts", "success", "pr
 CATALOG = {
     # patterns
     "classified_patterns": (lambda f: patterns.classified_patterns(f.evidence, AS_OF), "SELECT * FROM pat"),
-    "pattern_gaps": (lambda f: patterns.pattern_gaps(f.evidence, AS_OF), "SELECT * EXCLUDE (classification), greatest(5 - event_count, 0) AS missing_events, greatest(3 - session_count, 0) AS missing_sessions, greatest(2 - project_count, 0) AS missing_projects FROM pat WHERE classification = 'growing'"),
+    # with minima that some groups miss
+    "pattern_gaps": (lambda f: patterns.pattern_gaps(f.evidence, AS_OF, Thresholds(min_sessions=30, min_projects=2, min_events=60)), """SELECT source, event, override_reason, event_count, session_count, project_count, greatest(60 - event_count, 0) AS missing_events, greatest(30 - session_count, 0) AS missing_sessions, greatest(2 - project_count, 0) AS missing_projects
+        FROM grp WHERE CAST(session_count >= 30 AS INT) + CAST(project_count >= 2 AS INT) + CAST(event_count >= 60 AS INT) IN (1, 2)"""),
     "agent_wrong_pct": (lambda f: patterns.agent_wrong_pct(f.evidence, AS_OF), "SELECT * FROM wrongp"),
     "routing_eligible": (lambda f: patterns.routing_eligible(f.evidence, f.blacklist, AS_OF), "SELECT * FROM elig"),
     "routing_candidates": (lambda f: patterns.routing_candidates(f.evidence, f.blacklist, f.overrides, AS_OF), f"SELECT {GRP}, e.wrong_pct FROM pat p JOIN elig e ON e.agent = p.source WHERE classification = 'ready' AND event = 'override' AND override_reason = 'agent_wrong' AND status = 'eligible' AND agent NOT IN (SELECT agent FROM overrides)"),
@@ -146,7 +179,7 @@ CATALOG = {
     "valid_names": (lambda f: f.evidence.select("source").distinct().select("source", T.is_agent_name(F.col("source")).alias("agent"), T.is_tool_name(F.col("source")).alias("tool"), T.is_skill_name(F.col("source")).alias("skill")), "SELECT DISTINCT source, regexp_matches(source, '^fd-[a-z][a-z0-9-]*$') AS agent, regexp_matches(source, '^[A-Za-z][A-Za-z0-9_-]*$') AS tool, regexp_matches(source, '^[a-z][a-z0-9-]*(:[a-z][a-z0-9-]*)?$') AS skill FROM evidence"),
     "cross_cutting_flag": (lambda f: f.ev0.select("agent").distinct().withColumn("flag", T.is_cross_cutting(F.col("agent"))), "SELECT DISTINCT agent, agent IN ('fd-architecture', 'fd-quality', 'fd-safety', 'fd-correctness') AS flag FROM ev0"),
     "dark_sessions": (lambda f: filters.dark_sessions(f.sessions, AS_OF), "SELECT session_id, start_ts FROM sessions WHERE end_ts IS NULL AND start_ts < TIMESTAMP '2024-01-30 00:00:00'"),
-    "session_source": (lambda f: filters.session_source(f.sessions.select("session_id", (F.col("tokens") % 5 == 0).alias("marker"), F.when(F.col("tokens") % 3 == 0, "tune canary").alias("title"), F.array(F.when(F.col("tokens") % 7 == 0, "a/overlay.md").otherwise("b.py")).alias("changed_files"))).select("session_id", "source"), "SELECT session_id, CASE WHEN tokens % 5 = 0 THEN 'bootstrap' WHEN tokens % 3 = 0 OR tokens % 7 = 0 THEN 'self-building' ELSE 'normal' END AS source FROM sessions"),
+    "session_source": (lambda f: filters.session_source(f.sessions.select("session_id", (F.col("tokens") % 5 == 0).alias("marker"), F.when(F.col("tokens") % 3 == 0, "tune canary").alias("title"), F.array(F.when(F.col("tokens") % 7 == 0, "a/overlay.md").otherwise("b.py")).alias("changed_files")), own="(?i)canary|overlay").select("session_id", "source"), "SELECT session_id, CASE WHEN tokens % 5 = 0 THEN 'bootstrap' WHEN tokens % 3 = 0 OR tokens % 7 = 0 THEN 'self-building' ELSE 'normal' END AS source FROM sessions"),
     # reports
     "evidence_overview": (lambda f: reports.evidence_overview(f.evidence), "SELECT source, count(*) AS events, count(DISTINCT session_id) AS sessions, count(DISTINCT project) AS projects, max(ts) AS last_seen FROM evidence GROUP BY 1"),
     "event_breakdown": (lambda f: reports.event_breakdown(f.evidence), "SELECT source, event, coalesce(override_reason, '') AS reason, count(*) AS count FROM evidence GROUP BY 1, 2, 3"),
@@ -155,17 +188,19 @@ CATALOG = {
     "status_counts": (lambda f: reports.status_counts(f.evidence, f.sessions, f.canary, f.modifications), """SELECT 'sessions' AS name, count(*) AS value FROM sessions UNION ALL SELECT 'open_sessions', count(*) FROM sessions WHERE end_ts IS NULL UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'overrides', count(*) FROM evidence WHERE event = 'override' UNION ALL SELECT 'canaries', count(*) FROM canary
         UNION ALL SELECT 'active_canaries', count(*) FROM canary WHERE status = 'active' UNION ALL SELECT 'modifications', count(*) FROM modifications UNION ALL SELECT 'applied', count(*) FROM modifications WHERE status = 'applied' UNION ALL SELECT 'reverted', count(*) FROM modifications WHERE status = 'reverted'"""),
     "health_channels": (lambda f: reports.health_channels(f.evidence, f.sessions, AS_OF), """SELECT *, CASE WHEN last_7d > 0 THEN 'OK' WHEN total > 0 THEN 'WARN' ELSE 'INACTIVE' END AS status FROM (SELECT 'dispatch' AS channel, count(*) FILTER (ts > TIMESTAMP '2024-01-24') AS last_7d, count(*) AS total, max(ts) AS last_event FROM evidence WHERE event = 'agent_dispatch'
-        UNION ALL SELECT 'override', count(*) FILTER (ts > TIMESTAMP '2024-01-24'), count(*), max(ts) FROM evidence WHERE event = 'override' UNION ALL SELECT 'session', count(*) FILTER (start_ts > TIMESTAMP '2024-01-24'), count(*), max(start_ts) FROM sessions)"""),
+        UNION ALL SELECT 'override', count(*) FILTER (ts > TIMESTAMP '2024-01-24'), count(*), max(ts) FROM evidence WHERE event = 'override')
+        UNION ALL SELECT 'session', count(*) FILTER (start_ts > TIMESTAMP '2024-01-24'), count(*), max(start_ts), CASE WHEN count(*) FILTER (start_ts > TIMESTAMP '2024-01-24' AND end_ts IS NOT NULL) > 0 THEN 'OK' WHEN count(*) FILTER (start_ts > TIMESTAMP '2024-01-24') > 0 THEN 'WARN' ELSE 'INACTIVE' END FROM sessions"""),
     "signal_coverage": (lambda f: reports.signal_coverage(f.skill_signals, AS_OF), "SELECT signal_kind, count(*) AS rows, count(DISTINCT skill_name) AS skills, max(observed_at) AS last, CASE WHEN max(observed_at) > TIMESTAMP '2024-01-24' THEN 'OK' ELSE 'WARN' END AS status FROM skill_signals GROUP BY 1"),
     "effectiveness_agents": (lambda f: reports.effectiveness(f.evidence, AS_OF), "SELECT agent, d AS dispatches, c AS corrections, s AS sessions, round(100.0 * c / d, 6) AS override_rate FROM eff"),
-    "effectiveness_totals": (lambda f: reports.effectiveness_totals(f.evidence, AS_OF), "SELECT CAST(coalesce(sum(d), 0) AS BIGINT) AS dispatches, CAST(coalesce(sum(c), 0) AS BIGINT) AS corrections, CASE WHEN sum(d) > 0 THEN floor(1000.0 * sum(c) / sum(d)) / 10 ELSE 0 END::DOUBLE AS override_rate FROM eff"),
+    "effectiveness_totals": (lambda f: reports.effectiveness_totals(f.evidence, f.overrides, AS_OF), f"""SELECT d AS dispatches, c AS corrections, n AS sessions, (SELECT count(*) FROM overrides WHERE action = 'exclude') AS active_overrides, CASE WHEN d > 0 THEN floor(1000.0 * c / d) / 10 ELSE 0 END::DOUBLE AS override_rate
+        FROM (SELECT count(*) FILTER (event = 'agent_dispatch') AS d, count(*) FILTER (event = 'override') AS c, count(DISTINCT session_id) AS n FROM evidence WHERE source LIKE 'fd-%' AND {E30})"""),
     "trend_join": (lambda f: reports.trend_join(f.evidence, AS_OF, 14).drop("dispatches"), "SELECT n.agent, n.rate, p.rate AS prior_rate FROM effn n LEFT JOIN effp p USING (agent)"),
     "effectiveness_trend": (lambda f: reports.effectiveness_trend(f.evidence, AS_OF, 14), "SELECT n.agent, n.rate, p.rate AS prior_rate, round(n.rate - p.rate, 6) AS delta, CASE WHEN p.rate IS NULL THEN 'new' WHEN round(n.rate - p.rate, 6) < -2 THEN 'improving' WHEN round(n.rate - p.rate, 6) > 2 THEN 'declining' ELSE 'stable' END AS trend, CASE WHEN n.rate > 50 THEN 'exclude or tune' WHEN round(n.rate - p.rate, 6) > 10 THEN 'investigate' ELSE 'none' END AS recommendation FROM effn n LEFT JOIN effp p USING (agent)"),
     "effectiveness_summary": (lambda f: reports.effectiveness_summary(f.evidence, AS_OF, 14), f"""SELECT current_rate, prior_rate, CAST(trunc(100 * (current_rate - prior_rate) / nullif(prior_rate, 0)) AS BIGINT) AS change_pct, CASE WHEN trunc(100 * (current_rate - prior_rate) / nullif(prior_rate, 0)) < 0 THEN 'improving' WHEN trunc(100 * (current_rate - prior_rate) / nullif(prior_rate, 0)) > 5 THEN 'declining' ELSE 'stable' END AS label
         FROM (SELECT round(100.0 * count(*) FILTER (event = 'override' AND {A14}) / nullif(count(*) FILTER (event = 'agent_dispatch' AND {A14}), 0), 6) AS current_rate, round(100.0 * count(*) FILTER (event = 'override' AND {P14}) / nullif(count(*) FILTER (event = 'agent_dispatch' AND {P14}), 0), 6) AS prior_rate FROM evidence WHERE source LIKE 'fd-%')"""),
     "cross_project": (lambda f: reports.cross_project(f.evidence, AS_OF), "SELECT * FROM cross_p"),
     "fleet_union": (lambda f: reports.fleet_union([f.evidence.where("project < 'p3'"), f.evidence.where("project >= 'p3'")], AS_OF), f"SELECT agent, count(*) AS events, count(DISTINCT project) AS projects FROM nev WHERE {E30} GROUP BY 1"),
-    "global_exclusion": (lambda f: reports.global_exclusion(f.evidence, AS_OF, rate=10), f"SELECT agent, round(project_count * 1.0 / (SELECT count(DISTINCT project) FROM evidence WHERE {E30}), 6) AS project_share, override_rate FROM cross_p WHERE project_count * 1.0 / (SELECT count(DISTINCT project) FROM evidence WHERE {E30}) > 0.5 AND override_rate > 10"),
+    "global_exclusion": (lambda f: reports.global_exclusion(f.evidence, AS_OF, rate=10), "SELECT agent, round(project_count * 1.0 / (SELECT count(DISTINCT project) FROM disp), 6) AS project_share, override_rate FROM cross_p WHERE project_count * 1.0 / (SELECT count(DISTINCT project) FROM disp) > 0.5 AND override_rate > 10"),
     "correction_reasons": (lambda f: reports.correction_reasons(f.evidence), "SELECT * FROM (SELECT agent, override_reason, count, row_number() OVER (PARTITION BY agent ORDER BY count DESC, override_reason) AS rank, CAST(sum(count) OVER (PARTITION BY agent) AS BIGINT) AS total FROM (SELECT agent, coalesce(override_reason, '') AS override_reason, count(*) AS count FROM nev WHERE event = 'override' GROUP BY 1, 2)) WHERE rank <= 5"),
     "top_agents": (lambda f: reports.top_agents(f.evidence), "SELECT source, count(*) AS events, count(DISTINCT session_id) AS sessions FROM evidence GROUP BY 1 ORDER BY events DESC, source LIMIT 10"),
     "recent_events": (lambda f: reports.recent_events(f.evidence, AS_OF), "SELECT source, rank, ts, concat(CASE WHEN coalesce(quarantine_until, 0) > 1706659200 THEN '[Q] ' ELSE '' END, event) AS event, coalesce(override_reason, '') AS reason, substr(context, 1, 120) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, id DESC) AS rank FROM evidence) WHERE rank <= 10"),
@@ -186,7 +221,7 @@ CATALOG = {
     "plan_execution_cells": (lambda f: agents.plan_execution_cells(f.ctx, AS_OF), """SELECT author, executor, validator, count(*) AS n, round(sum(CASE WHEN p THEN w ELSE 0 END) / sum(w), 6) AS weighted_pass_rate, count(*) FILTER (esc) AS escalated, count(*) >= 5 AS sufficient
         FROM (SELECT json_extract_string(context, '$.author_model') AS author, json_extract_string(context, '$.executor_model') AS executor, 'none' AS validator, json_extract_string(context, '$.pass') = 'true' AS p, CAST(json_extract_string(context, '$.escalation_count') AS INT) > 0 AS esc,
           CASE json_extract_string(context, '$.session_source') WHEN 'bootstrap' THEN 0.5 WHEN 'self-building' THEN 0.7 ELSE 1.0 END::DOUBLE AS w FROM ctx WHERE event = 'plan_execution_outcome' AND coalesce(quarantine_until, 0) <= 1706659200) GROUP BY GROUPING SETS ((author, executor, validator), ())"""),
-    "review_phase_calibration": (lambda f: agents.review_phase_calibration(f.ctx, AS_OF), """SELECT phase, complexity, count(*) AS total_reviews, round(count(*) FILTER (p0 > 0) * 1.0 / count(*), 6) AS p0p1_rate, round(avg(a), 6) AS avg_agents, CASE WHEN count(*) FILTER (p0 > 0) * 1.0 / count(*) < 0.05 THEN 'skip' WHEN count(*) FILTER (p0 > 0) * 1.0 / count(*) < 0.15 THEN 'lighten' ELSE 'full' END AS action
+    "review_phase_calibration": (lambda f: agents.review_phase_calibration(f.ctx, AS_OF), """SELECT phase, complexity, count(*) AS total_reviews, round(count(*) FILTER (p0 > 0) * 1.0 / count(*), 6) AS p0p1_rate, round(avg(coalesce(a, 0)), 6) AS avg_agents, CASE WHEN count(*) FILTER (p0 > 0) * 1.0 / count(*) < 0.05 THEN 'skip' WHEN count(*) FILTER (p0 > 0) * 1.0 / count(*) < 0.15 THEN 'lighten' ELSE 'full' END AS action
         FROM (SELECT json_extract_string(context, '$.phase') AS phase, CAST(json_extract_string(context, '$.complexity') AS BIGINT) AS complexity, CAST(json_extract_string(context, '$.p0') AS INT) AS p0, CAST(json_extract_string(context, '$.agents') AS INT) AS a FROM ctx WHERE event = 'review_phase_outcome' AND coalesce(quarantine_until, 0) <= 1706659200) GROUP BY 1, 2 HAVING count(*) >= 3"""),
     "review_ready": (lambda f: agents.review_ready(f.ctx, AS_OF), "SELECT least(count(*) FILTER (p = 'brainstorm'), count(*) FILTER (p = 'strategy'), count(*) FILTER (p = 'plan')) AS count, least(count(*) FILTER (p = 'brainstorm'), count(*) FILTER (p = 'strategy'), count(*) FILTER (p = 'plan')) >= 20 AS ready FROM (SELECT json_extract_string(context, '$.phase') AS p FROM ctx WHERE event = 'review_phase_outcome' AND coalesce(quarantine_until, 0) <= 1706659200)"),
     "decomposition_ready": (lambda f: agents.decomposition_ready(f.ctx, AS_OF), "SELECT count(*) AS count, count(*) >= 30 AS ready FROM ctx WHERE event = 'decomposition_outcome' AND coalesce(quarantine_until, 0) <= 1706659200"),
@@ -198,8 +233,9 @@ CATALOG = {
     "bead_tie_gap": (lambda f: _pend(f).join(skills.bead_asof(_pend(f), f.work_items), "invocation_id", "left_anti").select("invocation_id"), "SELECT invocation_id FROM pend WHERE invocation_id NOT IN (SELECT invocation_id FROM asofj)"),
     "signal_bead_close": (lambda f: skills.signal_bead_close(skills.bead_asof(_pend(f), f.work_items)), f"SELECT {SIG}, 'bead_close' AS signal_kind, v AS value, v AS raw_value, ts AS observed_at, bead_id AS metadata FROM (SELECT *, CASE WHEN status IN ('closed', 'done') AND (closed_at IS NULL OR closed_at <= ts + INTERVAL 7 DAY) THEN 1.0 WHEN status = 'deferred' AND coalesce(closed_at, updated_at) <= ts + INTERVAL 7 DAY THEN 0.0 END::DOUBLE AS v FROM asofj) WHERE v IS NOT NULL"),
     "no_redirect": (lambda f: skills.no_redirect(f.called, f.turns), """SELECT c.skill_name, c.session_id, c.invocation_id, 'no_redirect' AS signal_kind, CASE WHEN n IS NULL THEN 1.0 ELSE round(1 - least(1.0, m * 1.0 / n), 6) END::DOUBLE AS value, m::DOUBLE AS raw_value, c.ts AS observed_at, CAST(n AS VARCHAR) AS metadata
-        FROM called c LEFT JOIN (SELECT session_id, count(*) AS n, sum(m) AS m FROM (SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY line) AS r, CAST(regexp_matches(text, '(?i)\\bno\\b[,. ]') AS INT) + CAST(regexp_matches(text, '(?i)\\bactually\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\binstead\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bstop\\b') AS INT)
-          + CAST(regexp_matches(text, '(?i)\\bwrong\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bundo\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\brevert\\b') AS INT) AS m FROM turns WHERE type = 'user' AND line > 0 AND trim(text) <> '') WHERE r <= 5 GROUP BY 1) s ON s.session_id = c.session_id"""),
+        FROM called c LEFT JOIN (SELECT session_id, count(*) AS n, sum(m) AS m FROM (SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY line) AS r, CAST(regexp_matches(text, '(?i)/clear\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bwait\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bstop\\b') AS INT)
+          + CAST(regexp_matches(text, '(?i)\\bactually\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\binstead\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bredo\\b') AS INT) + CAST(regexp_matches(text, '(?i)that''s wrong') AS INT)
+          + CAST(regexp_matches(text, '(?i)\\bdon''t\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bundo\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bno,') AS INT) AS m FROM turns WHERE type = 'user' AND line > 0 AND text IS NOT NULL) WHERE r <= 5 GROUP BY 1) s ON s.session_id = c.session_id"""),
     "session_token_cost": (lambda f: skills.session_token_cost(f.turns), "SELECT session_id, CAST(sum(input_tokens + coalesce(cache_creation_tokens, 0)) AS BIGINT) AS tokens FROM turns WHERE type = 'assistant' GROUP BY 1"),
     "token_cohort": (lambda f: skills.token_cohort(f.evidence, f.sessions), "SELECT * FROM coh"),
     "signal_tokens": (lambda f: skills.signal_tokens(_pend(f), f.evidence, f.sessions), """SELECT p.skill_name, p.session_id, p.invocation_id, 'tokens' AS signal_kind, round(1 - 1 / (1 + exp(-(s.tokens - m) / CASE WHEN d = 0 THEN 1 ELSE d END)), 6) AS value, s.tokens::DOUBLE AS raw_value, p.ts AS observed_at, CAST(n AS VARCHAR) AS metadata FROM pend p
@@ -218,8 +254,8 @@ CATALOG = {
     "observed_mix": (lambda f: skills.observed_mix(f.skill_signals).select("skill_name", "n", *(F.round(k, 6).alias(k) for k in skills.GOALS)), "SELECT skill_name, count(*) AS n, round(sum(value) FILTER (goal = 'speed') / sum(value), 6) AS speed, round(sum(value) FILTER (goal = 'precision') / sum(value), 6) AS precision, round(sum(value) FILTER (goal = 'completeness') / sum(value), 6) AS completeness FROM skill_signals JOIN gw USING (signal_kind) GROUP BY 1 HAVING count(*) >= 20"),
     "refine_goals": (lambda f: skills.refine_goals(f.goals, f.skill_signals), """SELECT o.skill_name, round(CASE WHEN n IS NULL THEN o.speed ELSE 0.3 * m.speed + 0.7 * o.speed END, 6) AS speed, round(CASE WHEN n IS NULL THEN o.precision ELSE 0.3 * m.precision + 0.7 * o.precision END, 6) AS precision, round(CASE WHEN n IS NULL THEN o.completeness ELSE 0.3 * m.completeness + 0.7 * o.completeness END, 6) AS completeness, CASE WHEN n IS NULL THEN classified_from ELSE 'observed' END AS classified_from
         FROM goals o LEFT JOIN (SELECT skill_name, count(*) AS n, sum(value) FILTER (goal = 'speed') / sum(value) AS speed, sum(value) FILTER (goal = 'precision') / sum(value) AS precision, sum(value) FILTER (goal = 'completeness') / sum(value) AS completeness FROM skill_signals JOIN gw USING (signal_kind) GROUP BY 1 HAVING count(*) >= 20) m USING (skill_name)"""),
-    "goal_bucket": (lambda f: f.skill_docs.select("skill_name", T.goal_bucket(F.col("text")).alias("g")).select("skill_name", "g.bucket"), "SELECT skill_name, CASE WHEN regexp_matches(lower(text), 'audit|review|verify|validate') THEN 'audit' WHEN regexp_matches(lower(text), 'search|find|lookup|explore') THEN 'search' WHEN regexp_matches(lower(text), 'orchestrat|workflow|pipeline|coordinate') THEN 'orchestration' ELSE 'default' END AS bucket FROM skill_docs"),
-    "reclassify_incremental": (lambda f: skills.reclassify_incremental(f.skill_docs, f.skill_docs.where("length(text) % 2 = 0").select("skill_name", F.sha2("text", 256).alias("skill_md_hash"))).select("skill_name", "doc_hash"), "SELECT skill_name, sha256(text) AS doc_hash FROM skill_docs WHERE length(text) % 2 <> 0"),
+    "goal_bucket": (lambda f: f.skill_docs.select("skill_name", T.goal_bucket(F.col("text")).alias("g")).select("skill_name", "g.*"), "SELECT skill_name, bucket, speed, precision, completeness FROM goal_of"),
+    "reclassify_incremental": (lambda f: skills.reclassify_incremental(f.skill_docs, f.skill_docs.where("length(text) % 2 = 0").select("skill_name", F.sha2("text", 256).alias("skill_md_hash"))), "SELECT skill_name, speed, precision, completeness, sha256(text) AS doc_hash, bucket AS classified_from FROM goal_of WHERE length(text) % 2 <> 0"),
     "select_skill_action": (lambda f: skills.select_skill_action(f.skill_signals, f.evidence, AS_OF), f"""SELECT skill_name, invocations, round(greatest(e, r, t), 6) AS deficit, CASE WHEN greatest(e, r, t) >= 0.2 THEN CASE WHEN e >= r AND e >= t THEN 'skill_md_body_rewrite' WHEN r >= t THEN 'tighten_description' ELSE 'when_to_use_add' END WHEN invocations < 10 THEN 'availability' ELSE 'tighten_description' END AS action
         FROM (SELECT i.skill_name, i.invocations, 1 - coalesce(max(mean) FILTER (signal_kind = 'error'), 1) AS e, 1 - coalesce(max(mean) FILTER (signal_kind = 'no_redirect'), 1) AS r, 1 - coalesce(max(mean) FILTER (signal_kind = 'tokens'), 1) AS t FROM (SELECT skill_name, count(DISTINCT invocation_id) AS invocations FROM inv WHERE {E30} GROUP BY 1) i LEFT JOIN smean USING (skill_name) GROUP BY 1, 2)"""),
     # canaries
@@ -269,13 +305,14 @@ CATALOG = {
     "ingest_audit_log": (lambda f: logs.parse_audit(f.audit_log).select(*LOG_COLUMNS), f"""SELECT substr(sha1(concat_ws('|', {_json('ts')}, {_json('session_id')}, {_json('name')})), 1, 16) AS invocation_id, {_json('session_id')} AS session_id, {_json('name')} AS skill_name, CAST({_json('ts')} AS TIMESTAMP) AS ts, coalesce({_json('exit_code')} = '0', true) AS success, '' AS project, 'skill_invocation' AS event FROM (SELECT * FROM audit_log WHERE json_valid(value)) WHERE {_json('tool')} = 'Skill'"""),
     "ingest_tooltime": (lambda f: logs.parse_tooltime(f.tool_log).select(*LOG_COLUMNS), f"""SELECT substr(sha1(concat_ws('|', {_json('ts')}, regexp_replace({_json('id')}, '-\\d+$', ''), {_json('skill')})), 1, 16) AS invocation_id, regexp_replace({_json('id')}, '-\\d+$', '') AS session_id, {_json('skill')} AS skill_name, CAST({_json('ts')} AS TIMESTAMP) AS ts, {_json('error')} IS NULL AS success, '' AS project, 'skill_invocation' AS event FROM tool_log WHERE {_json('tool')} = 'Skill'"""),
     "ingest_route_candidates": (lambda f: logs.parse_routes(f.route_log).select("invocation_id", "session_id", "skill_name", "ts", "project"), f"""SELECT concat({_json('route_id')}, '#', i, ':', c) AS invocation_id, {_json('route_id')} AS session_id, c AS skill_name, CAST({_json('timestamp')} AS TIMESTAMP) AS ts, string_split({_json('cwd')}, '/')[-1] AS project FROM route_log CROSS JOIN (VALUES (0, 'plug:a'), (1, 'plug:b')) t(i, c)"""),
-    "scan_multi_log": (lambda f: logs.select_source(None, f.tool_log).groupBy("skill_name").count(), f"SELECT {_json('skill')} AS skill_name, count(*) AS count FROM tool_log WHERE {_json('tool')} = 'Skill' GROUP BY 1"),
+    # the audit log goes before the tool-time log, which counts where there is no other
+    "scan_multi_log": (lambda f: logs.select_source(f.audit_log, f.tool_log).select("skill_name", F.lit("both").alias("have")).unionByName(logs.select_source(None, f.tool_log).select("skill_name", F.lit("tooltime").alias("have"))).groupBy("have", "skill_name").count(),
+        f"SELECT 'both' AS have, {_json('name')} AS skill_name, count(*) AS count FROM (SELECT * FROM audit_log WHERE json_valid(value)) WHERE {_json('tool')} = 'Skill' GROUP BY 2 UNION ALL SELECT 'tooltime', {_json('skill')}, count(*) FROM tool_log WHERE {_json('tool')} = 'Skill' GROUP BY 2"),
     "ingest_agent_dispatch": (lambda f: logs.dispatch_events(f.evidence.select("session_id", "ts", F.when(F.col("id") % 3 == 0, "Task").otherwise("Read").alias("tool_name"), F.when(F.col("id") % 2 == 0, F.col("source")).alias("subagent"))), "SELECT session_id, ts, CASE WHEN id % 2 = 0 THEN source ELSE 'unknown' END AS source, 'agent_dispatch' AS event FROM evidence WHERE id % 3 = 0"),
     "ingest_kernel_events": (lambda f: logs.kernel_events(f.bus, 50, 100), "SELECT id, ts, session_id, concat('kernel-', source) AS source, type AS event FROM (SELECT * FROM bus WHERE id > 50 ORDER BY id LIMIT 100) WHERE source <> '' AND type <> ''"),
-    "ingest_disagreements": (lambda f: logs.disagreements(f.reviews), """SELECT id, ts, session_id, source, 'disagreement_override' AS event, CASE dismissal_reason WHEN 'agent_wrong' THEN 'agent_wrong' WHEN 'deprioritized' THEN 'deprioritized' WHEN 'already_fixed' THEN 'stale_finding' ELSE 'severity_miscalibrated' END AS override_reason, dismissal_reason AS raw_override_reason
-        FROM (SELECT *, 'fd-safety' AS source, json_extract_string(agents_json, '$."fd-safety"') AS sev FROM reviews UNION ALL SELECT *, 'fd-quality', json_extract_string(agents_json, '$."fd-quality"') FROM reviews) WHERE event_type = 'disagreement' AND sev <> chosen_severity"""),
+    "ingest_disagreements": (lambda f: logs.disagreements(f.reviews), "SELECT * FROM disag"),
     "ingest_execution_defects": (lambda f: logs.execution_defects(f.reviews), "SELECT id, ts, session_id, coalesce(target_agent, 'fd-quality') AS source, 'execution_defect' AS event, '' AS override_reason, dismissal_reason AS raw_override_reason FROM reviews WHERE event_type = 'execution_defect'"),
-    "ingest_review_router": (lambda f: logs.review_evidence(f.reviews, 100).groupBy("event").count(), "SELECT 'execution_defect' AS event, count(*) AS count FROM reviews WHERE id > 100 AND event_type = 'execution_defect' UNION ALL SELECT 'disagreement_override', CAST(sum(CAST(json_extract_string(agents_json, '$.\"fd-safety\"') <> chosen_severity AS INT) + CAST(chosen_severity <> 'low' AS INT)) AS BIGINT) FROM reviews WHERE id > 100 AND event_type = 'disagreement'"),
+    "ingest_review_router": (lambda f: logs.review_evidence(f.reviews, 100).groupBy("event", "override_reason").count(), "SELECT 'execution_defect' AS event, '' AS override_reason, count(*) AS count FROM reviews WHERE id > 100 AND event_type = 'execution_defect' UNION ALL SELECT event, override_reason, count(*) FROM disag WHERE id > 100 GROUP BY 1, 2"),
     "stream_cursor_sources": (lambda f: logs.cursor(f.reviews), "SELECT max(id) AS cursor FROM reviews"),
     "ingest_winning_mutations": (lambda f: logs.winning_mutations(f.mutations, 10, 100), "SELECT id, created_at AS ts, session_id, concat('lab:', task_type) AS source, 'winning_mutation' AS event, quality_signal, 'pattern' AS source_kind FROM mutations WHERE is_new_best = 1 AND id > 10 ORDER BY id LIMIT 100"),
     "ingest_verdicts": (lambda f: tables.verdict_changes(f.verdicts).where("changed").select("id", "agent"), "SELECT id, agent FROM (SELECT *, lag(content_hash) OVER (PARTITION BY agent ORDER BY ts, id) AS b FROM verdicts) WHERE b IS DISTINCT FROM content_hash"),
@@ -288,7 +325,13 @@ CATALOG = {
     "skills_commands_union": (lambda f: logs.first_wins(f.skill_docs.select("skill_name", F.lit(0).alias("kind")).unionByName(f.goals.select("skill_name", F.lit(1).alias("kind"))).unionByName(f.skill_docs.select("skill_name", F.lit(2).alias("kind"))), "skill_name", ["kind"]), "SELECT skill_name, min(kind) AS kind FROM (SELECT skill_name, 0 AS kind FROM skill_docs UNION ALL SELECT skill_name, 1 FROM goals) GROUP BY 1"),
     # scalar functions
     "normalize_agent": (lambda f: f.evidence.select("source", T.normalize_agent(F.col("source")).alias("agent")).distinct(), "SELECT DISTINCT source, agent FROM nev"),
-    "redact_secrets": (lambda f: f.raw_text.select("doc_id", F.regexp_count(T.redact(F.col("text")), F.lit("REDACTED")).alias("n")), """SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(api[_-]?key|apikey)(\\s*[:=]\\s*)[^\\s,;\\n]+', '\\1\\2[REDACTED]', 'gi'), 'bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'), 'AKIA[0-9A-Z]{16}', '[REDACTED-AWS]', 'g'), 'ghp_[A-Za-z0-9]{20,}', '[REDACTED-GH]', 'g'), 'github_pat_[A-Za-z0-9_]{20,}', '[REDACTED-GH]', 'g'), 'sk-[A-Za-z0-9_-]{20,}', '[REDACTED-KEY]', 'g'), '([a-z][a-z0-9+.-]*://)[^/\\s:@\\n]+:[^@\\s\\n]+@', '\\1[REDACTED]@', 'gi'), '(password|passwd|secret)(\\s*[:=]\\s*)[^\\s,;\\n]+', '\\1\\2[REDACTED]', 'gi'), 'REDACTED')) AS INT) AS n FROM raw_text"""),
+    "redact_secrets": (lambda f: f.secret_text.select("doc_id", T.redact(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("h"), F.regexp_count("t", F.lit("REDACTED")).alias("n")), f"SELECT doc_id, md5(t) AS h, CAST(len(regexp_extract_all(t, 'REDACTED')) AS INT) AS n FROM (SELECT doc_id, {_redacted('text')} AS t FROM secret_text)"),
+    "sanitize_text": (lambda f: f.secret_text.select("doc_id", T.sanitize(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("h"), T.rejected(F.col("t")).alias("rejected")), f"SELECT doc_id, md5(t) AS h, regexp_matches(lower(t), '<system>|<instructions>|ignore previous|you are now|disregard|system:') AS rejected FROM (SELECT doc_id, {_redacted(SANE)} AS t FROM secret_text)"),
+    "to_iso": (lambda f: f.evidence.select("id", T.to_iso(F.col("ts")).alias("iso")), "SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM evidence"),
+    "write_calibration": (lambda f: tables.merge_calibration(_scores(f).select("skill", "score"), f.goals.select(F.lit("skills").alias("section"), F.col("skill_name").alias("name"), F.lit(3).alias("schema_version"), F.lit("old").alias("body")).unionByName(f.ev0.select(F.lit("agents").alias("section"), F.col("agent").alias("name"), F.lit(2).alias("schema_version"), F.lit("kept").alias("body")).distinct())).select("section", "name", "schema_version", F.round(F.get_json_object("body", "$.score").cast("double"), 6).alias("score")),
+        "SELECT 'skills' AS section, skill AS name, 3 AS schema_version, score FROM sc UNION ALL SELECT DISTINCT 'agents', agent, 3, NULL FROM ev0"),
+    "append_trend": (lambda f: tables.append_trend(audit.consensus_trend(f.evidence, f.skill_signals, AS_OF).select("cycle", "evidence_n"), f.modifications.select(T.quarter_label(F.col("ts")).alias("cycle")).groupBy("cycle").agg(F.count("*").alias("evidence_n")).unionByName(f.sessions.select(F.lit("2024-Q1").alias("cycle"), F.lit(0).cast("long").alias("evidence_n")).distinct())),
+        "SELECT concat(year(ts), '-Q', quarter(ts)) AS cycle, count(*) AS evidence_n FROM modifications GROUP BY 1 UNION ALL SELECT '2024-Q1', (SELECT count(*) FROM evidence WHERE source_kind = 'agent')"),
     "token_estimate": (lambda f: f.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) * 1.3) AS BIGINT) AS tokens FROM documents"),
     "week_label": (lambda f: f.modifications.select("id", T.week_label(F.col("ts")).alias("week")), "SELECT id, strftime(ts, '%Y-W%W') AS week FROM modifications"),
     "quarter_label": (lambda f: f.modifications.select("id", T.quarter_label(F.col("ts")).alias("q")), "SELECT id, concat(year(ts), '-Q', quarter(ts)) AS q FROM modifications"),

@@ -65,16 +65,26 @@ def kernel_events(bus: DataFrame, after_id: int, limit: int | None = None) -> Da
     return batch.where("source <> '' and type <> ''").select("id", "ts", "session_id", F.concat(F.lit("kernel-"), "source").alias("source"), F.col("type").alias("event"))
 
 
-REASONS = {"agent_wrong": "agent_wrong", "deprioritized": "deprioritized", "already_fixed": "stale_finding", "not_applicable": "agent_wrong"}
+#: What a dismissal says about an agent.
+REASONS = {"agent_wrong": "agent_wrong", "deprioritized": "deprioritized", "already_fixed": "stale_finding", "not_applicable": "not_applicable"}
 
 
 def disagreements(reviews: DataFrame) -> DataFrame:
-    """A row for each agent whose severity was not the chosen one."""
-    x = reviews.where("coalesce(event_type, '') <> 'execution_defect'").select("id", "ts", "session_id", "chosen_severity", "dismissal_reason", F.explode(F.from_json("agents_json", "map<string,string>")).alias("source", "severity"))
-    reason = F.lit("severity_miscalibrated")
+    """A row for each agent whose severity was not the chosen one; reviews without finding, resolution or severity give none.
+
+    Without a dismissal the reason is severity_miscalibrated if the finding was accepted with its severity overridden;
+    else, and for a dismissal of another name, it is empty.
+    """
+    whole = F.lit(True)
+    for c in ("finding_id", "resolution", "chosen_severity"):
+        whole = whole & (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    x = reviews.where("coalesce(event_type, '') <> 'execution_defect'").where(whole)
+    x = x.select("id", "ts", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), "chosen_severity", "resolution", "impact", "dismissal_reason", F.explode(F.from_json("agents_json", "map<string,string>")).alias("source", "severity"))
+    raised = (F.coalesce("dismissal_reason", F.lit("")) == "") & (F.col("resolution") == "accepted") & (F.col("impact") == "severity_overridden")
+    reason = F.when(raised, "severity_miscalibrated").otherwise("")
     for k, v in REASONS.items():
         reason = F.when(F.col("dismissal_reason") == k, v).otherwise(reason)
-    return x.where("severity <> chosen_severity").select("id", "ts", "session_id", "source", F.lit("disagreement_override").alias("event"), reason.alias("override_reason"), F.col("dismissal_reason").alias("raw_override_reason"))
+    return x.where(~F.col("severity").eqNullSafe(F.col("chosen_severity"))).select("id", "ts", "session_id", "source", F.lit("disagreement_override").alias("event"), reason.alias("override_reason"), F.col("dismissal_reason").alias("raw_override_reason"))
 
 
 def execution_defects(reviews: DataFrame) -> DataFrame:

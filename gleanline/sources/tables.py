@@ -20,9 +20,9 @@ def session_seq(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def prepare_evidence(new: DataFrame, existing: DataFrame | None, as_of: str, quarantine_hours: int = 48) -> DataFrame:
     """Rows of known kinds, sanitised, numbered and in quarantine; a context that tries to instruct is blanked and flagged."""
-    bad = rejected(F.col("context")) | rejected(F.col("override_reason"))
-    x = hook_allowlist(new).withColumn("rejected", bad)
-    x = x.withColumn("context", F.when(rejected(F.col("context")), "").otherwise(sanitize(F.col("context")))).withColumn("override_reason", F.when(rejected(F.col("override_reason")), "").otherwise(sanitize(F.col("override_reason"))))
+    x = hook_allowlist(new).withColumns({c: sanitize(F.col(c)) for c in ("context", "override_reason")})
+    x = x.withColumn("rejected", rejected(F.col("context")) | rejected(F.col("override_reason")))
+    x = x.withColumns({c: F.when(rejected(F.col(c)), "").otherwise(F.col(c)) for c in ("context", "override_reason")})
     return session_seq(x, existing).withColumn("quarantine_until", F.lit(epoch(as_of) + 3600 * quarantine_hours if quarantine_hours else 0).cast("long"))
 
 
@@ -43,6 +43,24 @@ def append_snapshot(df: DataFrame, path: str, calibrated_at: str) -> None:
     df.withColumn("calibrated_at", F.lit(calibrated_at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calibrated_at").parquet(path)
 
 
+def merge_calibration(skills: DataFrame, existing: DataFrame | None, schema_version: int = 1) -> DataFrame:
+    """The calibration after a run over skills: rows (section, name, schema_version, body).
+
+    Only the section skills is replaced; the others, agents among them, stay. The version never falls.
+    """
+    own = skills.select(F.lit("skills").alias("section"), F.col("skill").alias("name"), F.to_json(F.struct(*[c for c in skills.columns if c != "skill"])).alias("body"))
+    if existing is None:
+        return own.select("section", "name", F.lit(schema_version).cast("int").alias("schema_version"), "body")
+    top = F.broadcast(existing.agg(F.greatest(F.coalesce(F.max("schema_version"), F.lit(0)), F.lit(schema_version)).cast("int").alias("schema_version")))  # one row
+    both = own.unionByName(existing.where("section <> 'skills'").select("section", "name", "body"))
+    return both.crossJoin(top).select("section", "name", "schema_version", "body")
+
+
+def append_trend(point: DataFrame, trend: DataFrame | None) -> DataFrame:
+    """The trend with a point for its cycle: written anew where the cycle has one already."""
+    return point if trend is None else trend.join(point.select("cycle"), "cycle", "left_anti").unionByName(point)
+
+
 def prune_snapshots(history: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     from gleanline.operators.filters import in_window
 

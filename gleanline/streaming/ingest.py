@@ -26,17 +26,20 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def start_ingest(spark: SparkSession, path: str, fmt: str, target: str, checkpoint: str, since: str | None = None) -> StreamingQuery:
     """Drains a folder of log files into target, a Parquet table.
 
-    A batch drops rows at or before the greatest stored time (or before since, a backfill's own bound), and
+    A run drops rows at or before the greatest time stored when it began (or before since, a backfill's own bound), and
     invocations that are stored. A batch that is run again therefore adds nothing.
     """
 
+    before = _stored(spark, target)
+    top = before.agg(F.max("ts")).first()[0] if since is None and before is not None else None
+
     def batch(df: DataFrame, _: int) -> None:
         rows = PARSERS[fmt](df)
         have = _stored(spark, target)
         if since is not None:
             rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-        elif have is not None:
-            rows = rows.crossJoin(F.broadcast(have.agg(F.max("ts").alias("top__")))).where("top__ is null or ts > top__").drop("top__")
+        elif top is not None:
+            rows = rows.where(F.col("ts") > F.lit(str(top)).cast("timestamp_ntz"))
         if have is None:
             rows.dropDuplicates(["invocation_id"]).write.mode("append").parquet(target)
         else:
