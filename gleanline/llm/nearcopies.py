@@ -29,6 +29,8 @@ ORDER_TEXTS = 8000
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
 LEADERS, MET_MOST = 4, 3
+#: Bits of the parities by which pairs that are not alike are told without their sets.
+PARITIES = 1024
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 200_000
 
@@ -51,6 +53,12 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Of PARITIES classes of hashes whether an odd number of the set is in each. No more of them differ between two sets than members do."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(20)) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The first n - ceil(similarity n) + 1 members of a sorted set, the rare ones first; how many of them, the last, are common."""
     if not len(own):
@@ -64,21 +72,22 @@ def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.nd
 
 
 def _described(docs: DataFrame, k: int, similarity: float, common, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the shingle set or null without any, n shingles, fp, the first of them, how many of these are common)."""
+    """(doc_id, digest of the shingle set or null without any, n shingles, fp, their parities, the first of them, how many of these are common)."""
 
-    @F.pandas_udf("digest binary, n int, fp long, first array<long>, m int")
+    @F.pandas_udf("digest binary, n int, fp long, odd array<long>, first array<long>, m int")
     def described(texts: pd.Series) -> pd.DataFrame:
-        digests, n, fp, first, m = [], [], [], [], []
+        digests, n, fp, odd, first, m = [], [], [], [], [], []
         for t in texts:  # one text's words at a time: a batch of them at once is what a worker's memory goes to
             hashes = shingle_hashes(t, k)
             own = np.unique(hashes).view(np.int64)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             n.append(len(own))
             fp.append(majority(hashes))
+            odd.append(parities(own))
             some, often = prefix(own, similarity, *common)
             first.append(some)
             m.append(often)
-        return pd.DataFrame({"digest": digests, "n": n, "fp": fp, "first": first, "m": m})
+        return pd.DataFrame({"digest": digests, "n": n, "fp": fp, "odd": odd, "first": first, "m": m})
 
     return docs.select(F.col(id_col).alias("doc_id"), described(F.col(text_col)).alias("d")).select("doc_id", "d.*")
 
@@ -106,8 +115,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).where("a <> b").distinct()
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def _near(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but those whose parities (rep, n, odd) differ more than sets of that similarity can."""
+    x, y = marks.toDF("a", "n", "odd"), marks.toDF("b", "n2", "odd2")
+    apart = F.aggregate(F.zip_with("odd", "odd2", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    both = pairs.join(x, "a").join(y, "b")
+    return keep(both.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-9).select("a", "b"))
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets of k-word shingles have that Jaccard similarity at least."""
+    pairs = _near(pairs, marks, similarity)
 
     @F.pandas_udf("array<long>")
     def own_set(own: pd.Series) -> pd.Series:
@@ -196,17 +214,18 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     with small_batches(docs.sparkSession):
         rows, rows_at = store(_described(docs, k, similarity, _common(texts, k), id_col, text_col))
     nodes = rows.where("doc_id is not null and digest is not null").groupBy("digest")
-    nodes, nodes_at = store(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "m"))))
+    nodes, nodes_at = store(nodes.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "fp", "odd", "first", "m"))))
     links = keep(rows.join(nodes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     discard(rows_at)
+    marks, marks_at = store(nodes.select("rep", "n", "odd"))
     points, points_at = store(_points(nodes))
     first = _leader_pairs(points, similarity, leaders)
-    good = _alike(keep(_simhash_pairs(nodes, distance).union(first).distinct()), texts, k, similarity)
+    good = _alike(_simhash_pairs(nodes, distance).union(first).distinct(), marks, texts, k, similarity)
     discard(nodes_at)
     mixed, mixed_at = _mixed(_with_component(points, good))
-    good = good.union(_alike(keep(_rest_pairs(mixed, similarity)), texts, k, similarity))
-    discard(mixed_at)
-    discard(points_at)
+    good = good.union(_alike(_rest_pairs(mixed, similarity), marks, texts, k, similarity))
+    for path in (mixed_at, points_at, marks_at):
+        discard(path)
     found = keep(connected_components(links.union(good)))
     out = docs.select(F.col(id_col).alias("doc_id")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
