@@ -168,17 +168,21 @@ def embedding_links(embeddings: DataFrame, likeness: float = LIKENESS) -> DataFr
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fit = e.isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
     sound = F.coalesce(fit, F.lit(False))
-    vectors = keep(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    vectors = keep(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n")))
+    # a number of its own for each different vector, since several may have one vec_id
+    vectors = keep(vectors.withColumn("rep", F.monotonically_increasing_id()))
     n = vectors.count()
     if n:
         placed = keep(cells(vectors, pivots(vectors, n), likeness))
         found = keep(join_cells(placed, likeness))
         comps = connected_components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
         sums = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
-        facts = vectors.join(sums, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-        facts = facts.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        facts = vectors.join(sums, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        facts = keep(facts.select("embedding", "vec", "comp", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+        least = facts.groupBy("comp").agg(F.min("vec").alias("component_id"))
+        facts = facts.join(least, "comp").select("embedding", "n_links", "component_id")
     else:
-        facts = vectors.select("embedding", F.col("n").alias("n_links"), F.col("rep").alias("component_id"))
+        facts = vectors.select("embedding", F.col("n").alias("n_links"), F.col("vec").alias("component_id"))
     facts = keep(facts)
     linked = rows.where(sound).join(facts, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
