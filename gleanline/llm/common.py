@@ -75,9 +75,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bounded_sample(df: DataFrame, share: float, most: int) -> DataFrame:
-    """About that share of the different rows of df, by a hash of all their columns, and most of them at most."""
+    """About that share of the different rows of df, by a hash of all their columns.
+
+    Most of them at most: a guard that only binds if rows are far more than share says. Then which are left is open.
+    """
     order = F.xxhash64(F.lit("sample"), *(F.col(f"`{c}`") for c in df.columns))
-    return df.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).distinct().orderBy(order).limit(most)
+    return df.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).distinct().limit(most)
 
 
 def text_or_empty(name: str = "text"):
