@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.llm.common import discard, keep, small_batches, store
@@ -29,7 +29,7 @@ ORDER_TEXTS = 8000
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
 LEADERS, MET_MOST = 4, 3
-#: Bits of the parities by which pairs that are not alike are told without their sets.
+#: Fewest bits of the parities by which pairs that are not alike are told without their sets; larger sets have more.
 PARITIES = 1024
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
 BROADCAST_IDS = 200_000
@@ -54,11 +54,23 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Of PARITIES classes of hashes whether an odd number of the set is in each. No more of them differ between two sets than members do."""
-    odd = np.bincount((own.view(np.uint64) >> np.uint64(20)) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1
+    """Of classes of hashes whether an odd number of the set is in each. No more of them differ between two sets than members do.
+
+    There are PARITIES classes, or the least power of two that the set does not exceed: with fewer, about half would
+    differ between any two large sets. Of twice the classes each half, put together by exclusive or, gives the classes.
+    """
+    many = max(PARITIES, 1 << (len(own) - 1).bit_length()) if len(own) else PARITIES
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(20)) % np.uint64(many), minlength=many).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
+def _differing(odd, odd2):
+    """How many parities differ; of the longer array its halves are put together. Null if one has over twice the other's."""
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.when(F.size(odd) > F.size(odd2), half(odd)).otherwise(odd), F.when(F.size(odd2) > F.size(odd), half(odd2)).otherwise(odd2)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def prefix(own: np.ndarray, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The first n - ceil(similarity n) + 1 members of a sorted set, the rare ones first; how many of them, the last, are common."""
     if not len(own):
@@ -100,9 +112,8 @@ def _points(nodes: DataFrame) -> DataFrame:
     """
     points = nodes.select("rep", "n", (F.size("first") - F.col("m")).alias("rare"), F.posexplode("first").alias("at", "key"))
     points = points.select("key", "rep", "n", (F.col("n") - F.col("at") - 1).alias("left"), (F.col("at") < F.col("rare")).alias("rare"))
-    rare = points.where("rare").drop("rare").repartition("key")
-    shared = rare.groupBy("key").count().where("count > 1").select("key")
-    return rare.join(shared, "key").unionByName(points.where("not rare").drop("rare"))
+    rare = points.where("rare").drop("rare").withColumn("many", F.count("*").over(Window.partitionBy("key")))
+    return rare.where("many > 1").drop("many").unionByName(points.where("not rare").drop("rare"))
 
 
 def _may(n2, left2, similarity: float):
@@ -118,9 +129,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _near(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) but those whose parities (rep, n, odd) differ more than sets of that similarity can."""
     x, y = marks.toDF("a", "n", "odd"), marks.toDF("b", "n2", "odd2")
-    apart = F.aggregate(F.zip_with("odd", "odd2", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    both = pairs.join(x, "a").join(y, "b")
-    return keep(both.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-9).select("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").where(F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9)
+    return keep(both.where(_differing(F.col("odd"), F.col("odd2")) <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-9).select("a", "b"))
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
