@@ -23,8 +23,10 @@ from gleanline.llm.simhash import hamming_edges, majority, shingle_hashes
 
 #: Differing bits within which fingerprints are candidates.
 DISTANCE = 2
-#: Shingles are ordered by how often about so many texts have them, so that common ones are seldom in a prefix. Any order finds all pairs.
-ORDER_TEXTS = 8000
+#: Shingles are ordered by how often a sample has them, so that common ones are seldom in a prefix: this share of the
+#: texts, and about so many at least. A fixed number would leave more of them unseen the more texts there are. Any
+#: order finds all pairs.
+ORDER_SHARE, ORDER_TEXTS = 1 / 8, 8000
 #: Shingles in fewer of those texts count as equally rare; of the others so many are told apart at most (16 bytes each).
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
@@ -47,8 +49,8 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, k) for t in batch["text"])])})
 
-    n = texts.count()
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, ORDER_TEXTS / max(n, 1)) * (1 << 20)).select("text").distinct()
+    share = min(1.0, max(ORDER_SHARE, ORDER_TEXTS / max(texts.count(), 1)))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("text").distinct()
     got = some.mapInPandas(own, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_AT_MOST).toPandas().sort_values("h")
     return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
 
