@@ -103,9 +103,15 @@ def _unseen(x: np.ndarray, k: int) -> np.ndarray:
 def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS) -> Model:
     """Texts and their languages to centroids; with no text the model knows no language."""
     names = sorted(set(langs))
-    tf = np.concatenate([np.zeros((0, PLACES), np.float32), *map(_tf, _blocks(texts))])
-    idf = (np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, lang = _unit(tf * idf), np.array([names.index(v) for v in langs], int)
+    x, having, at = np.zeros((len(texts), PLACES), np.float32), np.zeros(PLACES, np.int64), 0
+    for block in _blocks(texts):  # in place: of all texts the driver holds one matrix
+        x[at : at + len(block)] = _tf(block)
+        having += (x[at : at + len(block)] > 0).sum(axis=0)
+        at += len(block)
+    idf = (np.log((1 + len(texts)) / (1 + having)) + 1).astype(np.float32)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    lang = np.array([names.index(v) for v in langs], int)
     rows, owner, floor = [np.zeros((0, PLACES), np.float32)], [], []
     for i in range(len(names)):
         own = x[lang == i]
