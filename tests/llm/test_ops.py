@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanline.llm import bpe, components, digest, embeddings, langid, nearcopies, packing, secrets, simhash, toxicity, viterbi, warc
 
@@ -409,3 +410,20 @@ def test_pipeline(spark, tmp_path):
     lengths = out.groupby("doc_id").length.sum()
     for i, t in kept.items():
         assert lengths[i] == len(lib.encode(re.sub(r"password=abcdefgh123", "[SECRET]", t), add_special_tokens=False).ids) + 1
+
+
+def test_parities_of_large_sets_bound_what_differs(spark):
+    rng = np.random.default_rng(5)
+    rows, apart = [], []
+    for i, (n, m) in enumerate([(300, 280), (1024, 1025), (4000, 4200), (4096, 4097), (9000, 8000), (1, 1)]):
+        members = np.unique(rng.integers(-(2**62), 2**62, max(n, m) + 100))
+        a, b = (np.sort(rng.choice(members, k, False)) for k in (n, m))
+        rows.append((i, nearcopies.parities(a).tolist(), nearcopies.parities(b).tolist()))
+        apart.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    for x, y in (("x", "y"), ("y", "x")):
+        got = {r["i"]: r["d"] for r in df.select("i", nearcopies._differing(F.col(x), F.col(y)).alias("d")).collect()}
+        assert all(got[i] <= d and (d - got[i]) % 2 == 0 for i, d in enumerate(apart))
+        assert got[2] > apart[2] / 2
+    same = df.select("i", nearcopies._differing(F.col("x"), F.col("x")).alias("d")).collect()
+    assert {r["d"] for r in same} == {0}
