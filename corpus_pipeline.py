@@ -23,24 +23,33 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns) if model.languages else docs
 
 
+#: Numbers of documents made here are from this one on.
+MADE = 1 << 62
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
+    """One document of each group of near copies (five words, similarity 0.8): that with the least doc_id, those without one last.
 
-    Rows that share a doc_id are one document: of those the one that comes first by all columns stays. A row without
-    doc_id has a number made of its text, beyond those that ids have (2**62), and is grouped by it like any other.
+    Texts decide, not ids: rows that share a doc_id and have different texts are different documents. Rows alike in
+    both are one, of which the first by all columns stays. A null text and one without a word are copies of nothing.
     """
     own = free_name(docs, "own_id")
-    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    rows = docs.withColumn(own, F.coalesce(F.col("doc_id"), made))
-    groups = nearcopies.near_copy_components(rows, id_col=own)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    made = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(MADE))
+    shared = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(own)))
+    lone = docs.withColumn(own, F.when(F.col("doc_id") < MADE, F.col("doc_id")).otherwise(made))
+    rows = lone if shared.isEmpty() else lone.join(shared.withColumnRenamed(own, f"{own}2"), F.col(own) == F.col(f"{own}2"), "left").withColumn(own, F.when(F.col(f"{own}2").isNull(), F.col(own)).otherwise(made)).drop(f"{own}2")
+    groups = keep(nearcopies.near_copy_components(rows, id_col=own).distinct())
+    members = groups.join(groups.where("doc_id <> component_id").select("component_id").distinct(), "component_id").withColumnRenamed("doc_id", own)
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", own))
+    first = rows.select(own, "doc_id").join(members, own).groupBy("component_id").agg(order[own].alias("first"))
+    gone = members.join(first, "component_id").where(F.col(own) != F.col("first")).select(own)
     kept = rows.join(gone, own, "left_anti")
     again = keep(rows.groupBy(own).count().where("count > 1").select(own))
     once = kept.join(again, own, "left_anti").select(*docs.columns)
     if again.isEmpty():
         return once
-    first = kept.join(again, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(first.select("row.*"))
+    least = kept.join(again, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
