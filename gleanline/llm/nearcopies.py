@@ -31,6 +31,8 @@ ORDER_SHARE, ORDER_TEXTS = 1 / 8, 8000
 COMMON, COMMON_AT_MOST = 3, 200_000
 #: A bucket's members meet so many of them first; each member is compared with the MET_MOST that it meets most often.
 LEADERS, MET_MOST = 4, 3
+#: Turns in which crowded keys meet leaders, of which there are twice LEADERS in the first and twice as many in each further one.
+TURNS = 5
 #: Fewest bits of the parities by which pairs that are not alike are told without their sets; larger sets have more.
 PARITIES = 1024
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
@@ -51,10 +53,25 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, max(ORDER_SHARE, ORDER_TEXTS / max(texts.count(), 1)))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("text").distinct()
-    got = some.mapInPandas(own, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_AT_MOST).toPandas().sort_values("h")
+    with small_batches(texts.sparkSession):
+        counted, at = store(some.mapInPandas(own, "h long").groupBy("h").count().where(F.col("count") >= COMMON))
+    got = counted.where(F.col("count") >= _least(counted)).toPandas().sort_values("h")
+    discard(at)
     return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
 
 
+def _least(counted: DataFrame, most: int = COMMON_AT_MOST) -> int:
+    """The count from which on at most so many shingles are as frequent: of a histogram in eighths of powers of two, whose size is bounded."""
+    sizes = counted.groupBy(F.floor(8 * F.log2("count")).alias("step")).agg(F.count("*").alias("n"), F.min("count").alias("least"), F.max("count").alias("top")).orderBy(F.desc("step")).collect()
+    least, n = max((r["top"] for r in sizes), default=0) + 1, 0
+    for r in sizes:
+        n += r["n"]
+        if n > most:
+            break
+        least = r["least"]
+    return least
+
+
 def parities(own: np.ndarray) -> np.ndarray:
     """Of classes of hashes whether an odd number of the set is in each. No more of them differ between two sets than members do.
 
@@ -109,13 +126,14 @@ def _described(docs: DataFrame, k: int, similarity: float, common, id_col: str,
 def _points(nodes: DataFrame) -> DataFrame:
     """(key, rep, n, left): the shingles of the prefixes, and how many of the set come after them.
 
-    Most shingles are in one text only, and are found by a shuffle of their own. Those that the sample has are common
-    and need none; they are what may be in a large share of all texts.
+    Most shingles are in one text only: they are counted, with partial sums first, and what others have too is joined, so
+    that adaptive execution can split a key that many texts share. Those that the sample has need no count.
     """
     points = nodes.select("rep", "n", (F.size("first") - F.col("m")).alias("rare"), F.posexplode("first").alias("at", "key"))
     points = points.select("key", "rep", "n", (F.col("n") - F.col("at") - 1).alias("left"), (F.col("at") < F.col("rare")).alias("rare"))
-    rare = points.where("rare").drop("rare").withColumn("many", F.count("*").over(Window.partitionBy("key")))
-    return rare.where("many > 1").drop("many").unionByName(points.where("not rare").drop("rare"))
+    rare = points.where("rare").drop("rare")
+    shared = rare.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    return rare.join(shared, "key", "left_semi").unionByName(points.where("not rare").drop("rare"))
 
 
 def _may(n2, left2, similarity: float):
@@ -168,10 +186,10 @@ def _with_component(points: DataFrame, good: DataFrame) -> DataFrame:
 
 
 def _mixed(points: DataFrame) -> tuple[DataFrame, str]:
-    """The points of the keys at which different components meet, with the component that most of a key's points are in; stored."""
+    """The points of the keys at which different components meet, with the component that most of a key's points are in and how many are not; stored."""
     sizes = points.groupBy("key", "comp").agg(F.count("*").alias("many"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("many", "comp")).comp.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    return store(points.join(main, "key"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("many", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("many").alias("all")).where("comps > 1")
+    return store(points.join(main.select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.many")).alias("outside")), "key"))
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -200,11 +218,30 @@ def _leader_pairs(points: DataFrame, similarity: float, leaders: int) -> DataFra
     return _ordered(most.select("rep", F.explode(F.slice(F.sort_array("all"), 1, MET_MOST)).alias("x")).select("rep", "x.rep2"))
 
 
+def _turn_pairs(points: DataFrame, similarity: float, leaders: int, turn: int) -> DataFrame:
+    """Pairs of each point of a crowded key and the key's leaders of this turn that are in other components: so many a point at most.
+
+    A leader is the first of its class by a hash that changes with the turn but not with the key, so that a group's keys have
+    the same leaders and a pair that meets at many keys is one pair.
+    """
+    order = F.xxhash64("rep", F.lit(turn))
+    own = F.struct(order.alias("order"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    each = points.groupBy("key", F.pmod(order, F.lit(leaders)).alias("class")).agg(F.min(own).alias("l"))
+    led = each.groupBy("key").agg(F.collect_list("l").alias("l"))
+    met = points.join(led, "key").select("rep", F.filter("l", lambda x: (x.comp2 != F.col("comp")) & _may(x.n2, x.left2, similarity)).alias("l")).where(F.size("l") > 0)
+    return _ordered(met.select("rep", F.explode(F.transform("l", lambda x: x.rep2)).alias("rep2")))
+
+
 def _rest_pairs(points: DataFrame, similarity: float) -> DataFrame:
-    """All pairs that may still be alike and are in different components: of a key's points those outside its main component with the others."""
-    x, y = points.where("comp <> main"), points.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    """All pairs that may still be alike and are in different components: of a key's points those outside its main component with the others.
+
+    A key is cut by the sizes of sets first: in steps of 1 / similarity, alike sets are in the same step or in neighbours.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9).cast("int")
+    x = points.where("comp <> main").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+    y = points.select("key", step.alias("step"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
     once = (F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
-    pairs = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & once & _may(F.col("n2"), F.col("left2"), similarity))
+    pairs = x.join(y, ["key", "step"]).where((F.col("comp") != F.col("comp2")) & once & _may(F.col("n2"), F.col("left2"), similarity))
     low, high = F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")
     return _ordered(_enough(pairs.select(low, high, (F.col("n") + F.col("n2")).alias("both"), F.least("left", "left2").alias("rest")), similarity))
 
@@ -218,9 +255,10 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     columns of docs are ignored.
 
     Equal sets count as one text. A bucket may hold a large group of copies, and pairing it would be quadratic. So
-    candidates come in two turns, and what is in one component by then is not compared any more: first those of
-    SimHash and of the buckets' leaders; then, of the keys where different components still meet, all pairs that
-    sizes and places allow.
+    candidates come in turns, and what is in one component by then is not compared any more: first those of SimHash and
+    of the buckets' least changed texts; then, as long as a key has many points outside its main component, all its points
+    with a few leaders, twice as many each turn; then, of the keys where different components still meet, all pairs
+    that sizes and places allow. Only the last turn is needed to miss nothing; the others make it small.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null and text is not null")
     with small_batches(docs.sparkSession):
@@ -235,6 +273,15 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     good = _alike(_simhash_pairs(nodes, distance).union(first).distinct(), marks, texts, k, similarity)
     discard(nodes_at)
     mixed, mixed_at = _mixed(_with_component(points, good))
+    for turn in range(TURNS):
+        many = 2 * leaders << turn
+        crowded = mixed.where(F.col("outside") > 2 * many)
+        if crowded.isEmpty():
+            break
+        good = keep(good.union(_alike(_turn_pairs(crowded, similarity, many, turn), marks, texts, k, similarity)).distinct())
+        before = mixed_at
+        mixed, mixed_at = _mixed(_with_component(mixed.drop("main", "outside", "comp"), good))
+        discard(before)
     good = good.union(_alike(_rest_pairs(mixed, similarity), marks, texts, k, similarity))
     for path in (mixed_at, points_at, marks_at):
         discard(path)
