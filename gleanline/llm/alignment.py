@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from gleanline.llm.bpe import byte_letters
 from gleanline.llm.common import discard, small_batches, store, table
 
-#: Parts remembered in a task, and the letters of the longest that is.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 48
+#: Parts remembered in a task, once more as many used before them, and the letters of the longest that is.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 32
 #: The most frequent pairs of ids, this many at most (25 bytes each), are broadcast with their counts; the rest are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
+#: Letters of the texts whose new parts are encoded at once.
+BLOCK = 200_000
 MARK = "▁"
-_CUTS = re.compile(r"(?<=\S)(?= )")
+_CUTS, _ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 Part = tuple[int, int, str, list[int]]  # tokens of A, tokens of B, groups as text, links as pairs of ids
@@ -41,31 +44,21 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """The byte at which each token ends, of spans in bytes and the bytes that tokens decode to.
+def byte_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The byte at which each token ends, of spans in bytes and of how many bytes the tokens decode to.
 
-    A span that begins where the token before ended and is as long as the token's bytes is taken; any other (part of a
-    character, no span of its own, trimmed) is replaced by the decoded bytes.
+    A span that begins where the one before ended and is as long as the token's bytes is taken. Any other (part of a
+    character, none of its own, trimmed) is refined by the bytes decoded up to it.
     """
-    out, at = [], 0
-    for (begin, end), size in zip(spans, sizes, strict=True):
-        at = end if begin == at and end - begin == size else at + size
-        out.append(at)
-    return out
-
-
-def groups(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups between the places where tokens of both end, as text; how many; and the pairs of ids that end together."""
-    said, links, i, j = [], [], 0, 0
-    for cut in sorted(set(a_ends) & set(b_ends)):
-        p, q = i, j
-        while i < len(a) and a_ends[i] <= cut:
-            i += 1
-        while j < len(b) and b_ends[j] <= cut:
-            j += 1
-        said.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-        links += [(x, y) for x, e in zip(a[p:i], a_ends[p:i], strict=True) if e == cut for y, f in zip(b[q:j], b_ends[q:j], strict=True) if f == cut]
-    return ";".join(said), len(said), links
+    before = np.concatenate(([0], ends[:-1]))
+    odd = (ends - begins != sizes) | (begins != before)
+    return np.where(odd, np.cumsum(sizes), ends)
+
+
+def byte_places(text: str) -> np.ndarray:
+    """The byte at which each character begins, and the end."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
 
 
 class Aligner:
@@ -87,52 +80,103 @@ class Aligner:
         self.a_bytes = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s, i in entries.items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(s)) else s.replace(MARK, " ").encode() for s in names]
+        self.say = list(map(str, range(max(max(self.a_bytes), len(names)) + 1))).__getitem__
         #: Whether no piece goes from something else to a space, so that parts can be encoded on their own.
         self.parted = not any(MARK in s.lstrip(MARK) for s in names)
-        self.known: dict[str, Part | None] = {}
-
-    def _aligned(self, text: str, enc, proto) -> Part | None:
-        """Of a text with its leading space; None if either one's bytes are not the text's."""
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(v) for v in self.a_bytes.values()]
+        self.b_size = np.array([len(v) for v in self.b_bytes], np.int64)
+        self.known: dict[str, Part | None] = {}  # and the parts used before these, which go when there are as many again
+        self.older: dict[str, Part | None] = {}
+
+    def _joint(self, parts: list[str]) -> list[Part] | None:
+        """Parts that may follow one another, encoded as one text; None if either one's bytes are not the text's."""
+        text = "".join(parts)
         raw = text.encode("utf-8", "replace")
-        a, b = enc.ids, [p.id for p in proto.pieces]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        enc = self.a.encode(text, add_special_tokens=False)
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        a, b = enc.ids, [p.id for p in pieces]
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        if len(raw) == len(text):
-            a_spans = enc.offsets
-        else:
-            place = np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "replace")) for c in text]))).tolist()
-            a_spans = [(place[s], place[e]) for s, e in enc.offsets]
-        b_spans = [(p.begin + 1 if n else 0, p.end + 1) for n, p in enumerate(proto.pieces)]  # its own space is not in them
-        said, n, links = groups(a, byte_ends(a_spans, list(map(len, a_bytes))), b, byte_ends(b_spans, list(map(len, b_bytes))))
-        return len(a), len(b), said, [x << 32 | y for x, y in links]
-
-    def _learn(self, texts: list[str]) -> dict[str, Part | None]:
-        encs = self.a.encode_batch(texts, add_special_tokens=False)
-        protos = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        return {t: self._aligned(t, e, p) for t, e, p in zip(texts, encs, protos, strict=True)}
+        spans = byte_places(text)[np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a))]
+        a_ends = byte_ends(spans[::2], spans[1::2], self.a_size[a])
+        begins = np.array([p.begin for p in pieces], np.int64) + 1  # the space that B adds is in no span
+        begins[:1] = 0
+        b_ends = byte_ends(begins, np.array([p.end for p in pieces], np.int64) + 1, self.b_size[b])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        at_a, at_b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        links = (np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b]).tolist()
+        say_a, say_b = [self.say(i) for i in a], [self.say(i) for i in b]
+        said, i, j = [], 0, 0
+        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
+            said.append(f"{say_a[i] if p - i == 1 else ','.join(say_a[i:p])}|{say_b[j] if q - j == 1 else ','.join(say_b[j:q])}")
+            i, j = p, q
+        closed = np.searchsorted(cuts, np.cumsum([len(p.encode("utf-8", "replace")) for p in parts]), side="right")
+        n_a, n_b = np.concatenate(([0], at_a + 1))[closed].tolist(), np.concatenate(([0], at_b + 1))[closed].tolist()
+        out, g, i, j = [], 0, 0, 0
+        for h, p, q in zip(closed.tolist(), n_a, n_b, strict=True):
+            out.append((p - i, q - j, ";".join(said[g:h]), links[g:h]))
+            g, i, j = h, p, q
+        return out
+
+    def _learn(self, parts: list[str]) -> dict[str, Part | None]:
+        """Each part aligned, as many as can be at once; None for one whose bytes do not come back."""
+        if not parts:
+            return {}
+        last = [p for p in parts if p[-1].isspace()]  # nothing may follow these
+        if last and len(parts) > 1:
+            out = self._learn([p for p in parts if not p[-1].isspace()])
+            for p in last:
+                out |= self._learn([p])
+            return out
+        got = self._joint(parts)
+        if got is not None:
+            return dict(zip(parts, got, strict=True))
+        if len(parts) == 1:
+            return {parts[0]: None}
+        half = len(parts) // 2
+        return self._learn(parts[:half]) | self._learn(parts[half:])
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, Counter]]:
         """Tokens of A and of B, groups, their text and how often each pair is linked; of each text."""
+        block, size = [], 0
         for t in texts:
-            parts = _CUTS.split(f" {t}") if t and self.parted else [f" {t}"] if t else []
-            new = [p for p in dict.fromkeys(parts) if p not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(dict.fromkeys(parts))
-            own = self._learn(new) if new else {}
-            self.known.update((p, v) for p, v in own.items() if len(p) <= LONGEST_REMEMBERED)
-            got = [own[p] if p in own else self.known[p] for p in parts]
-            if any(g is None for g in got):  # the bytes of the whole text decide
-                got = [g for g in self._learn([f" {t}"]).values() if g is not None]
-                parts = [f" {t}"][: len(got)]
-            said = ";".join([g[2] for g in got])
-            many: Counter = Counter()
-            of = dict(zip(parts, got, strict=True))
-            for p, n in Counter(parts).items():
-                for pair in of[p][3]:
-                    many[pair] += n
-            yield sum(g[0] for g in got), sum(g[1] for g in got), said.count(";") + 1 if said else 0, said, many
+            block.append(t)
+            size += len(t or "")
+            if size >= BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _cut(self, text: str | None) -> list[str]:
+        """The parts of a text, of which each begins with a space."""
+        if not text:
+            return []
+        led = f" {text}"
+        if not self.parted:
+            return [led]
+        return _CUTS.split(led) if _ODD.search(led) else [f" {w}" for w in text.split(" ")]
+
+    def _block(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, Counter]]:
+        cut = list(map(self._cut, texts))
+        known = self.known
+        used = dict.fromkeys(chain.from_iterable(cut))
+        for p in used.keys() & self.older.keys() - known.keys():
+            known[p] = self.older[p]
+        own = self._learn([p for p in used if p not in known])
+        known.update(own)
+        for t, parts in zip(texts, cut, strict=True):
+            of = [*map(known.__getitem__, parts)]
+            if None in of:  # the bytes of the whole text decide
+                of = [v for v in self._learn([f" {t}"]).values() if v is not None]
+            a, b, said, links = zip(*of, strict=True) if of else ((),) * 4
+            many = Counter(chain.from_iterable(links))
+            yield sum(a), sum(b), sum(many.values()), ";".join(said), many
+        for p in own:
+            if len(p) > LONGEST_REMEMBERED:
+                del known[p]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
 
 
 @lru_cache(maxsize=2)

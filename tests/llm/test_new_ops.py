@@ -89,9 +89,21 @@ def test_align_and_spans(spark):
     r = alignment.align(docs).first()
     assert r["groups"].count(";") + 1 == r["n_groups"] and sum(r["times"]) == r["n_links"]
     assert alignment.align(docs.limit(0)).count() == 0
-    # part of a character, a trimmed span and a span of its own
-    assert alignment.byte_ends([(0, 4), (0, 4), (5, 6)], [2, 2, 2]) == [2, 4, 6] and alignment.byte_ends([(0, 2), (2, 5)], [2, 3]) == [2, 5]
-    assert alignment.groups([1, 2], [1, 3], [7, 8, 9], [1, 2, 3]) == ("1|7;2|8,9", 2, [(1, 7), (2, 9)])
+    # part of a character, a trimmed span and spans of their own
+    ends = lambda spans, sizes: alignment.byte_ends(*np.array(spans).T, np.array(sizes)).tolist()
+    assert ends([(0, 4), (0, 4), (5, 6)], [2, 2, 2]) == [2, 4, 6] and ends([(0, 2), (2, 5)], [2, 3]) == [2, 5]
+    assert alignment.byte_places("aé😀").tolist() == [0, 1, 3, 7]
+
+
+def test_parts_and_memory():
+    """Parts encoded together, remembered ones and parts that cannot be encoded agree with whole texts."""
+    own = alignment.Aligner(*alignment.default_paths())
+    texts = ["the cat sat, the cat  sat\n on it ", "▁ bad the cat", "the cat ▁", "é the cat 😀 ", None, "", "x" * 500, " the  cat\t"] * 2
+    got = list(own.align(texts))
+    for t, g in zip(texts, got, strict=True):
+        whole = own._joint([f" {t}"]) if t else None
+        assert g[:2] + (g[3],) == ((whole[0][0], whole[0][1], whole[0][2]) if whole else (0, 0, "")) and g[2] == sum(g[4].values())
+    assert got[:8] == got[8:] and own.known and own.known[" bad"] is not None
 
 
 def best(docs, items, top=10):
