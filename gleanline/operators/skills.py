@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions.text import at, doc_hash, ema, goal_bucket, sigmoid_goodness
 from gleanline.operators.filters import in_window
+from gleanline.operators.intervals import nodes_of, nodes_over
 
 #: Signal, goal, weight.
 GOAL_WEIGHTS = (("tokens", "speed", 1.0), ("error", "precision", 1.0), ("no_redirect", "precision", 0.5), ("bead_close", "completeness", 1.0))
@@ -36,9 +37,10 @@ def signal_error(pending: DataFrame) -> DataFrame:
 def bead_asof(pending: DataFrame, items: DataFrame, tie_s: int = 60, max_age_days: int | None = None, cell_days: int = 7) -> DataFrame:
     """The open item of the project that began last before an invocation, however long ago (or max_age_days); none if a second one began within tie_s.
 
-    Time is cut into cells of cell_days, and an item stands in each cell it is open in, up to that of the last
-    invocation. Of those open throughout a cell the two that began last are enough, so that a busy project's pairs
-    grow with its rate and not with its history.
+    Time is cut into cells of cell_days. The cells that an item is open throughout are as few dyadic nodes (two for each
+    doubling of its age at most), of which an invocation is in one a level; in each node the two items that began last
+    are enough. In the cells where it began and was closed an item meets the invocations of that cell. So rows grow with
+    the rate of events and the logarithm of how long items stay open.
     """
     width = cell_days * 86400
     def second(c):
@@ -50,12 +52,16 @@ def bead_asof(pending: DataFrame, items: DataFrame, tie_s: int = 60, max_age_day
     inv = pending.withColumn("cell", cell(F.col("ts")))
     work = items.select(F.col("id").alias("bead_id"), "project", "started_at", "closed_at", "status", "updated_at").where("closed_at is null or closed_at > started_at")
     work = work.crossJoin(F.broadcast(inv.agg(F.max("cell").alias("last"))))
-    first, end = cell(F.col("started_at")), F.least(cell(F.col("closed_at")), F.col("last"))
-    work = work.where(first <= end).withColumn("cell", F.explode(F.sequence(first, end)))
-    whole = (first < F.col("cell")) & F.coalesce(cell(F.col("closed_at")) > F.col("cell"), F.lit(True))
-    of = Window.partitionBy("project", "cell", "whole").orderBy(F.desc("started_at"), F.desc("bead_id"))
-    work = work.withColumn("whole", whole).withColumn("nth", F.row_number().over(of)).where("not whole or nth <= 2").drop("whole", "nth", "last")
-    pairs = inv.join(work, ["project", "cell"]).where((F.col("started_at") <= F.col("ts")) & (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("ts"))))
+    first, end = cell(F.col("started_at")), cell(F.col("closed_at"))
+    work = work.where(first <= F.col("last"))
+    of = Window.partitionBy("project", "level", "node").orderBy(F.desc("started_at"), F.desc("bead_id"))
+    inside = work.withColumn("n", F.explode(nodes_of(first + 1, F.least(end - 1, F.col("last"))))).select("*", "n.level", "n.node").drop("n", "last")
+    inside = inside.withColumn("nth", F.row_number().over(of)).where("nth <= 2").drop("nth")
+    ends = F.array_distinct(F.array_compact(F.array(first, F.when(end <= F.col("last"), end))))
+    edges = work.withColumn("node", F.explode(ends)).withColumn("level", F.lit(-1)).drop("last")
+    probe = F.concat(nodes_over(F.col("cell")), F.array(F.struct(F.lit(-1).alias("level"), F.col("cell").alias("node"))))
+    asked = inv.withColumn("n", F.explode(probe)).select("*", "n.level", "n.node").drop("n", "cell")
+    pairs = asked.join(inside.unionByName(edges), ["project", "level", "node"]).where((F.col("started_at") <= F.col("ts")) & (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("ts"))))
     if max_age_days is not None:
         pairs = pairs.where(second(F.col("ts")) - second(F.col("started_at")) <= max_age_days * 86400)
     w = Window.partitionBy("invocation_id").orderBy(F.desc("started_at"), F.desc("bead_id"))
@@ -108,23 +114,96 @@ def session_token_cost(transcripts: DataFrame) -> DataFrame:
     return transcripts.where("type = 'assistant'").groupBy("session_id").agg(F.sum(F.when(F.coalesce("input_tokens", "output_tokens", "cache_creation_tokens").isNotNull(), u)).cast("long").alias("tokens"))
 
 
+def _token_sessions(sessions: DataFrame) -> DataFrame:
+    """(session_id, project, at, tokens) of the sessions that have a token cost; at in seconds."""
+    return sessions.where("tokens is not null").select("session_id", "project", F.unix_timestamp(F.col("start_ts").cast("timestamp")).alias("at"), "tokens")
+
+
+def _token_runs(e: DataFrame, s: DataFrame) -> DataFrame:
+    """(skill_name, session_id, project, at): runs of a skill and the workspace of their cohort.
+
+    That is the evidence's own project where some session uses it, by its name or as an encoded path, else the session's.
+    """
+    used = s.select(F.col("project").alias("key")).distinct()
+    own = invocations(e).select("skill_name", "session_id", F.col("project").alias("named")).distinct().join(s.select("session_id", "project", "at"), "session_id")
+    plain, encoded = used.select(F.col("key").alias("named"), F.col("key").alias("plain")), used.select(F.col("key").alias("coded"), F.col("key").alias("encoded"))
+    x = own.join(plain, "named", "left").withColumn("coded", F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace("named", "^/+|/+$", ""), "/", "-"))).join(encoded, "coded", "left")
+    return x.select("skill_name", "session_id", F.coalesce("encoded", "plain", "project").alias("project"), "at").distinct()
+
+
 def token_cohort(e: DataFrame, sessions: DataFrame, days: int = 7) -> DataFrame:
     """(skill_name, session_id, other, other_tokens): sessions of the workspace begun within days that did not run the skill.
 
-    Starts are cut into cells as wide as the window, so that the range join is an equi-join on three cells.
+    The pairs themselves, for who wants to see them; signal_tokens does without. Starts are cut into cells as wide as
+    the window, so that the range join is an equi-join on three cells.
     """
     width = days * 86400
-    s = sessions.where("tokens is not null").withColumn("at", F.unix_timestamp(F.col("start_ts").cast("timestamp")))
-    runs = invocations(e).select("skill_name", "session_id").distinct()
-    own = runs.join(s.select("session_id", "project", "at"), "session_id").withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / width) + d for d in (-1, 0, 1)))))
+    s = _token_sessions(sessions)
+    own = _token_runs(e, s).withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / width) + d for d in (-1, 0, 1)))))
     other = s.select(F.col("session_id").alias("other"), "project", F.col("at").alias("other_at"), F.col("tokens").alias("other_tokens")).withColumn("cell", F.floor(F.col("other_at") / width))
     pairs = own.join(other, ["project", "cell"]).where(F.abs(F.col("at") - F.col("other_at")) <= width)
-    return pairs.join(runs.select("skill_name", F.col("session_id").alias("other")), ["skill_name", "other"], "left_anti").select("skill_name", "session_id", "other", "other_tokens")
+    ran = invocations(e).select("skill_name", F.col("session_id").alias("other")).distinct()
+    return pairs.join(ran, ["skill_name", "other"], "left_anti").select("skill_name", "session_id", "other", "other_tokens").distinct()
+
+
+def _within(runs: DataFrame, s: DataFrame, keys: list[str], days: int, cell_s: int, classes: Column) -> DataFrame:
+    """(run, class, n, s1, s2): of each run how many sessions with the same keys began within days, by class of their tokens, with sum and squares.
+
+    Whole cells are counted in dyadic nodes of time first, of which a run's window has few; its two end cells are met exactly.
+    """
+    width = days * 86400
+    tokens = F.col("tokens").cast("decimal(38,0)")
+    sums = [F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")]
+    cells = s.withColumn("class", classes).withColumn("cell", F.floor(F.col("at") / cell_s)).groupBy(*keys, "cell", "class").agg(F.count("*").alias("n"), F.sum(tokens).alias("s1"), F.sum(tokens * tokens).cast("decimal(38,0)").alias("s2"))
+    nodes = cells.withColumn("x", F.explode(nodes_over(F.col("cell")))).groupBy(*keys, F.col("x.level").alias("level"), F.col("x.node").alias("node"), "class").agg(*sums)
+    low, high = F.floor((F.col("at") - width) / cell_s), F.floor((F.col("at") + width) / cell_s)
+    inner = runs.withColumn("x", F.explode(nodes_of(low + 1, high - 1))).select("run", *keys, "x.level", "x.node").join(nodes, [*keys, "level", "node"])
+    edge = s.select(*keys, F.col("at").alias("other_at"), "tokens", classes.alias("class"), F.floor(F.col("at") / cell_s).alias("cell"))
+    ends = runs.withColumn("cell", F.explode(F.array_distinct(F.array(low, high)))).join(edge, [*keys, "cell"]).where(F.abs(F.col("at") - F.col("other_at")) <= width)
+    ends = ends.select("run", "class", F.lit(1).cast("long").alias("n"), tokens.alias("s1"), (tokens * tokens).cast("decimal(38,0)").alias("s2"))
+    return inner.select("run", "class", "n", "s1", "s2").unionByName(ends).groupBy("run", "class").agg(*sums)
+
+
+#: Classes of tokens, by quantiles, in which cohorts are counted: only the class of the median is looked at one by one.
+TOKEN_CLASSES = 64
+
+
+def cohort_statistics(e: DataFrame, sessions: DataFrame, days: int = 7, min_cohort: int = 3, cell_s: int = 3600) -> DataFrame:
+    """(skill_name, session_id, n, middle, spread) of each run's cohort of min_cohort sessions at least: median, population deviation; exact.
+
+    Counts and sums come from _within for all sessions of the workspace, less those that ran the skill. Running counts
+    over the classes tell in which the middle ranks are; sessions of that class alone are then met and put in order.
+    """
+    s = _token_sessions(sessions)
+    cuts = s.agg(F.array_distinct(F.percentile_approx("tokens", [i / TOKEN_CLASSES for i in range(1, TOKEN_CLASSES)], 10_000)).alias("cuts"))
+    s = s.crossJoin(F.broadcast(cuts)).withColumn("class", F.size(F.filter("cuts", lambda c: c < F.col("tokens")))).drop("cuts")
+    runs = _token_runs(e, s).withColumn("run", F.struct("skill_name", "session_id", "project"))
+    ran = invocations(e).select("skill_name", "session_id").distinct()
+    own = s.join(ran, "session_id")
+    every = _within(runs, s, ["project"], days, cell_s, F.col("class"))
+    less = _within(runs, own, ["project", "skill_name"], days, cell_s, F.col("class"))
+    both = every.unionByName(less.select("run", "class", *((-F.col(c)).alias(c) for c in ("n", "s1", "s2"))))
+    by = both.groupBy("run", "class").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("n > 0")
+    per = by.groupBy("run").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sort_array(F.collect_list(F.struct("class", F.col("n").alias("m")))).alias("parts")).where(F.col("n") >= min_cohort)  # TOKEN_CLASSES at most
+    upto = F.transform("parts", lambda p, i: F.struct(p["class"].alias("class"), F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("long"), lambda a, q: a + q.m).alias("before"), p.m.alias("m")))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    ask = per.withColumn("upto", upto).withColumn("rank", F.explode(ranks)).withColumn("u", F.filter("upto", lambda u: (u.before <= F.col("rank")) & (F.col("rank") < u.before + u.m))[0])
+    ask = ask.select("run", F.col("u.class").alias("class"), (F.col("rank") - F.col("u.before")).alias("nth"))
+    width = days * 86400
+    near = runs.join(ask, "run").withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / width) + d for d in (-1, 0, 1)))))
+    other = s.select("project", F.col("session_id").alias("other"), F.col("at").alias("other_at"), F.col("tokens").alias("other_tokens"), "class", F.floor(F.col("at") / width).alias("cell"))
+    met = near.join(other, ["project", "class", "cell"]).where(F.abs(F.col("at") - F.col("other_at")) <= width).join(ran.withColumnRenamed("session_id", "other"), ["skill_name", "other"], "left_anti")
+    order = F.row_number().over(Window.partitionBy("run", "class", "nth").orderBy("other_tokens", "other")) - 1
+    middle = met.withColumn("order", order).where("order = nth").groupBy("run").agg(F.avg("other_tokens").alias("middle"))
+    spread = F.sqrt(F.greatest((F.col("s2") * F.col("n") - F.col("s1") * F.col("s1")).cast("double"), F.lit(0.0))) / F.col("n")
+    return per.join(middle, "run").select("run.skill_name", "run.session_id", "run.project", "n", "middle", spread.alias("spread"))
 
 
 def signal_tokens(pending: DataFrame, e: DataFrame, sessions: DataFrame, days: int = 7, min_cohort: int = 3) -> DataFrame:
-    c = token_cohort(e, sessions, days).groupBy("skill_name", "session_id").agg(F.count("*").alias("n"), F.percentile("other_tokens", 0.5).alias("middle"), F.stddev_pop("other_tokens").alias("spread")).where(F.col("n") >= min_cohort)
-    x = pending.join(c, ["skill_name", "session_id"]).join(sessions.select("session_id", "tokens"), "session_id").where("tokens is not null")
+    """How cheap the session of an invocation was beside its cohort. Of invocations in several workspaces each has its own cohort."""
+    runs = _token_runs(pending.withColumns({"source_kind": F.lit("skill"), "event": F.lit("skill_invocation"), "source_event_id": F.col("invocation_id"), "source": F.col("skill_name")}), _token_sessions(sessions))
+    c = cohort_statistics(e, sessions, days, min_cohort).join(runs.select("skill_name", "session_id", "project"), ["skill_name", "session_id", "project"], "left_semi")
+    x = pending.drop("project").join(c, ["skill_name", "session_id"]).join(sessions.select("session_id", "tokens"), "session_id").where("tokens is not null")
     return _signal(x, "tokens", F.round(sigmoid_goodness(F.col("tokens"), F.col("middle"), F.col("spread")), 6), F.col("tokens").cast("double"), F.col("n").cast("string"))
 
 
