@@ -114,7 +114,9 @@ def body(c: Column, most: int = 2048) -> Column:
 
 
 def workspace_key(path: Column) -> Column:
-    return F.regexp_replace(path, "/", "-")
+    """The workspace of a path: of a transcript the folder under projects, of any other path its encoded form."""
+    own = F.regexp_extract(path, "(?:^|/)projects/([^/]+)(?:/|$)", 1)
+    return F.when(own != "", own).otherwise(F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "/", "-")))
 
 
 def to_iso(ts: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanline.config import SAFETY_FLOOR, SOURCE_WEIGHTS
 from gleanline.functions.text import lenient_bool, lenient_int, normalize_agent
-from gleanline.operators.filters import quarantine_filter
+from gleanline.operators.filters import in_window, quarantine_filter
 
 #: Sessions other than bootstrap that a recommendation needs to be passed on.
 NON_BOOTSTRAP = 20
@@ -19,6 +19,19 @@ REASONS = (
 SCORED = ("agent_dispatch", "verdict_outcome", "override", "disagreement_override")
 
 
+def _parsed(e: DataFrame) -> DataFrame:
+    """e with its context parsed once, as ctx__; what does not parse is null."""
+    return e.withColumn("ctx__", F.try_parse_json("context"))
+
+
+def _field(name: str) -> Column:
+    return F.try_variant_get("ctx__", f"$.{name}", "string")
+
+
+def _or_unknown(c: Column) -> Column:
+    return F.coalesce(F.when(c != "", c), F.lit("unknown"))
+
+
 def source_weight(c: Column) -> Column:
     out = F.lit(1.0)
     for name, w in SOURCE_WEIGHTS.items():
@@ -34,10 +47,10 @@ def join_session_source(e: DataFrame, s: DataFrame) -> DataFrame:
 
 def _scored(rows: DataFrame, keys: list[str], non_bootstrap: DataFrame) -> DataFrame:
     verdict = F.col("event") == "verdict_outcome"
-    hit = verdict & (F.get_json_object("context", "$.status") == "NEEDS_ATTENTION")
+    hit = verdict & (F.col("status") == "NEEDS_ATTENTION")
     w = source_weight(F.col("session_source"))
     g = rows.groupBy(*keys).agg(
-        F.countDistinct("session_id").alias("evidence_sessions"), F.count_if(verdict).alias("verdicts"), F.sum(F.when(verdict, lenient_int(F.get_json_object("context", "$.findings_count"))).otherwise(0)).alias("findings"),
+        F.countDistinct("session_id").alias("evidence_sessions"), F.count_if(verdict).alias("verdicts"), F.sum(F.when(verdict, lenient_int(F.col("findings_count"))).otherwise(0)).alias("findings"),
         F.count_if(hit).alias("hits"), F.sum(F.when(verdict, w)).alias("w"), F.sum(F.when(hit, w).otherwise(0.0)).alias("wh"),
     )
     g = g.where("evidence_sessions >= 3 and verdicts > 0 and findings > 0").crossJoin(F.broadcast(non_bootstrap))
@@ -56,7 +69,8 @@ def _scored(rows: DataFrame, keys: list[str], non_bootstrap: DataFrame) -> DataF
 
 
 def _rows(e: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = join_session_source(e.where(F.col("event").isin(*SCORED)).where("coalesce(source_kind, 'agent') = 'agent'"), s).withColumn("agent", normalize_agent(F.col("source")))
+    rows = join_session_source(e.where(F.col("event").isin(*SCORED)).where("coalesce(source_kind, 'agent') = 'agent'"), s).withColumn("agent", _or_unknown(normalize_agent(F.col("source"))))
+    rows = _parsed(rows).select("agent", "session_id", "event", "session_source", _field("status").alias("status"), _field("findings_count").alias("findings_count"), F.trim(_field("phase")).alias("phase"))
     return rows, s.where("coalesce(source, 'normal') <> 'bootstrap'").agg(F.count("*").alias("n_normal"))
 
 
@@ -68,7 +82,7 @@ def agent_scores(e: DataFrame, s: DataFrame) -> DataFrame:
 def agent_phase_scores(e: DataFrame, s: DataFrame) -> DataFrame:
     """As agent_scores for each phase that a row's context names."""
     rows, n = _rows(e, s)
-    return _scored(rows.withColumn("phase", F.get_json_object("context", "$.phase")).where("phase <> ''"), ["agent", "phase"], n)
+    return _scored(rows.where("phase <> ''"), ["agent", "phase"], n)
 
 
 def agent_scores_fallback(e: DataFrame, s: DataFrame) -> DataFrame:
@@ -80,68 +94,73 @@ def agent_scores_fallback(e: DataFrame, s: DataFrame) -> DataFrame:
     return x.select("agent", "r.recommended_model", "r.weighted_hit_rate", "from_phase")
 
 
-def _delegations(e: DataFrame, as_of: str) -> DataFrame:
-    def field(name):
-        return F.get_json_object("context", f"$.{name}")
+#: The source whose delegations are reported.
+DELEGATE = "delegate"
+#: Delegations under which no rates are told.
+LEAST_DELEGATIONS = 3
 
-    d = quarantine_filter(e, as_of).where("event = 'delegation_outcome'")
-    return d.select("id", "ts", F.coalesce(field("category"), F.lit("unknown")).alias("category"), field("tier").alias("tier"), field("verdict").alias("verdict"), lenient_bool(field("retry_needed")).alias("retry"), field("duration_s").try_cast("double").alias("duration_s"))
+
+def _delegations(e: DataFrame, source: str) -> DataFrame:
+    """All of the source, in quarantine too."""
+    d = _parsed(e.where("event = 'delegation_outcome'").where(F.col("source") == source))
+    return d.select("id", "ts", F.coalesce(_field("category"), F.lit("unknown")).alias("category"), _field("tier").alias("tier"), _field("verdict").alias("verdict"), lenient_bool(_field("retry_needed")).alias("retry"), _field("duration_s").try_cast("double").alias("duration_s"))
 
 
 def _passed() -> Column:
     return F.coalesce(F.col("verdict").isin("pass", "CLEAN"), F.lit(False))
 
 
-def delegation_overall(e: DataFrame, as_of: str) -> DataFrame:
-    d = _delegations(e, as_of)
-    g = d.agg(F.count("*").alias("total"), F.count_if(_passed()).alias("p"), F.count_if(F.col("retry")).alias("r"))
-    return g.select("total", F.when(F.col("total") > 0, F.round(F.col("p") / F.col("total"), 6)).alias("pass_rate"), F.when(F.col("total") > 0, F.round(F.col("r") / F.col("total"), 6)).alias("retry_rate"), (F.col("total") >= 3).alias("sufficient"))
+def delegation_overall(e: DataFrame, source: str = DELEGATE) -> DataFrame:
+    g = _delegations(e, source).agg(F.count("*").alias("total"), F.count_if(_passed()).alias("p"), F.count_if(F.col("retry")).alias("r"))
+    enough = F.col("total") >= LEAST_DELEGATIONS
+    return g.select("total", F.when(enough, F.round(F.col("p") / F.col("total"), 6)).alias("pass_rate"), F.when(enough, F.round(F.col("r") / F.col("total"), 6)).alias("retry_rate"), enough.alias("sufficient"))
 
 
-def delegation_by_category(e: DataFrame, as_of: str) -> DataFrame:
-    """A missing duration counts as 0; attention where under 70 % pass."""
-    g = _delegations(e, as_of).groupBy("category").agg(F.count("*").alias("count"), F.count_if(_passed()).alias("p"), F.sum(F.coalesce("duration_s", F.lit(0.0))).alias("d"))
+def delegation_by_category(e: DataFrame, source: str = DELEGATE) -> DataFrame:
+    """A missing duration counts as 0; attention where under 70 % pass. No row while there are too few delegations in all."""
+    g = _delegations(e, source).groupBy("category").agg(F.count("*").alias("count"), F.count_if(_passed()).alias("p"), F.sum(F.coalesce("duration_s", F.lit(0.0))).alias("d"))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("count").alias("total")))).where(F.col("total") >= LEAST_DELEGATIONS)  # one row
     return g.select("category", "count", F.round(F.col("p") / F.col("count"), 6).alias("pass_rate"), F.floor(F.col("d") / F.col("count") + 0.5).cast("long").alias("avg_duration_s"), (F.col("p") / F.col("count") < 0.7).alias("attention"))
 
 
-def delegation_status(e: DataFrame, as_of: str) -> DataFrame:
+def delegation_status(e: DataFrame, source: str = DELEGATE) -> DataFrame:
     """Missing durations are left out here; attention needs three delegations."""
-    g = _delegations(e, as_of).groupBy("category").agg(F.count("*").alias("count"), F.count_if(_passed()).alias("p"), F.avg("duration_s").alias("d"))
+    g = _delegations(e, source).groupBy("category").agg(F.count("*").alias("count"), F.count_if(_passed()).alias("p"), F.avg("duration_s").alias("d"))
     pct = F.floor(100 * F.col("p") / F.col("count") + 0.5).cast("long")
-    return g.select("category", "count", pct.alias("pass_pct"), F.round("d", 6).alias("avg_duration_s"), ((pct < 70) & (F.col("count") >= 3)).alias("attention"))
-
+    return g.select("category", "count", pct.alias("pass_pct"), F.round("d", 6).alias("avg_duration_s"), ((100 * F.col("p") / F.col("count") < 70) & (F.col("count") >= 3)).alias("attention"))
 
-def delegation_recent(e: DataFrame, as_of: str, n: int = 5) -> DataFrame:
-    return _delegations(e, as_of).orderBy(F.desc("ts"), F.desc("id")).limit(n).select("ts", "category", "tier", "verdict", "duration_s")
 
+def delegation_recent(e: DataFrame, n: int = 5, source: str = DELEGATE) -> DataFrame:
+    return _delegations(e, source).orderBy(F.desc("ts"), F.desc("id")).limit(n).select("ts", "category", "tier", "verdict", "duration_s")
 
-def plan_execution_cells(e: DataFrame, as_of: str, min_n: int = 5) -> DataFrame:
-    """Weighted pass rate by author, executor and validator, and over all (nulls), in one grouping-sets pass."""
-    def field(name):
-        return F.get_json_object("context", f"$.{name}")
 
-    p = quarantine_filter(e, as_of).where("event = 'plan_execution_outcome'").select(
-        F.coalesce(field("author_model"), F.lit("unknown")).alias("author"), F.coalesce(field("executor_model"), F.lit("unknown")).alias("executor"), F.coalesce(field("validator_model"), F.lit("none")).alias("validator"),
-        lenient_bool(field("pass")).alias("pass"), (lenient_int(field("escalation_count")) > 0).alias("esc"), source_weight(F.coalesce(field("session_source"), F.lit("normal"))).alias("w"),
+def plan_execution_cells(e: DataFrame, as_of: str, min_n: int = 5, days: int = 180) -> DataFrame:
+    """Weighted pass rate by author, executor and validator of the retention's days, and over all (nulls), in one grouping-sets pass."""
+    own = quarantine_filter(e, as_of).where("event = 'plan_execution_outcome'").where(in_window(days, as_of))
+    p = _parsed(own).select(
+        *(_or_unknown(_field(f"{k}_model")).alias(k) for k in ("author", "executor", "validator")),
+        lenient_bool(_field("pass")).alias("pass"), (lenient_int(_field("escalation_count")) > 0).alias("esc"), source_weight(F.coalesce(_field("session_source"), F.lit("normal"))).alias("w"),
     )
     g = p.groupingSets([["author", "executor", "validator"], []], "author", "executor", "validator").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.when(F.col("pass"), F.col("w")).otherwise(0.0)).alias("wp"), F.count_if("esc").alias("escalated"))
     return g.select("author", "executor", "validator", "n", F.round(F.col("wp") / F.col("w"), 6).alias("weighted_pass_rate"), "escalated", (F.col("n") >= min_n).alias("sufficient"))
 
 
 def review_phase_calibration(e: DataFrame, as_of: str, min_n: int = 3) -> DataFrame:
+    """By phase and complexity; one that is missing or 0 is a group of its own, told as complexity 3."""
     def number(name):
-        return F.get_json_object("context", f"$.{name}").try_cast("double")
+        return _field(name).try_cast("double")
 
-    r = quarantine_filter(e, as_of).where("event = 'review_phase_outcome'").select(F.get_json_object("context", "$.phase").alias("phase"), F.coalesce(number("complexity").cast("long"), F.lit(3)).alias("complexity"), number("p0").alias("p0"), number("p1").alias("p1"), number("agents").alias("agents"))
-    g = r.where("phase is not null").groupBy("phase", "complexity").agg(F.count("*").alias("total_reviews"), F.count_if(F.coalesce("p0", F.lit(0)) + F.coalesce("p1", F.lit(0)) > 0).alias("bad"), F.avg(F.coalesce("agents", F.lit(0.0))).alias("avg_agents")).where(F.col("total_reviews") >= min_n)
+    r = _parsed(quarantine_filter(e, as_of).where("event = 'review_phase_outcome'")).select(_field("phase").alias("phase"), number("complexity").cast("long").alias("complexity"), number("p0").alias("p0"), number("p1").alias("p1"), number("agents").alias("agents"))
+    g = r.groupBy("phase", "complexity").agg(F.count("*").alias("total_reviews"), F.count_if(F.coalesce("p0", F.lit(0)) + F.coalesce("p1", F.lit(0)) > 0).alias("bad"), F.avg(F.coalesce("agents", F.lit(0.0))).alias("avg_agents")).where(F.col("total_reviews") >= min_n)
     rate = F.col("bad") / F.col("total_reviews")
-    return g.select("phase", "complexity", "total_reviews", F.round(rate, 6).alias("p0p1_rate"), F.round("avg_agents", 6).alias("avg_agents"), F.when(rate < 0.05, "skip").when(rate < 0.15, "lighten").otherwise("full").alias("action"))
+    told = F.coalesce(F.when(F.col("complexity") != 0, F.col("complexity")), F.lit(3))
+    return g.select("phase", told.cast("long").alias("complexity"), "total_reviews", F.round(rate, 6).alias("p0p1_rate"), F.round("avg_agents", 6).alias("avg_agents"), F.when(rate < 0.05, "skip").when(rate < 0.15, "lighten").otherwise("full").alias("action"))
 
 
 def review_ready(e: DataFrame, as_of: str, n: int = 20) -> DataFrame:
     """The least count over three phases, 0 for one that is missing."""
-    phase = F.get_json_object("context", "$.phase")
-    g = quarantine_filter(e, as_of).where("event = 'review_phase_outcome'").agg(*(F.count_if(phase == p).alias(p) for p in ("brainstorm", "strategy", "plan")))
+    phase = _field("phase")
+    g = _parsed(quarantine_filter(e, as_of).where("event = 'review_phase_outcome'")).agg(*(F.count_if(phase == p).alias(p) for p in ("brainstorm", "strategy", "plan")))
     return g.select(F.least("brainstorm", "strategy", "plan").alias("count")).withColumn("ready", F.col("count") >= n)
 
 

@@ -16,8 +16,8 @@ def snapshot_as_of(history: DataFrame, as_of: str, min_age_days: int = 90) -> Da
 
 
 def rank_agents(calibration: DataFrame) -> DataFrame:
-    """Ranks by weighted hit rate, equal ones by name. A row an agent: the roster is small and bounded by its names."""
-    return calibration.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.coalesce("weighted_hit_rate", "hit_rate")), "agent")).cast("long"))
+    """Ranks by weighted hit rate, equal ones by name; agents without any rate have none. A row an agent: the roster is small and bounded by its names."""
+    return calibration.where(F.coalesce("weighted_hit_rate", "hit_rate").isNotNull()).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.coalesce("weighted_hit_rate", "hit_rate")), "agent")).cast("long"))
 
 
 def shared_agents(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -39,20 +39,22 @@ def drift_audit(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     return d.withColumn("severity", F.when(high, "high").when((F.col("delta_hit_rate") != 0) | (F.col("delta_rank") != 0), "low").otherwise("none"))
 
 
-def drift_verdict(current: DataFrame, snapshot: DataFrame) -> DataFrame:
+def drift_verdict(current: DataFrame, snapshot: DataFrame, min_correlation: float = 0.7) -> DataFrame:
+    """DRIFT if an agent moved much or ranks agree too little; BOOTSTRAP if fewer than two agents can be compared."""
     a = drift_audit(current, snapshot).agg(F.count("*").alias("n"), F.sum(F.col("delta_rank") * F.col("delta_rank")).alias("d2"), F.count_if(F.col("severity") == "high").alias("high"))
     rho = F.when(F.col("n") >= 2, F.round(1 - 6 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1)), 6))
-    return a.select("n", rho.alias("correlation"), F.when(F.col("n") == 0, "BOOTSTRAP").when(F.col("high") > 0, "DRIFT").otherwise("STABLE").alias("verdict"))
+    return a.select("n", rho.alias("correlation"), F.when(rho.isNull(), "BOOTSTRAP").when((rho < min_correlation) | (F.col("high") > 0), "DRIFT").otherwise("STABLE").alias("verdict"))
 
 
 def consensus_trend(e: DataFrame, g: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """One point: agreement, diversity of sources in a session, share of failed signals. Each part is a single row."""
-    own = e.where("source_kind = 'agent'").where(in_window(days, as_of))
-    a = own.agg(F.count("*").alias("evidence_n"), F.count_if(F.col("event") == "override").alias("o"), F.countDistinct("source").alias("sources"))
+    """One point: agreement of agents' rows (those without a reason to override), diversity of all sources in a session, share of failed signals. Each part is a single row."""
+    own = e.where(in_window(days, as_of))
+    agent = F.col("source_kind") == "agent"
+    a = own.agg(F.count("*").alias("evidence_n"), F.count_if(agent).alias("agents"), F.count_if(agent & (F.coalesce("override_reason", F.lit("")) != "")).alias("o"), F.countDistinct("source").alias("sources"))
     s = own.groupBy("session_id").agg(F.countDistinct("source").alias("k")).agg(F.avg("k").alias("k"))
     r = g.where("signal_kind = 'error'").where(in_window(days, as_of, "observed_at")).agg(F.avg("value").alias("err"))
     x = a.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(r))
     return x.select(
-        quarter_label(at(as_of)).alias("cycle"), F.when(F.col("evidence_n") > 0, F.round(1 - F.col("o") / F.col("evidence_n"), 6)).alias("agreement_rate"), F.when(F.col("sources") > 0, F.round(F.col("k") / F.col("sources"), 6)).alias("output_diversity"),
+        quarter_label(at(as_of)).alias("cycle"), F.when(F.col("agents") > 0, F.round(1 - F.col("o") / F.col("agents"), 6)).alias("agreement_rate"), F.when(F.col("sources") > 0, F.round(F.col("k") / F.col("sources"), 6)).alias("output_diversity"),
         F.round(1 - F.col("err"), 6).alias("defect_escape_rate"), "evidence_n",
     )

@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanline.config import DEFAULT, WRONG_REASONS, Thresholds
+from gleanline.config import DEFAULT, OVERRIDE_EVENTS, WRONG_REASONS, Thresholds
 from gleanline.functions.text import at, normalize_agent
 
 METRICS = ("override_rate", "fp_rate", "finding_density")
 
 
-def _agent_sessions(e: DataFrame, s: DataFrame) -> DataFrame:
+def _agent_sessions(e: DataFrame, s: DataFrame, project: bool = False) -> DataFrame:
     """One row for each agent and session: events, overrides and wrong ones, before any join with canaries."""
-    o = F.col("event") == "override"
+    o = F.col("event").isin(*OVERRIDE_EVENTS)
     g = e.groupBy(normalize_agent(F.col("source")).alias("agent"), "session_id").agg(F.count("*").alias("events"), F.count_if(o).alias("overrides"), F.count_if(o & F.col("override_reason").isin(*WRONG_REASONS)).alias("wrong"))
-    return g.join(s.select("session_id", "start_ts"), "session_id")
+    return g.join(s.select("session_id", "start_ts", *(["project"] if project else [])), "session_id")
 
 
 def join_agent_sessions(s: DataFrame, e: DataFrame, agent: str) -> DataFrame:
     return s.join(e.where(normalize_agent(F.col("source")) == agent), "session_id", "left_semi")
 
 
-def last_n_sessions(c: DataFrame, e: DataFrame, s: DataFrame, n: int = 20) -> DataFrame:
-    """The last n sessions with evidence of the canary's agent before it was applied."""
+def last_n_sessions(c: DataFrame, e: DataFrame, s: DataFrame, n: int = 20, by_project: bool = False) -> DataFrame:
+    """The last n sessions with evidence of the canary's agent before it was applied; by_project: of the canary's project, where it has one."""
     w = Window.partitionBy("canary_id").orderBy(F.desc("start_ts"), F.desc("session_id"))
-    own = F.broadcast(c.select(F.col("id").alias("canary_id"), F.col("group_id").alias("agent"), "applied_at"))  # a row a change: bounded by the rate limit
-    x = _agent_sessions(e, s).join(own, "agent").where("start_ts < applied_at")
+    of = [F.col("project").alias("of_project")] if by_project else []
+    own = c.select(F.col("id").alias("canary_id"), F.col("group_id").alias("agent"), "applied_at", *of)
+    x = _agent_sessions(e, s, by_project).join(own, "agent").where("start_ts < applied_at")
+    if by_project:
+        x = x.where("of_project is null or of_project = '' or of_project = project").drop("of_project", "project")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def canary_baseline(c: DataFrame, e: DataFrame, s: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """Rates over the last sessions; none for a canary with too few of them."""
-    g = last_n_sessions(c, e, s, cfg.window_sessions).groupBy("canary_id").agg(
-        F.count("*").alias("session_count"), F.sum("overrides").alias("o"), F.sum("wrong").alias("w"), F.sum("events").alias("ev"), F.min("start_ts").alias("window_start"), F.max("start_ts").alias("window_end"),
+def canary_baseline(c: DataFrame, e: DataFrame, s: DataFrame, cfg: Thresholds = DEFAULT, by_project: bool = False) -> DataFrame:
+    """Rates over the last sessions, up to the change; none for a canary with too few of them."""
+    g = last_n_sessions(c, e, s, cfg.window_sessions, by_project).join(c.select(F.col("id").alias("canary_id"), F.col("applied_at").alias("window_end")), "canary_id").groupBy("canary_id", "window_end").agg(
+        F.count("*").alias("session_count"), F.sum("overrides").alias("o"), F.sum("wrong").alias("w"), F.sum("events").alias("ev"), F.min("start_ts").alias("window_start"),
     ).where(F.col("session_count") >= cfg.baseline_sessions)
     return g.select("canary_id", "session_count", F.round(F.col("o") / F.col("session_count"), 6).alias("override_rate"), F.round(F.when(F.col("o") > 0, F.col("w") / F.col("o")).otherwise(0.0), 6).alias("fp_rate"), F.round(F.col("ev") / F.col("session_count"), 6).alias("finding_density"), "window_start", "window_end")
 
@@ -45,7 +48,7 @@ def create_canary(c: DataFrame, baseline: DataFrame, cfg: Thresholds = DEFAULT)
 
 def canary_samples(c: DataFrame, e: DataFrame, s: DataFrame) -> DataFrame:
     """A row for each active canary and later session with evidence of its agent."""
-    own = F.broadcast(c.where("status = 'active'").select(F.col("id").alias("canary_id"), F.col("group_id").alias("agent"), "applied_at"))
+    own = c.where("status = 'active'").select(F.col("id").alias("canary_id"), F.col("group_id").alias("agent"), "applied_at")
     x = _agent_sessions(e, s).join(own, "agent").where("start_ts >= applied_at")
     return x.select("canary_id", "session_id", F.col("overrides").cast("double").alias("override_rate"), F.round(F.when(F.col("overrides") > 0, F.col("wrong") / F.col("overrides")).otherwise(0.0), 6).alias("fp_rate"), F.col("events").cast("double").alias("finding_density"))
 
@@ -91,7 +94,7 @@ def canary_overlap(c: DataFrame, agents: DataFrame) -> DataFrame:
 
 def skill_canary_samples(m: DataFrame, g: DataFrame, baseline: DataFrame) -> DataFrame:
     """m (modification_id, skill_name, applied_at): signals after the change against the skill's mean before it."""
-    x = g.join(F.broadcast(m), "skill_name").where("observed_at > applied_at").join(baseline.select("skill_name", "signal_kind", F.col("mean").alias("baseline_value")), ["skill_name", "signal_kind"])
+    x = g.join(m, "skill_name").where("observed_at > applied_at").join(baseline.select("skill_name", "signal_kind", F.col("mean").alias("baseline_value")), ["skill_name", "signal_kind"])
     return x.select("modification_id", "skill_name", "invocation_id", "signal_kind", "baseline_value", F.col("value").alias("canary_value"), F.round(F.col("value") - F.col("baseline_value"), 6).alias("delta")).dropDuplicates(["modification_id", "invocation_id", "signal_kind"])
 
 

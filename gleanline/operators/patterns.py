@@ -77,9 +77,9 @@ def overlay_candidates(e: DataFrame, overrides: DataFrame, as_of: str, cfg: Thre
 
 
 def override_confidence(e: DataFrame) -> DataFrame:
-    """agent_wrong over all overrides of an agent under any of its names; 1 without overrides."""
+    """Share of an agent's overrides, under any of its names, that say it was wrong; 1 without overrides."""
     own = source_kind_filter(e)
-    o = own.groupBy(normalize_agent(F.col("source")).alias("agent")).agg(F.count_if(F.col("event") == "override").alias("total"), F.count_if((F.col("event") == "override") & (F.col("override_reason") == "agent_wrong")).alias("wrong"))
+    o = own.groupBy(normalize_agent(F.col("source")).alias("agent")).agg(F.count_if(F.col("event").isin(*OVERRIDE_EVENTS)).alias("total"), F.count_if(F.col("event").isin(*OVERRIDE_EVENTS) & F.col("override_reason").isin(*WRONG_REASONS)).alias("wrong"))
     return o.withColumn("confidence", F.when(F.col("total") > 0, F.round(F.col("wrong") / F.col("total"), 6)).otherwise(1.0))
 
 

@@ -107,13 +107,13 @@ def effectiveness_trend(e: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def effectiveness_summary(e: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Rates of the two windows and their relative change in whole percent toward zero."""
+    """Rates of the two windows (a window without dispatches is divided by one) and their relative change in whole percent toward zero; none if the prior rate is 0."""
     own = e.where(F.col("source").like("fd-%"))
     def c(event, back):
         return F.count_if((F.col("event") == event) & in_window(days, as_of, back=back))
 
     a = own.agg(c("override", 0).alias("c0"), c("agent_dispatch", 0).alias("d0"), c("override", days).alias("c1"), c("agent_dispatch", days).alias("d1"))
-    a = a.select(F.when(F.col("d0") > 0, F.round(100 * F.col("c0") / F.col("d0"), 6)).alias("current_rate"), F.when(F.col("d1") > 0, F.round(100 * F.col("c1") / F.col("d1"), 6)).alias("prior_rate"))
+    a = a.select(F.round(100 * F.col("c0") / F.greatest("d0", F.lit(1)), 6).alias("current_rate"), F.round(100 * F.col("c1") / F.greatest("d1", F.lit(1)), 6).alias("prior_rate"))
     x = 100 * (F.col("current_rate") - F.col("prior_rate")) / F.when(F.col("prior_rate") != 0, F.col("prior_rate"))
     a = a.withColumn("change_pct", F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"))
     return a.withColumn("label", F.when(F.col("change_pct").isNull(), "stable").when(F.col("change_pct") < 0, "improving").when(F.col("change_pct") > 5, "declining").otherwise("stable"))
@@ -192,8 +192,11 @@ def tool_recurrence(e: DataFrame, applied: DataFrame) -> DataFrame:
     return applied.join(t, "source", "left").groupBy("source", "applied_at").agg(F.count_if(F.col("ts") > F.col("applied_at")).alias("recurrences"))
 
 
-def override_summary(o: DataFrame) -> DataFrame:
+def override_summary(o: DataFrame, canary: DataFrame | None = None) -> DataFrame:
+    """Exclusions and proposals with their agents, and the agents whose canary is on alert."""
     def names(action):
         return F.array_join(F.sort_array(F.collect_set(F.when(F.col("action") == action, F.col("agent")))), ", ")
 
-    return o.agg(F.count_if(F.col("action") == "exclude").alias("excluded"), names("exclude").alias("excluded_agents"), F.count_if(F.col("action") == "propose").alias("proposed"), names("propose").alias("proposed_agents"))
+    alerts = (o.select(F.col("agent").alias("group_id"), F.lit("").alias("status")).limit(0) if canary is None else canary).where("status = 'alert'")
+    alerts = alerts.agg(F.count("*").alias("alerts"), F.array_join(F.sort_array(F.collect_set("group_id")), ", ").alias("alert_agents"))
+    return o.agg(F.count_if(F.col("action") == "exclude").alias("excluded"), names("exclude").alias("excluded_agents"), F.count_if(F.col("action") == "propose").alias("proposed"), names("propose").alias("proposed_agents")).crossJoin(F.broadcast(alerts))  # one row each

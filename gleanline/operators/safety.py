@@ -108,3 +108,13 @@ def prune(e: DataFrame, event: str, as_of: str, days: int = 180) -> DataFrame:
 def reset_scope(tables: dict[str, DataFrame], scope: str) -> dict[str, DataFrame]:
     """The tables with those of the scope (or all but sessions) emptied."""
     return {n: df.limit(0) if n != "sessions" and scope in (n, "all") else df for n, df in tables.items()}
+
+
+def counts_after_reset(tables: dict[str, DataFrame], scope: str) -> DataFrame:
+    """(name, before, after): how many rows each table has, and would have after the reset."""
+    out = None
+    for n, df in reset_scope(tables, scope).items():
+        same = df is tables[n]
+        own = tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("before")).withColumn("after", F.col("before") if same else F.lit(0).cast("long"))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -224,12 +224,14 @@ def skill_baseline(g: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return skill_signal_means(g, as_of, days).groupBy("skill_name").pivot("signal_kind", [k for k, _, _ in GOAL_WEIGHTS]).agg(F.first("mean"))
 
 
-def skill_invocations(e: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    return invocations(e).where(in_window(days, as_of)).groupBy("skill_name").agg(F.countDistinct("invocation_id").alias("invocations"))
+def skill_invocations(g: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Invocations that have a signal in the window."""
+    return g.where(in_window(days, as_of, "observed_at")).groupBy("skill_name").agg(F.countDistinct("invocation_id").alias("invocations"))
 
 
 def qualifying_skills(e: DataFrame, as_of: str, days: int = 30, min_n: int = 10) -> DataFrame:
-    return skill_invocations(e, as_of, days).where(F.col("invocations") >= min_n)
+    n = invocations(e).where(in_window(days, as_of)).groupBy("skill_name").agg(F.countDistinct("invocation_id").alias("invocations"))
+    return n.where(F.col("invocations") >= min_n)
 
 
 def recency_means(g: DataFrame, as_of: str, half_life: float = 14.0, days: int | None = 30) -> DataFrame:
@@ -282,8 +284,8 @@ def score_delta(now: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def observed_mix(g: DataFrame, min_signals: int = 20) -> DataFrame:
-    """Share of each goal in the sum of a skill's signals, for skills with enough of them."""
-    x = g.join(_weights(g), "signal_kind").groupBy("skill_name").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("goal") == k, F.col("value")).otherwise(0.0)).alias(k) for k in GOALS))
+    """Share of each goal in the sum of a skill's signals, for skills with enough of them; signals of no goal count as signals too."""
+    x = g.join(_weights(g), "signal_kind", "left").groupBy("skill_name").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("goal") == k, F.col("value")).otherwise(0.0)).alias(k) for k in GOALS))
     total = F.col("speed") + F.col("precision") + F.col("completeness")
     return x.where((F.col("n") >= min_signals) & (total > 0)).select("skill_name", "n", *((F.col(k) / total).alias(k) for k in GOALS))
 
@@ -306,15 +308,15 @@ def reclassify_incremental(docs: DataFrame, goals: DataFrame, force: bool = Fals
     return d.withColumn("g", goal_bucket(F.col("text"))).select("skill_name", "g.speed", "g.precision", "g.completeness", "doc_hash", F.col("g.bucket").alias("classified_from"))
 
 
-def select_skill_action(g: DataFrame, e: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+def select_skill_action(g: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """The greatest deficit in tie order error, no_redirect, tokens decides; below 0.2 the number of invocations does."""
     b = skill_baseline(g, as_of, days)
     d = {k: 1 - F.coalesce(F.col(k), F.lit(1.0)) for k in ("error", "no_redirect", "tokens")}
-    x = skill_invocations(e, as_of, days).join(b, "skill_name", "left")
+    x = skill_invocations(g, as_of, days).join(b, "skill_name", "left")
     top = F.greatest(*d.values())
     action = F.when(top >= 0.2, F.when(d["error"] == top, "skill_md_body_rewrite").when(d["no_redirect"] == top, "tighten_description").otherwise("when_to_use_add")).when(F.col("invocations") < 10, "availability").otherwise("tighten_description")
     return x.select("skill_name", "invocations", F.round(top, 6).alias("deficit"), action.alias("action"))
 
 
-def tune_candidates(g: DataFrame, e: DataFrame, proposed: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    return select_skill_action(g, e, as_of, days).where("invocations >= 10 and deficit >= 0.2").join(proposed.select("skill_name"), "skill_name", "left_anti")
+def tune_candidates(g: DataFrame, proposed: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    return select_skill_action(g, as_of, days).where("invocations >= 10 and deficit >= 0.2").join(proposed.select("skill_name"), "skill_name", "left_anti")

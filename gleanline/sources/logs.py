@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.functions.text import invocation_hash
@@ -69,6 +69,10 @@ def kernel_events(bus: DataFrame, after_id: int, limit: int | None = None) -> Da
 REASONS = {"agent_wrong": "agent_wrong", "deprioritized": "deprioritized", "already_fixed": "stale_finding", "not_applicable": "not_applicable"}
 
 
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def disagreements(reviews: DataFrame) -> DataFrame:
     """A row for each agent whose severity was not the chosen one; reviews without finding, resolution or severity give none.
 
@@ -77,20 +81,26 @@ def disagreements(reviews: DataFrame) -> DataFrame:
     """
     whole = F.lit(True)
     for c in ("finding_id", "resolution", "chosen_severity"):
-        whole = whole & (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+        whole = whole & (_text(c) != "")
     x = reviews.where("coalesce(event_type, '') <> 'execution_defect'").where(whole)
-    x = x.select("id", "ts", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), "chosen_severity", "resolution", "impact", "dismissal_reason", F.explode(F.from_json("agents_json", "map<string,string>")).alias("source", "severity"))
+    x = x.select("id", "ts", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), "finding_id", "chosen_severity", "resolution", "impact", "dismissal_reason", F.explode(F.from_json("agents_json", "map<string,string>")).alias("source", "severity"))
     raised = (F.coalesce("dismissal_reason", F.lit("")) == "") & (F.col("resolution") == "accepted") & (F.col("impact") == "severity_overridden")
     reason = F.when(raised, "severity_miscalibrated").otherwise("")
     for k, v in REASONS.items():
         reason = F.when(F.col("dismissal_reason") == k, v).otherwise(reason)
-    return x.where(~F.col("severity").eqNullSafe(F.col("chosen_severity"))).select("id", "ts", "session_id", "source", F.lit("disagreement_override").alias("event"), reason.alias("override_reason"), F.col("dismissal_reason").alias("raw_override_reason"))
+    context = F.to_json(F.struct(*(_text(c).alias(n) for c, n in (("finding_id", "finding_id"), ("severity", "agent_severity"), ("chosen_severity", "chosen_severity"), ("resolution", "resolution"), ("impact", "impact"), ("dismissal_reason", "dismissal_reason")))))
+    return x.where(~F.col("severity").eqNullSafe(F.col("chosen_severity"))).select("id", "ts", "session_id", "source", F.lit("disagreement_override").alias("event"), reason.alias("override_reason"), context.alias("context"), F.col("dismissal_reason").alias("raw_override_reason"))
 
 
 def execution_defects(reviews: DataFrame) -> DataFrame:
-    """A row for the target agent, or the first by name."""
-    first = F.element_at(F.sort_array(F.map_keys(F.from_json("agents_json", "map<string,string>"))), 1)
-    return reviews.where("event_type = 'execution_defect'").select("id", "ts", "session_id", F.coalesce("target_agent", first).alias("source"), F.lit("execution_defect").alias("event"), F.lit("").alias("override_reason"), F.col("dismissal_reason").alias("raw_override_reason"))
+    """A row for the agent that a review's agents name as target, or else the first of them by name; reviews without finding, resolution or target give none."""
+    x = reviews.where("event_type = 'execution_defect'").where((_text("finding_id") != "") & (_text("resolution") != ""))
+    x = x.withColumn("a__", F.from_json("agents_json", "map<string,string>"))
+    named = F.col("a__")["target"]
+    target = F.coalesce(F.when(named != "", named), F.try_element_at(F.sort_array(F.map_keys("a__")), F.lit(1)))
+    x = x.withColumn("target__", target).where("target__ <> ''")
+    context = F.to_json(F.struct(_text("finding_id").alias("finding_id"), F.coalesce(F.col("a__")["reporter"], F.lit("")).alias("reporter"), F.col("target__").alias("target"), _text("chosen_severity").alias("severity"), _text("resolution").alias("resolution"), _text("impact").alias("impact")))
+    return x.select("id", "ts", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), F.col("target__").alias("source"), F.lit("execution_defect").alias("event"), F.lit("").alias("override_reason"), context.alias("context"), F.lit("").alias("raw_override_reason"))
 
 
 def review_evidence(reviews: DataFrame, after_id: int) -> DataFrame:

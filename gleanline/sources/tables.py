@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanline.functions.text import rejected, sanitize
 from gleanline.operators.filters import epoch, hook_allowlist
+from gleanline.sources.versions import VersionedTable
 
 
 def session_seq(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -38,6 +39,11 @@ def upsert(df: DataFrame, target: DataFrame, keys: list[str], order: str) -> Dat
     return both.withColumn("rank__", F.row_number().over(w)).where("rank__ = 1").drop("rank__", "new__")
 
 
+def upsert_into(table: VersionedTable, new: DataFrame, keys: list[str], order: str) -> int:
+    """The table's newest version with the last row of each key, as a version of its own; made anew where another writer came before."""
+    return table.update(lambda now: upsert(new, now if now is not None else new.limit(0), keys, order))
+
+
 def append_snapshot(df: DataFrame, path: str, calibrated_at: str) -> None:
     """A partition for each calibration; writing one again replaces it."""
     df.withColumn("calibrated_at", F.lit(calibrated_at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calibrated_at").parquet(path)
