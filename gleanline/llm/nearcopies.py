@@ -33,6 +33,8 @@ COMMON, COMMON_AT_MOST = 3, 200_000
 LEADERS, MET_MOST = 4, 3
 #: Turns in which crowded keys meet leaders, of which there are twice LEADERS in the first and twice as many in each further one.
 TURNS = 5
+#: Others outside its key's main component that a point has on the average, up to which the last turn follows at once.
+CROWDED = 16
 #: Fewest bits of the parities by which pairs that are not alike are told without their sets; larger sets have more.
 PARITIES = 1024
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
@@ -256,7 +258,7 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
 
     Equal sets count as one text. A bucket may hold a large group of copies, and pairing it would be quadratic. So
     candidates come in turns, and what is in one component by then is not compared any more: first those of SimHash and
-    of the buckets' least changed texts; then, as long as a key has many points outside its main component, all its points
+    of the buckets' least changed texts; then, as long as points have many others to meet, those of crowded keys
     with a few leaders, twice as many each turn; then, of the keys where different components still meet, all pairs
     that sizes and places allow. Only the last turn is needed to miss nothing; the others make it small.
     """
@@ -275,9 +277,10 @@ def near_copy_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, l
     mixed, mixed_at = _mixed(_with_component(points, good))
     for turn in range(TURNS):
         many = 2 * leaders << turn
-        crowded = mixed.where(F.col("outside") > 2 * many)
-        if crowded.isEmpty():
+        load = mixed.agg(F.count("*").alias("points"), F.sum("outside").alias("pairs")).first()
+        if not load["points"] or load["pairs"] <= CROWDED * load["points"]:
             break
+        crowded = mixed.where(F.col("outside") > 2 * many)
         good = keep(good.union(_alike(_turn_pairs(crowded, similarity, many, turn), marks, texts, k, similarity)).distinct())
         before = mixed_at
         mixed, mixed_at = _mixed(_with_component(mixed.drop("main", "outside", "comp"), good))
