@@ -34,7 +34,7 @@ LEADERS, MET_MOST = 4, 3
 #: Turns in which crowded keys meet leaders, of which there are twice LEADERS in the first and twice as many in each further one.
 TURNS = 5
 #: Others outside its key's main component that a point has on the average, up to which the last turn follows at once.
-CROWDED = 16
+CROWDED = 64
 #: Fewest bits of the parities by which pairs that are not alike are told without their sets; larger sets have more.
 PARITIES = 1024
 #: Up to so many ids (16 bytes each) are broadcast to find their texts; more are shuffled with them.
