@@ -22,6 +22,8 @@ PLACES = 1 << 13
 PER_LANGUAGE = 600
 #: Texts learned from at most: what the driver holds, however many languages there are.
 MOST_TEXTS = 6000
+#: Letters of all of them together, and of one, at most; fewer texts are taken if they are longer.
+SAMPLE_LETTERS, LONGEST_LETTERS = 20_000_000, 1_000_000
 CENTROIDS = 4
 #: Code points handled at a time.
 BLOCK = 1 << 19
@@ -145,11 +147,13 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if it has fewer, and fewer where there are so many languages that these were over MOST_TEXTS. Repeated rows teach
     once, rows without text or language nothing.
     """
-    taught = docs.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "text", "lang")
-    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_TEXTS).collect()
-    if not counts:
+    taught = docs.where("lang is not null and text is not null").where(F.length("text") <= LONGEST_LETTERS).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "text", "lang")
+    found = taught.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("letters")).orderBy(F.desc("count"), "lang").limit(MOST_TEXTS).collect()
+    if not found:
         return fit([], [])
-    per_language = min(per_language, max(1, MOST_TEXTS // len(counts)))
+    counts = [(r["lang"], r["count"]) for r in found]
+    mean = sum(r["letters"] for r in found) / sum(r["count"] for r in found)
+    per_language = min(per_language, max(1, min(MOST_TEXTS, int(SAMPLE_LETTERS / max(mean, 1.0))) // len(counts)))
     share = [(lang, min(1.0, per_language / n)) for lang, n in counts]
     rate = F.create_map(*(F.lit(x) for pair in share for x in pair))[F.col("lang")]
     rows = bounded_sample(taught.select("doc_id", "text", "lang"), rate, 2 * per_language * len(counts)).collect()

@@ -3,7 +3,8 @@
 Read et al., "Classifier Chains for Multi-label Classification" (2011): the categories are predicted one after the
 other by linear models, each of which also sees the probabilities of the categories before it. For training these
 are out-of-fold predictions, so that a later model meets earlier ones as unsure as they will be. Features are the
-presence of words, weighted by their naive Bayes log-count ratio (Wang & Manning, 2012).
+presence of words and steps of how a text is written (repetition, marks, lengths: quality.py), weighted by their naive
+Bayes log-count ratio (Wang & Manning, 2012).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.llm.common import bounded_sample, free_name, table
+from gleanline.llm.quality import NAMES, describe
 
 #: The chain, in order: a name and the SQL of its 0/1 label over the columns of labels.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -28,6 +30,10 @@ LEAST_TEXTS = 4
 LEAST_Z = 3.0
 FOLDS = 3
 THRESHOLD = 0.5
+#: Where a feature of writing has a step: quantiles of the sample.
+QUANTILES = (0.01, 0.03, 0.1, 0.25, 0.5, 0.75, 0.9, 0.97, 0.99)
+#: Letters of all the sample's texts together, and of one of them, at most: what the driver holds. Fewer texts are taken if they are longer.
+SAMPLE_LETTERS, LONGEST_LETTERS = 40_000_000, 1_000_000
 #: Words remembered in a task.
 REMEMBERED = 300_000
 
@@ -37,8 +43,14 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 @dataclass
 class Model:
     vocabulary: dict[str, int]
+    edges: list[np.ndarray]  # the steps of each feature of writing
     names: list[str]
-    weights: list[np.ndarray]  # of the words, then of the earlier categories, then the constant
+    weights: list[np.ndarray]  # of the words, the steps, the earlier categories, then the constant
+
+    @property
+    def size(self) -> int:
+        """Words and steps."""
+        return len(self.vocabulary) + sum(map(len, self.edges))
 
 
 def word(chunk: str) -> str:
@@ -58,23 +70,25 @@ class _Memory(dict):
         return at
 
 
-def features(texts: list[str | None], memory) -> tuple[np.ndarray, np.ndarray]:
-    """Row and word numbers of the words that the texts have, each once a text."""
+def features(texts: list[str | None], memory, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature numbers of what the texts have: words, each once a text, and after them the steps that they are over."""
     rows, cols = [], []
     for i, t in enumerate(texts):
         own = set(map(memory.__getitem__, (t or "").split()))
         own.discard(-1)
         cols += sorted(own)
         rows += [i] * len(own)
-    return np.array(rows, np.int64), np.array(cols, np.int64)
+    style = np.array([describe(t) for t in texts], float).reshape(len(texts), len(NAMES))
+    r, c = np.nonzero(np.concatenate([style[:, j, None] > e for j, e in enumerate(edges)], axis=1))
+    return np.concatenate((np.array(rows, np.int64), r)), np.concatenate((np.array(cols, np.int64), c + len(memory.vocabulary)))
 
 
-def _logistic(rows, cols, extra, y, n_words, rounds=80, ridge=0.1, memory=8) -> np.ndarray:
-    """Weights of a linear model on presence of words and extra columns: log loss and ridge by limited-memory BFGS."""
-    n, m = len(y), extra.shape[1]
+def _logistic(rows, cols, extra, y, told, rounds=80, ridge=0.1, memory=8) -> np.ndarray:
+    """Weights of a linear model on the presence of the features that count (told) and extra columns: log loss and ridge by limited-memory BFGS."""
+    n, m, n_words = len(y), extra.shape[1], len(told)
     pos = np.bincount(cols, weights=y[rows], minlength=n_words) + 1
     neg = np.bincount(cols, weights=1 - y[rows], minlength=n_words) + 1
-    ratio = np.log(pos / (y.sum() + 2)) - np.log(neg / ((1 - y).sum() + 2))
+    ratio = np.where(told, np.log(pos / (y.sum() + 2)) - np.log(neg / ((1 - y).sum() + 2)), 0.0)
     at = ratio[cols]
 
     def loss(w):
@@ -117,53 +131,63 @@ def _score(w: np.ndarray, rows, cols, extra, n_words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _apart(rows, cols, labels: np.ndarray, n_features: int) -> np.ndarray:
+    """By how many standard errors the share of texts that have a feature differs between the two kinds of each category."""
+    out = []
+    for y in labels.T:
+        known = ~np.isnan(y)
+        ones, n = np.nansum(y), known.sum()
+        one = np.bincount(cols, weights=np.where(known, y, 0)[rows], minlength=n_features)
+        have = np.bincount(cols, weights=known[rows], minlength=n_features)
+        spread = np.sqrt(np.maximum(have / n * (1 - have / n), 1e-12) * (1 / ones + 1 / (n - ones)))
+        out.append(np.abs(one / ones - (have - one) / (n - ones)) / spread)
+    return np.column_stack(out)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, names: list[str], folds: np.ndarray) -> Model:
     """labels: a 0/1 column for each name, NaN where unknown; folds: the number of the fold of each row."""
     known = ~np.isnan(labels)
-    # of each word: texts with label 1, texts with a label, of each category; all texts
-    marks = np.column_stack((np.where(known, labels, 0), known, np.ones(len(labels))))
-    count: dict[str, np.ndarray] = {}
-    for t, own in zip(texts, marks, strict=True):
-        for w in set(map(word, (t or "").split())):
-            count[w] = count[w] + own if w in count else own
-    count.pop("", None)
-    words = sorted(w for w, n in count.items() if n[-1] >= LEAST_TEXTS)
-    k, having = len(names), np.array([count[w] for w in words]).reshape(len(words), marks.shape[1])
-    ones, n = marks[:, :k].sum(axis=0), marks[:, k : 2 * k].sum(axis=0)
-    with_one, have = having[:, :k], having[:, k : 2 * k]
-    spread = np.sqrt(np.maximum(have / n * (1 - have / n), 1e-12) * (1 / ones + 1 / (n - ones)))
-    apart = np.abs(with_one / ones - (have - with_one) / (n - ones)) / spread
-    vocabulary = {w: i for i, w in enumerate(w for w, z in zip(words, apart.max(axis=1, initial=0), strict=True) if z >= LEAST_Z)}
-    rows, cols = features(texts, _Memory(vocabulary))
-    extra, weights, size = np.zeros((len(texts), 0)), [], len(vocabulary)
+    number: dict[str, int] = {}
+    cols = [np.fromiter({number.setdefault(w, len(number)) for w in map(word, (t or "").split())}, np.int64) for t in texts]
+    rows, cols = np.repeat(np.arange(len(texts)), [len(c) for c in cols]), np.concatenate([np.zeros(0, np.int64), *cols])
+    k = len(names)
+    good = (np.bincount(cols, minlength=len(number)) >= LEAST_TEXTS) & (_apart(rows, cols, labels, len(number)).max(axis=1, initial=0) >= LEAST_Z)
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, j in number.items() if w and good[j]))}
+    style = np.array([describe(t) for t in texts], float).reshape(len(texts), len(NAMES))
+    edges = [np.unique(np.quantile(style[:, j], QUANTILES)) for j in range(len(NAMES))]
+    model = Model(vocabulary, edges, list(names), [])
+    rows, cols = features(texts, _Memory(vocabulary), edges)
+    told = _apart(rows, cols, labels, model.size) >= LEAST_Z
+    told[:, 1:] = np.arange(model.size)[:, None] < len(vocabulary)  # how a text is written tells in the first link, which later ones see; they have words
+    extra, weights, size = np.zeros((len(texts), 0)), model.weights, model.size
 
     def some(which):
         return np.cumsum(which)[rows[which[rows]]] - 1, cols[which[rows]]
 
     for c in range(k):
         mine = known[:, c]
-        weights.append(_logistic(*some(mine), extra[mine], labels[mine, c], size))
+        weights.append(_logistic(*some(mine), extra[mine], labels[mine, c], told[:, c]))
         if c + 1 < k:
             unseen = np.zeros(len(texts))
             for f in np.unique(folds):
                 train, test = (folds != f) & mine, folds == f
-                w = _logistic(*some(train), extra[train], labels[train, c], size) if len(np.unique(labels[train, c])) == 2 else weights[c]
+                w = _logistic(*some(train), extra[train], labels[train, c], told[:, c]) if len(np.unique(labels[train, c])) == 2 else weights[c]
                 unseen[test] = _score(w, *some(test), extra[test], size)
             extra = np.column_stack((extra, unseen))
-    return Model(vocabulary, list(names), weights)
+    return model
 
 
 def predict(model: Model, texts: list[str | None], memory=None) -> np.ndarray:
     """A row of probabilities a text, in the order of the chain. Null and empty texts have no words."""
-    rows, cols = features(texts, memory if memory is not None else _Memory(model.vocabulary))
+    rows, cols = features(texts, memory if memory is not None else _Memory(model.vocabulary), model.edges)
     extra = np.zeros((len(texts), 0))
     for w in model.weights:
-        extra = np.column_stack((extra, _score(w, rows, cols, extra, len(model.vocabulary))))
+        extra = np.column_stack((extra, _score(w, rows, cols, extra, model.size)))
     return extra
 
 
 def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> Model | None:
-    """Fits on about sample of the labelled rows (all if there are fewer), chosen by a hash of the row: what the driver holds.
+    """Fits on about sample of the labelled rows (all if there are fewer), chosen by a hash of the row: what the driver holds, SAMPLE_LETTERS or so.
 
     Several labels of an id count as the greatest; repeated rows teach once. A null label teaches nothing about its
     category, a null text nothing at all. A category with examples of one kind only leaves the chain. None if that is
@@ -172,8 +196,11 @@ def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     ys = [f"y{i}" for i in range(len(chain))]
     marked = labels.select("doc_id", *(F.expr(f"cast({sql} as int)").alias(y) for y, (_, sql) in zip(ys, chain, strict=True))).where(F.col("doc_id").isNotNull() & F.coalesce(*ys).isNotNull())
     marked = marked.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST_LETTERS))
+    mean = texts.agg(F.avg(F.length("text"))).first()[0] or 1.0
+    sample = min(sample, int(SAMPLE_LETTERS / max(mean, 1.0)) + 1)
     few = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < min(1.0, sample / max(marked.count(), 1)) * (1 << 20))
-    texts = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id")
+    texts = texts.join(few, "doc_id")
     got = sorted(bounded_sample(texts, 1.0, 2 * sample).collect(), key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([[np.nan if r[c] is None else r[c] for c in ys] for r in got], float).reshape(len(got), len(chain))
     both = [len(np.unique(c[~np.isnan(c)])) == 2 for c in y.T]
