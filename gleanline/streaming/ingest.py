@@ -75,16 +75,3 @@ def read_visible(spark: SparkSession, target: str, as_of: str) -> DataFrame:
 def session_bounds(events: DataFrame) -> DataFrame:
     """(session_id, start_ts, end_ts) of start and stop events: the first of each. Batch, or stream in update mode."""
     return events.groupBy("session_id").agg(F.min(F.when(F.col("event") == "session_start", F.col("ts"))).alias("start_ts"), F.min(F.when(F.col("event") == "session_end", F.col("ts"))).alias("end_ts"))
-
-
-def start_canary(stream: DataFrame, canaries: DataFrame, evidence: DataFrame, sessions: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """At each stop of a session its canary samples are added, once."""
-    from gleanline.operators.canary import canary_samples
-
-    def batch(df: DataFrame, _: int) -> None:
-        ended = sessions.join(df.select("session_id").distinct(), "session_id", "left_semi")
-        rows = canary_samples(canaries, evidence, ended)
-        have = _stored(df.sparkSession, target)
-        (rows if have is None else new_rows(rows, have, ["canary_id", "session_id"])).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

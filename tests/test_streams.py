@@ -153,3 +153,63 @@ def test_quarantine_needs_no_state(spark, tmp_path):
     spark.createDataFrame([(1, 0), (2, 1706745600), (3, None)], "id long, quarantine_until long").write.parquet(at)
     assert sorted(r["id"] for r in ingest.read_visible(spark, at, "2024-01-31 00:00:00").collect()) == [1, 3]
     assert ingest.read_visible(spark, at, "2024-02-01 00:00:00").count() == 3
+
+
+@pytest.fixture()
+def watched(spark):
+    """Two canaries of one agent with baselines, one of another without, and sessions of which the later ones go wrong."""
+    evidence, ended = [], []
+    for i in range(40):
+        s = f"s{i:02d}"
+        ended.append((s, f"2024-01-{1 + i // 2:02d} {12 * (i % 2):02d}:00:00"))
+        bad = i >= 24
+        for j in range(3 if bad else 4):
+            event = "override" if bad and j == 0 else "disagreement_override" if bad and j == 1 else "agent_dispatch"
+            evidence.append((10 * i + j, s, "hub:fd-a", event, "agent_wrong" if event != "agent_dispatch" else None))
+        if i % 20 == 3:
+            evidence.append((10 * i + 9, s, "fd-b", "agent_dispatch", None))
+    e = spark.createDataFrame(evidence, "id long, session_id string, source string, event string, override_reason string")
+    s = spark.createDataFrame(ended, "session_id string, t string").selectExpr("session_id", "cast(t as timestamp_ntz) start_ts", "cast(t as timestamp_ntz) + interval 1 hour ts")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    c = spark.createDataFrame([(1, "fd-a", 10, "active"), (2, "fd-a", 1000, "active"), (3, "fd-b", 20, "active"), (4, "fd-a", 5, "reverted")], "id long, group_id string, window_uses int, status string").withColumn("applied_at", at("2024-01-13 00:00:00"))
+    from gleanline.operators import canary
+
+    return canary.create_canary(c, canary.canary_baseline(c, e, s)), e, s
+
+
+def test_canaries_as_a_stream(spark, tmp_path, watched):
+    from gleanline.operators import canary
+    from gleanline.streaming import canaries as live
+
+    made, e, s = watched
+
+    def run(name, cuts, **more):
+        path, root = str(tmp_path / f"in-{name}"), str(tmp_path / f"out-{name}")
+        for low, high in zip([0, *cuts], cuts, strict=False):
+            s.where(f"session_id >= 's{low:02d}' and session_id < 's{high:02d}'").coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema(s.schema).parquet(path)
+            live.start_canaries(stream, made, e, root, str(tmp_path / f"cp-{name}"), **more).awaitTermination()
+        t = BatchTables(spark, root)
+        samples = sorted(tuple(r) for r in t.read("samples", live.SAMPLES).drop("batch").collect())
+        verdicts = {r["canary_id"]: r["verdict"] for r in t.read("verdicts", live.VERDICTS).collect()}
+        return root, samples, verdicts
+
+    # all at once: what the batch operators give
+    root, samples, verdicts = run("one", [40])
+    want = sorted(tuple(r) for r in canary.canary_samples(made, e, s).select("canary_id", "session_id", *canary.METRICS).collect())
+    summary = canary.canary_summary(made, canary.canary_samples(made, e, s))
+    batch = {r["canary_id"]: r["verdict"] for r in canary.canary_verdicts(summary, "2024-01-20 13:00:00").collect()}
+    assert samples == want and len(samples) == 2 * 16 and verdicts == {1: "alert"} == {i: v for i, v in batch.items() if v not in ("monitoring", "reverted")}
+    # session by session over restarts: a canary is judged when its ten uses are there, and sampled no more
+    root, samples, verdicts = run("many", [20, 30, 34, 37, 40])
+    assert verdicts == {1: "alert"} and sum(i == 1 for i, *_ in samples) == 10 and sum(i == 2 for i, *_ in samples) == 16
+    assert {r["id"]: r["status"] for r in live.read_canaries(spark, made, root).collect()} == {1: "alert", 2: "active", 3: "active", 4: "reverted"}
+    # a batch that is run again, with the same number, changes nothing
+    last = BatchTables(spark, root).last()
+    assert not live._batch(s, last, made, e, root, live.DEFAULT)
+    assert len(BatchTables(spark, root).read("samples", live.SAMPLES).collect()) == len(samples)
+    # time runs out: judged with what is there; the one without baseline stays
+    later = s.limit(1).withColumn("session_id", F.lit("none")).withColumn("ts", F.lit("2024-02-20 00:00:00").cast("timestamp_ntz"))
+    assert live._batch(later, last + 1, made, e, root, live.DEFAULT)
+    got = {r["canary_id"]: (r["verdict"], r["reason"]) for r in BatchTables(spark, root).read("verdicts", live.VERDICTS).collect()}
+    assert got == {1: ("alert", "override_rate; fp_rate; finding_density"), 2: ("alert", "override_rate; fp_rate; finding_density")}
