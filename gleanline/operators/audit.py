@@ -25,8 +25,9 @@ def shared_agents(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def drift_join(current: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Both calibrations on their shared agents, ranked anew among these."""
-    both = shared_agents(current, snapshot)
+    """Both calibrations on the agents that have a rate in both, ranked anew among these."""
+    rated = lambda df: df.where(F.coalesce("weighted_hit_rate", "hit_rate").isNotNull())
+    both = shared_agents(rated(current), rated(snapshot))
     def side(df, p):
         return rank_agents(df.join(both, "agent", "left_semi")).select("agent", F.coalesce("weighted_hit_rate", "hit_rate").alias(f"{p}_rate"), F.col("rank").alias(f"{p}_rank"))
 

@@ -122,6 +122,43 @@ def outcome_evidence(df: DataFrame, event: str, fields: list[str]) -> DataFrame:
     return df.select("session_id", "ts", F.coalesce("source", F.lit("unknown")).alias("source"), F.lit(event).alias("event"), F.to_json(F.struct(*fields)).alias("context"))
 
 
+#: The source of each typed record, and its fields with their types and defaults; a field without one must be there.
+OUTCOMES = {
+    "decomposition_outcome": ("decomposition", (
+        ("epic", "string", None), ("predicted_children", "long", None), ("actual_children", "long", None), ("completion_rate", "double", 0.0), ("replan_count", "long", 0),
+        ("intent_survival", "double", 1.0), ("complexity", "long", 3), ("baseline_typical", "long", 5),
+    )),
+    "reaction_dispatched": ("reaction", (
+        ("review_id", "string", None), ("input_path", "string", ""), ("agents_dispatched", "long", 0), ("reactions_produced", "long", 0), ("reactions_empty", "long", 0), ("reactions_errors", "long", 0),
+        ("convergence_before", "double", 0.0), ("agent_count", "long", 0), ("fixative_injections", "long", 0),
+    )),
+    "reaction_outcome": ("reaction", (
+        ("review_id", "string", None), ("convergence_after", "double", 0.0), ("sycophancy_flags", "string", "[]"), ("discourse_health", "string", "{}"), ("hearsay_count", "long", 0),
+        ("independent_count", "long", 0), ("contested_count", "long", 0), ("minority_preserved", "boolean", False),
+    )),
+    "override": (None, (("correction", "string", ""), ("note", "string", ""))),
+}
+
+
+def typed_outcomes(df: DataFrame, event: str) -> DataFrame:
+    """Records (session_id, ts, source where the kind has none of its own, fields) as evidence with a JSON context.
+
+    A field that the records lack or have as null gets its default; a record without one that must be there is dropped.
+    A manual correction is an override whose reason is the record's override_reason.
+    """
+    own, fields = OUTCOMES[event]
+    has = {c.lower() for c in df.columns}
+    whole, columns = F.col("session_id").isNotNull(), []
+    for name, kind, default in fields:
+        c = F.col(name).try_cast(kind) if name in has else F.lit(None).cast(kind)
+        if default is None:
+            whole = whole & c.isNotNull()
+        columns.append((c if default is None else F.coalesce(c, F.lit(default))).alias(name))
+    source = F.lit(own) if own else F.coalesce("source", F.lit("unknown"))
+    reason = F.coalesce("override_reason", F.lit("")) if "override_reason" in has else F.lit("")
+    return df.where(whole).select("session_id", "ts", source.alias("source"), F.lit(event).alias("event"), reason.alias("override_reason"), F.to_json(F.struct(*columns)).alias("context"))
+
+
 def read_transcripts(spark: SparkSession, path: str, schema: str = "line long, type string, timestamp string, isMeta boolean, isSidechain boolean, message struct<content:string,usage:struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long>>") -> DataFrame:
     """Records with their number, kept by the writer; the file's stem is the session.
 
@@ -140,8 +177,20 @@ def read_transcripts(spark: SparkSession, path: str, schema: str = "line long, t
     return r.select("*", skills.alias("skills"), F.try_element_at(skills, F.lit(1)).alias("skill"), text.alias("text"), _time(F.col("timestamp")).alias("ts")).drop("m__", "c__", "own__", "b__")
 
 
+WORK_ITEM = "id string, status string, project string, started_at timestamp_ntz, closed_at timestamp_ntz, updated_at timestamp_ntz"
+
+
 def read_work_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id string, status string, project string, started_at timestamp_ntz, closed_at timestamp_ntz, updated_at timestamp_ntz").json(path).where("id is not null and status is not null")
+    """Items of JSON lines; folders project=<name> give the project of lines that lack it. Lines that do not parse are in bad_work_items."""
+    rows = spark.read.schema(f"{WORK_ITEM}, bad__ string").option("columnNameOfCorruptRecord", "bad__").json(path)
+    return rows.where("bad__ is null and id is not null and status is not null").drop("bad__")
+
+
+def bad_work_items(spark: SparkSession, path: str) -> DataFrame:
+    """(line, path): the lines that are no item: what does not parse, and what lacks id or status."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")).where("trim(line) <> ''")
+    r = F.from_json("line", f"{WORK_ITEM}, bad__ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad__"})
+    return lines.withColumn("r", r).where("r.bad__ is not null or r.id is null or r.status is null").drop("r")
 
 
 def read_skill_docs(spark: SparkSession, roots: list[str]) -> DataFrame:

@@ -77,3 +77,58 @@ def test_sketches_merge_in_any_grouping(spark):
 @pytest.mark.parametrize("lg_k", [10, 14])
 def test_stated_error_shrinks(lg_k):
     assert sketches.error(lg_k) == pytest.approx(2.08 / 2 ** (lg_k / 2))
+
+
+def test_verdicts_are_swept_once_for_each_content(spark, tmp_path):
+    import json
+
+    from gleanline.sources import verdicts
+    from gleanline.sources.versions import BatchTables
+
+    at, root = tmp_path / "v", str(tmp_path / "out")
+    at.mkdir()
+
+    def put(name, **doc):
+        (at / f"{name}.json").write_text(json.dumps(doc))
+
+    def run(session="sweep"):
+        n = verdicts.sweep(spark, str(at), root, session)
+        rows = BatchTables(spark, root).read("evidence", verdicts.EVIDENCE).collect()
+        return n, sorted((r["source"], r["session_id"], r["context"]) for r in rows)
+
+    put("fd-a", status="CLEAN", findings_count=2, model="m", phase="plan", session_id="own")
+    put("fd-b")
+    put("synthesis", status="CLEAN")
+    (at / "broken.json").write_text("{no")
+    (at / "note.txt").write_text("{}")
+    a1 = ("fd-a", "own", '{"status":"CLEAN","findings_count":2,"model_used":"m","phase":"plan"}')
+    b1 = ("fd-b", "sweep", '{"status":"UNKNOWN","findings_count":0,"model_used":"unknown"}')
+    assert run() == (2, [a1, b1]) and run() == (0, [a1, b1])
+    put("fd-b", status="NEEDS_ATTENTION", session_id="")  # the name again, with other content
+    b2 = ("fd-b", "later", '{"status":"NEEDS_ATTENTION","findings_count":0,"model_used":"unknown"}')
+    assert run("later") == (1, sorted([a1, b1, b2])) and run("later")[0] == 0
+    put("fd-b")  # and back: other than what was recorded last
+    assert run()[0] == 1
+    (at / "broken.json").write_text('{"status":"CLEAN"}')  # not recorded while it was broken
+    assert run()[0] == 1
+
+
+def test_typed_outcomes_have_defaults(spark):
+    from gleanline.sources import logs
+
+    d = spark.createDataFrame([("s", "e", "3", 4, None), (None, "e", "1", 1, None), ("s", "e", "x", 1, 2)], "session_id string, epic string, predicted_children string, actual_children int, replan_count int").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = logs.typed_outcomes(d, "decomposition_outcome").collect()
+    assert [(r["source"], r["context"]) for r in got] == [("decomposition", '{"epic":"e","predicted_children":3,"actual_children":4,"completion_rate":0.0,"replan_count":0,"intent_survival":1.0,"complexity":3,"baseline_typical":5}')]
+    own = logs.typed_outcomes(spark.createDataFrame([("s", None, "stale_finding")], "session_id string, source string, override_reason string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "override").first()
+    assert (own["source"], own["override_reason"], own["context"]) == ("unknown", "stale_finding", '{"correction":"","note":""}')
+
+
+def test_bad_lines_are_kept(spark, tmp_path):
+    from gleanline.sources import logs
+
+    folder = tmp_path / "project=p1"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id":"1","status":"open","started_at":"2024-01-01T00:00:00"}\n{"id":"2"}\n{broken\n\n{"id":"3","status":"done"}\n')
+    good = logs.read_work_items(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["project"]) for r in good) == [("1", "p1"), ("3", "p1")]
+    assert sorted(r["line"] for r in logs.bad_work_items(spark, str(tmp_path)).collect()) == ['{"id":"2"}', "{broken"]
