@@ -9,8 +9,9 @@ from gleanline.functions import text as T
 from gleanline.operators import agents, audit, canary, filters, patterns, reports, safety, sketches, skills
 from gleanline.plans.fixtures import AS_OF, LEDGER_AS_OF, Fixtures, with_views
 from gleanline.sources import logs, tables, verdicts
-from gleanline.sources.versions import VersionedTable, shared_folder
-from gleanline.streaming import cursor
+from gleanline.sources.versions import BatchTables, VersionedTable, shared_folder
+from gleanline.streaming import canaries, cursor
+from gleanline.streaming import sessions as live
 
 N = "regexp_replace(source, '^(hub:review:|hub:)(fd-)', '\\2')"
 E30 = "ts > TIMESTAMP '2024-01-01 00:00:00'"
@@ -217,6 +218,26 @@ def _swept(f: Fixtures):
     return verdicts.verdict_evidence(last(docs), last(docs.where("hour(ts) < 20")), "sweep").select("name", "content_hash", "session_id", "source", "context")
 
 
+def _closed_sessions(f: Fixtures):
+    """The sessions' starts and stops as a stream of files, some of them twice."""
+    spark, at = f.sessions.sparkSession, _folder(f, "sessions")
+    row = lambda kind, ts: f.sessions.select("session_id", F.lit(kind).alias("event"), F.col(ts).cast("timestamp").alias("ts")).where("ts is not null")
+    both = row(live.START, "start_ts").unionByName(row(live.STOP, "end_ts"))
+    both.unionByName(both.where("session_id like '%1-%'")).write.parquet(f"{at}/in")
+    live.start_session_close(spark.readStream.schema("session_id string, event string, ts timestamp").parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return live.read_sessions(spark, f"{at}/out")
+
+
+def _watched_canaries(f: Fixtures):
+    """Stops of sessions as a stream, the last of them at the time of reference; what became of the canaries."""
+    spark, at = f.sessions.sparkSession, _folder(f, "canaries")
+    last = f.sessions.limit(1).select(F.lit("none").alias("session_id"), F.lit(AS_OF).cast("timestamp_ntz").alias("start_ts"), F.lit(AS_OF).cast("timestamp_ntz").alias("ts"))
+    f.sessions.select("session_id", "start_ts", F.coalesce("end_ts", "start_ts").alias("ts")).unionByName(last).write.parquet(f"{at}/in")
+    made = canary.create_canary(f.canary, _base(f))
+    canaries.start_canaries(spark.readStream.schema("session_id string, start_ts timestamp_ntz, ts timestamp_ntz").parquet(f"{at}/in"), made, f.evidence, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return BatchTables(spark, f"{at}/out").read("verdicts", canaries.VERDICTS).select("canary_id", "agent", "verdict", "reason", "sample_count")
+
+
 LOG_COLUMNS = ("invocation_id", "session_id", "skill_name", "ts", "success", "project", "event")
 
 #: key: (operator over the views, expected result)
@@ -380,6 +401,9 @@ CATALOG = {
     "ingest_execution_defects": (lambda f: logs.execution_defects(f.reviews), "SELECT * FROM defects"),
     "ingest_review_router": (lambda f: logs.review_evidence(f.reviews, 100).groupBy("event", "override_reason").count(), "SELECT event, override_reason, count(*) AS count FROM defects WHERE id > 100 GROUP BY 1, 2 UNION ALL SELECT event, override_reason, count(*) FROM disag WHERE id > 100 GROUP BY 1, 2"),
     "stream_cursor_sources": (lambda f: cursor.pages(f.reviews, 100), "SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS BIGINT) AS page FROM reviews WHERE id > 100"),
+    "stream_session_close": (_closed_sessions, """SELECT session_id, start_ts, end_ts, end_ts IS NULL AND floor(epoch_us(start_ts) / 1000) + 86400000 < (SELECT floor(max(greatest(epoch_us(start_ts), coalesce(epoch_us(end_ts), 0))) / 1000) FROM sessions) - 3600000 AS dark FROM sessions"""),
+    "stream_canary": (_watched_canaries, """SELECT id AS canary_id, group_id AS agent, verdict, CASE WHEN verdict = 'alert' THEN concat_ws('; ', CASE WHEN x THEN 'override_rate' END, CASE WHEN y THEN 'fp_rate' END, CASE WHEN z THEN 'finding_density' END) ELSE '' END AS reason, sample_count
+        FROM (SELECT *, CASE WHEN sample_count = 0 THEN 'expired_unused' WHEN x OR y OR z THEN 'alert' ELSE 'passed' END AS verdict FROM bad WHERE status = 'active' AND bo IS NOT NULL AND (sample_count >= window_uses OR exp <= TIMESTAMP '2024-01-31'))"""),
     "ingest_winning_mutations": (lambda f: logs.winning_mutations(f.mutations, 10, 100), "SELECT id, created_at AS ts, session_id, concat('lab:', task_type) AS source, 'winning_mutation' AS event, quality_signal, 'pattern' AS source_kind FROM mutations WHERE is_new_best = 1 AND id > 10 ORDER BY id LIMIT 100"),
     "ingest_verdicts": (_swept, """SELECT l.name, sha256(l.b.body) AS content_hash, l.b.session_id AS session_id, regexp_replace(l.name, '^(hub:review:|hub:)(fd-)', '\\2') AS source, l.b.context AS context
         FROM (SELECT name, arg_max(v, (ts, id)) AS b FROM vdocs v GROUP BY 1) l LEFT JOIN (SELECT name, arg_max(body, (ts, id)) AS body FROM vdocs WHERE hour(ts) < 20 GROUP BY 1) r USING (name) WHERE r.body IS DISTINCT FROM l.b.body"""),
