@@ -135,8 +135,9 @@ def delegation_recent(e: DataFrame, n: int = 5, source: str = DELEGATE) -> DataF
 
 
 def plan_execution_cells(e: DataFrame, as_of: str, min_n: int = 5, days: int = 180) -> DataFrame:
-    """Weighted pass rate by author, executor and validator of the retention's days, and over all (nulls), in one grouping-sets pass."""
-    own = quarantine_filter(e, as_of).where("event = 'plan_execution_outcome'").where(in_window(days, as_of))
+    """Weighted pass rate by author, executor and validator of the retention's days, and over all (nulls), in one grouping-sets pass. Rows without a time stay."""
+    own = quarantine_filter(e, as_of).where("event = 'plan_execution_outcome'")
+    own = own.where(F.coalesce(in_window(days, as_of), F.lit(True))) if "ts" in e.columns else own
     p = _parsed(own).select(
         *(_or_unknown(_field(f"{k}_model")).alias(k) for k in ("author", "executor", "validator")),
         lenient_bool(_field("pass")).alias("pass"), (lenient_int(_field("escalation_count")) > 0).alias("esc"), source_weight(F.coalesce(_field("session_source"), F.lit("normal"))).alias("w"),
