@@ -101,6 +101,13 @@ def test_redirect_markers(spark):
     assert {r["invocation_id"]: r["raw_value"] for r in skills.no_redirect(p, t).collect()} == {f"i{i}": float(n) for i, n in enumerate(said.values())}
 
 
+def test_markers_beside_other_letters(spark):
+    said = {"a piéno, that": 1, "étop éstopé": 1, "\u017ftop": 0, "in\u017ftead": 1, "THAT'\u017f WRONG": 1, "wait_ redo9 xundo": 0, "/clearé": 1, "\u0130nstead": 0}
+    t = spark.createDataFrame([r for i, s in enumerate(said) for r in ((f"s{i}", 0, "assistant", "a", None), (f"s{i}", 1, "user", None, s))], "session_id string, line int, type string, skill string, text string")
+    p = spark.createDataFrame([(f"i{i}", f"s{i}", "a", ts(1)) for i in range(len(said))], "invocation_id string, session_id string, skill_name string, ts timestamp_ntz")
+    assert {r["invocation_id"]: r["raw_value"] for r in skills.no_redirect(p, t).collect()} == {f"i{i}": float(n) for i, n in enumerate(said.values())}
+
+
 def test_goal_weights(spark):
     d = spark.createDataFrame([("Check the gate",), ("Query the index",), ("run the pipeline, then ship",), ("think",)], "text string")
     got = [tuple(r["g"]) for r in d.select(T.goal_bucket(F.col("text")).alias("g")).collect()]
