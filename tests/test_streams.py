@@ -53,6 +53,18 @@ def test_stop_after_dark_closes(feed):
     assert feed([("s", "b", 4, 1)], late="1 hour")["s"] == ("01 00", "04 01", False)
 
 
+def test_sessions_keep_no_state(spark, tmp_path):
+    """A session costs a row of a grouping, however many there are; the last millisecond of the bound is not dark yet."""
+    end = F.timestamp_millis(F.lit(1_704_067_200_000 + 25 * 3_600_000).cast("long"))
+    rows = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("session_id"), F.lit(sessions.START).alias("event"), F.timestamp_millis(1_704_067_200_000 + F.col("id") - 1).alias("ts"))
+    rows.unionByName(spark.range(1).select(F.lit("s9").alias("session_id"), F.lit(sessions.STOP).alias("event"), end.alias("ts"))).write.parquet(str(tmp_path / "in"))
+    q = sessions.start_session_close(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert not any(p["stateOperators"] for p in q.recentProgress)
+    got = sessions.read_sessions(spark, str(tmp_path / "out"))
+    assert got.count() == 3000 and [r["session_id"] for r in got.where("dark").collect()] == ["s0"]
+
+
 def test_batch_tables_are_exactly_once(spark, tmp_path):
     t = BatchTables(spark, str(tmp_path / "t"))
     one = spark.createDataFrame([(1,)], "v long")
