@@ -2,8 +2,8 @@
 
 The spans that the two libraries give (characters of tokenizers, bytes of sentencepiece's proto) are coarse cuts: a token
 inside a character, a byte-fallback token and a trimmed span have none of their own. Those are refined with the
-bytes that the tokens decode to. A text is cut before each space that follows something else, where neither tokenizer
-has a token that goes across; each distinct part is aligned once in a task.
+bytes that the tokens decode to. A text is cut before each space or line end that follows something else, and between a
+Latin letter and a stop, where neither tokenizer has a token that goes across; each distinct part is aligned once in a task.
 """
 
 from __future__ import annotations
@@ -32,10 +32,15 @@ BROADCAST_PAIRS = 100_000
 #: Letters of the texts whose new parts are encoded at once.
 BLOCK = 200_000
 MARK = "▁"
-_CUTS, _ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+#: Letters and stops between which is a cut, and a part of a text that stands before one for certain.
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+HOST = " a"
+_SPACES = re.compile(r"(?<=\S)(?= )")
+_PARTS = re.compile(rf"\s*+(?:[^\s{LETTERS}]++|[{LETTERS}]++(?![{STOPS}])|[^\S \n]\s*+)*+(?:[{LETTERS}]++)?+")
+_ACROSS = re.compile(rf"[{LETTERS}][{STOPS}]|\n")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
-Part = tuple[int, int, str, list[int]]  # tokens of A, tokens of B, groups as text, links as pairs of ids
+Part = tuple[int, int, str, bytes]  # tokens of A, tokens of B, groups as text, links as pairs of ids (64-bit integers)
 
 
 def default_paths() -> tuple[str, str]:
@@ -76,15 +81,23 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {c: i for i, c in enumerate(byte_letters())}
         with open(path_a, encoding="utf-8") as f:
-            entries = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s, i in entries.items()}
+            spec = json.load(f)
+        entries = spec["model"]["vocab"]
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        for s, i in entries.items():
+            self.a_bytes[i] = bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(s)) else s.replace(MARK, " ").encode() for s in names]
-        self.say = list(map(str, range(max(max(self.a_bytes), len(names)) + 1))).__getitem__
+        self.ids = max(len(self.a_bytes), len(names))
+        self.say = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
+        self.said_size = np.fromiter(map(len, self.say), np.int64, len(self.say))
         #: Whether no piece goes from something else to a space, so that parts can be encoded on their own.
         self.parted = not any(MARK in s.lstrip(MARK) for s in names)
-        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
-        self.a_size[list(self.a_bytes)] = [len(v) for v in self.a_bytes.values()]
+        #: Whether none goes on from a letter to a stop or holds a line end either, and A cuts there as GPT-2's pattern does.
+        gpt = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True) and not spec.get("normalizer")
+        whole = (s for i, s in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+        self.fine = bool(self.parted and gpt) and not any(map(_ACROSS.search, whole))
+        self.a_size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
         self.b_size = np.array([len(v) for v in self.b_bytes], np.int64)
         self.known: dict[str, Part | None] = {}  # and the parts used before these, which go when there are as many again
         self.older: dict[str, Part | None] = {}
@@ -96,27 +109,44 @@ class Aligner:
         enc = self.a.encode(text, add_special_tokens=False)
         pieces = self.b.encode(text[1:], return_type="proto").pieces
         a, b = enc.ids, [p.id for p in pieces]
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
         spans = byte_places(text)[np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a))]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_ends = byte_ends(spans[::2], spans[1::2], self.a_size[a])
         begins = np.array([p.begin for p in pieces], np.int64) + 1  # the space that B adds is in no span
         begins[:1] = 0
         b_ends = byte_ends(begins, np.array([p.end for p in pieces], np.int64) + 1, self.b_size[b])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         at_a, at_b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
-        links = (np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b]).tolist()
-        say_a, say_b = [self.say(i) for i in a], [self.say(i) for i in b]
-        said, i, j = [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            said.append(f"{say_a[i] if p - i == 1 else ','.join(say_a[i:p])}|{say_b[j] if q - j == 1 else ','.join(say_b[j:q])}")
-            i, j = p, q
+        links = (a[at_a] << 32 | b[at_b]).tobytes()
+        # the groups as text: where each token stands among those of both, and the mark that follows it
+        n_a, n_b = np.concatenate(([0], at_a + 1)), np.concatenate(([0], at_b + 1))
+        said = np.empty(len(a) + len(b), np.int64)
+        in_a, in_b = np.arange(len(a)), np.arange(len(b))
+        in_a += n_b[np.searchsorted(cuts, a_ends)]
+        in_b += n_a[np.searchsorted(cuts, b_ends) + 1]
+        said[in_a], said[in_b] = a, b
+        said[in_a[at_a]] += self.ids
+        said[in_b[at_b]] += 2 * self.ids
+        told = "".join(map(self.say.__getitem__, said.tolist()))
+        until = np.concatenate(([0], np.cumsum(self.said_size[said])))
         closed = np.searchsorted(cuts, np.cumsum([len(p.encode("utf-8", "replace")) for p in parts]), side="right")
-        n_a, n_b = np.concatenate(([0], at_a + 1))[closed].tolist(), np.concatenate(([0], at_b + 1))[closed].tolist()
-        out, g, i, j = [], 0, 0, 0
-        for h, p, q in zip(closed.tolist(), n_a, n_b, strict=True):
-            out.append((p - i, q - j, ";".join(said[g:h]), links[g:h]))
-            g, i, j = h, p, q
+        n_a, n_b = n_a[closed], n_b[closed]
+        out, g, s = [], 0, 0
+        for p, q, h, e in zip(np.diff(n_a, prepend=0).tolist(), np.diff(n_b, prepend=0).tolist(), (8 * closed).tolist(), until[n_a + n_b].tolist(), strict=True):
+            out.append((p, q, told[s : e - 1], links[g:h]))
+            g, s = h, e
+        return out
+
+    @staticmethod
+    def _led(parts: list[str]) -> list[str]:
+        """With a host before the parts that begin with a stop, and in front if the first begins with no space."""
+        out = []
+        for p in parts:
+            if p[0] in STOPS or (not out and p[0] != " "):
+                out.append(HOST)
+            out.append(p)
         return out
 
     def _learn(self, parts: list[str]) -> dict[str, Part | None]:
@@ -129,9 +159,10 @@ class Aligner:
             for p in last:
                 out |= self._learn([p])
             return out
-        got = self._joint(parts)
+        led = self._led(parts)
+        got = self._joint(led)
         if got is not None:
-            return dict(zip(parts, got, strict=True))
+            return dict(zip(led, got, strict=True))
         if len(parts) == 1:
             return {parts[0]: None}
         half = len(parts) // 2
@@ -139,6 +170,11 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, Counter]]:
         """Tokens of A and of B, groups, their text and how often each pair is linked; of each text."""
+        for a, b, said, links in self.linked(texts):
+            yield a, b, len(links), said, Counter(links.tolist())
+
+    def linked(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray]]:
+        """Tokens of A and of B, the groups' text and the pair that each group links; of each text."""
         block, size = [], 0
         for t in texts:
             block.append(t)
@@ -149,29 +185,31 @@ class Aligner:
         yield from self._block(block)
 
     def _cut(self, text: str | None) -> list[str]:
-        """The parts of a text, of which each begins with a space."""
+        """The parts of a text, of which the first begins with a space."""
         if not text:
             return []
         led = f" {text}"
-        if not self.parted:
-            return [led]
-        return _CUTS.split(led) if _ODD.search(led) else [f" {w}" for w in text.split(" ")]
+        if self.fine:
+            return _PARTS.findall(led)[:-1]  # the last is the empty one at the end
+        return _SPACES.split(led) if self.parted else [led]
 
-    def _block(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, Counter]]:
+    def _block(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray]]:
         cut = list(map(self._cut, texts))
-        known = self.known
-        used = dict.fromkeys(chain.from_iterable(cut))
-        for p in used.keys() & self.older.keys() - known.keys():
-            known[p] = self.older[p]
-        own = self._learn([p for p in used if p not in known])
+        known, older = self.known, self.older
+        new = []
+        for p in [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]:
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        own = self._learn(new)
         known.update(own)
         for t, parts in zip(texts, cut, strict=True):
             of = [*map(known.__getitem__, parts)]
             if None in of:  # the bytes of the whole text decide
                 of = [v for v in self._learn([f" {t}"]).values() if v is not None]
             a, b, said, links = zip(*of, strict=True) if of else ((),) * 4
-            many = Counter(chain.from_iterable(links))
-            yield sum(a), sum(b), sum(many.values()), ";".join(said), many
+            yield sum(a), sum(b), ";".join(said), np.frombuffer(b"".join(links), np.int64)
         for p in own:
             if len(p) > LONGEST_REMEMBERED:
                 del known[p]
@@ -201,8 +239,9 @@ def _aligned(docs: DataFrame, paths: tuple[str, str] | None, name: str, of) -> D
     @F.pandas_udf(f"n_a long, n_b long, n_groups long, n_links long, {name} string, pairs array<long>, times array<int>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for a, b, n, said, many in _aligner(*where).align(list(texts)):
-            rows.append((a, b, n, sum(many.values()), of(said), np.fromiter(many.keys(), np.int64, len(many)), np.fromiter(many.values(), np.int32, len(many))))
+        for a, b, said, links in _aligner(*where).linked(list(texts)):
+            pairs, times = np.unique(links, return_counts=True)
+            rows.append((a, b, len(links), len(links), of(said), pairs, times.astype(np.int32)))
         return pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")

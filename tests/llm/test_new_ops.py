@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -106,6 +107,30 @@ def test_parts_and_memory():
     assert got[:8] == got[8:] and own.known and own.known[" bad"] is not None
 
 
+def test_parts_without_stops(monkeypatch):
+    """A word is encoded once whatever stop or line end stands beside it."""
+    own, joint, letters = alignment.Aligner(*alignment.default_paths()), alignment.Aligner._joint, []
+    monkeypatch.setattr(own, "_joint", lambda parts: letters.append(sum(map(len, parts))) or joint(own, parts))
+    words = ["".join(p) for p in itertools.product("ab", "eio", "nr", "éts")]
+    texts = [" ".join(w + stop for w in words) + "\n" for stop in ("", ".", ",", "!!", "?", ";", ":", "...", ".\nB", "!\n\nC")]
+    got = list(own.align(texts))
+    assert sum(letters) < 2 * sum(len(w) + 1 for w in words)  # 215; 2,422 when stops were in the parts
+    assert own.fine and [g[:2] + (g[3],) for g in got] == [joint(own, [f" {t}"])[0][:3] for t in texts]
+
+
+def test_fine_cuts_at_random():
+    """Texts of stops, spaces of all kinds, marks and contractions: as whole texts, and the parts make up the text."""
+    own, draw = alignment.Aligner(*alignment.default_paths()), random.Random(11)
+    of = [" ", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\r", ".", ",", ":", "!", "'", "'s", '"', "a", "B", "é", "×", "ª", "ж", "0", "½", "\u0308", "😀", "漢", "<s>", "<0x41>", "\0", "the", "U.S.", "\u200b"]
+    texts = ["".join(draw.choices(of, k=draw.randint(1, 14))) for _ in range(600)] + ["a.▁", "▁.a", "a.b ▁,c"]
+    for t, g in zip(texts, own.align(texts), strict=True):
+        assert "".join(own._cut(t)) == f" {t}"
+        whole = own._joint([f" {t}"])
+        assert g[:2] + (g[3],) == (whole[0][:3] if whole else (0, 0, ""))
+    own.fine = False  # as with a vocabulary that goes from letters to stops
+    assert own._cut("a.b c\nd") == [" a.b", " c\nd"]
+
+
 def best(docs, items, top=10):
     terms = lambda t: [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
     own = [(i, Counter(terms(t))) for i, t in docs]
